@@ -21,22 +21,45 @@ BOOKINGS_STAGE = "booking_events_clean"
 PAYMENTS_STAGE = "payment_events_clean"
 # -------------------------------------------------------------------------------
 
-HEADERS_DDL = "array<struct<key:string,value:binary>>"
+HEADERS = T.ArrayType(
+    T.StructType().add("key", T.StringType()).add("value", T.BinaryType())
+)
+
 
+def schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+_BINARY, _STRING, _INT, _LONG, _TIME = (
+    T.BinaryType(),
+    T.StringType(),
+    T.IntegerType(),
+    T.LongType(),
+    T.TimestampType(),
+)
 
-KAFKA = ddl(
-    "key binary, value binary, topic string, partition int, offset bigint, "
-    f"timestamp timestamp, timestampType int, headers {HEADERS_DDL}"
+KAFKA = schema(
+    key=_BINARY,
+    value=_BINARY,
+    topic=_STRING,
+    partition=_INT,
+    offset=_LONG,
+    timestamp=_TIME,
+    timestampType=_INT,
+    headers=HEADERS,
 )
 
-BRONZE = ddl(
-    "payload string, kafka_value binary, kafka_key binary, kafka_topic string, "
-    "kafka_partition int, kafka_offset bigint, kafka_timestamp timestamp, "
-    f"kafka_timestamp_type int, kafka_headers {HEADERS_DDL}, bronze_ingested_at timestamp"
+BRONZE = schema(
+    payload=_STRING,
+    kafka_value=_BINARY,
+    kafka_key=_BINARY,
+    kafka_topic=_STRING,
+    kafka_partition=_INT,
+    kafka_offset=_LONG,
+    kafka_timestamp=_TIME,
+    kafka_timestamp_type=_INT,
+    kafka_headers=HEADERS,
+    bronze_ingested_at=_TIME,
 )
 
 POSITION = ["kafka_topic", "kafka_partition", "kafka_offset"]
@@ -129,11 +152,21 @@ PAYMENTS_CURRENT = [
     "requested_event_time",
 ]
 
-EVENT_DQ = ddl(
-    "dq_key string, event_id string, event_type string, validation_stage string, "
-    "validation_error string, payload string, kafka_topic string, kafka_partition int, "
-    "kafka_offset bigint, kafka_timestamp timestamp, bronze_ingested_at timestamp, "
-    "source_snapshot_id bigint, first_detected_at timestamp, last_detected_at timestamp"
+EVENT_DQ = schema(
+    dq_key=_STRING,
+    event_id=_STRING,
+    event_type=_STRING,
+    validation_stage=_STRING,
+    validation_error=_STRING,
+    payload=_STRING,
+    kafka_topic=_STRING,
+    kafka_partition=_INT,
+    kafka_offset=_LONG,
+    kafka_timestamp=_TIME,
+    bronze_ingested_at=_TIME,
+    source_snapshot_id=_LONG,
+    first_detected_at=_TIME,
+    last_detected_at=_TIME,
 )
 
 DIM_SHOPS = [

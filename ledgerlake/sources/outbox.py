@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.reconcile import event_ids, ids_missing
-from ledgerlake.schemas import HEADERS_DDL, TOPIC
+from ledgerlake.schemas import HEADERS, TOPIC
 
 
 def outbox_to_records(outbox: DataFrame, topic: str = TOPIC) -> DataFrame:
@@ -14,7 +14,7 @@ def outbox_to_records(outbox: DataFrame, topic: str = TOPIC) -> DataFrame:
         F.col("partition_key").cast("binary").alias("key"),
         F.col("payload").cast("binary").alias("value"),
         F.lit(topic).alias("topic"),
-        F.array(header).cast(HEADERS_DDL).alias("headers"),
+        F.array(header).cast(HEADERS).alias("headers"),
     )
 
 
