@@ -4,11 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import fields
-from ledgerlake.functions.ordering import EARLIEST_DELIVERY, leading
+from ledgerlake.functions.keys import dq_key
+from ledgerlake.functions.ordering import DQ_LATEST, EARLIEST_DELIVERY, leading
 from ledgerlake.functions.rules import Rule, blank, first_broken, missing, not_equal, not_positive
 from ledgerlake.schemas import ENVELOPE_FIELDS, EVENTS_CLEAN, LINEAGE, SCHEMA_VERSION
 
-CONFLICT, DELIVERIES = "payload_conflict", "deliveries"
+CONFLICT, DELIVERIES, REJECTED = "payload_conflict", "deliveries", "rejected"
 
 
 def parse(bronze: DataFrame) -> DataFrame:
@@ -53,6 +54,31 @@ def dedupe(parsed: DataFrame, audit: bool = False) -> DataFrame:
     )
 
 
+def settle(parsed: DataFrame) -> DataFrame:
+    """Valid and rejected rows side by side from one pass and one shuffle.
+
+    Valid rows are reduced to the earliest delivery per ``event_id``, rejected ones to the
+    latest per ``dq_key``. ``rejected`` tells them apart; the audit columns are those of
+    :func:`dedupe`.
+    """
+    bad = F.col("validation_error").isNotNull()
+    columns = [*EVENTS_CLEAN, "validation_error"]
+    digest = F.when(~bad, F.sha2("payload", 256))
+    return (
+        parsed.groupBy(
+            bad.alias(REJECTED), F.when(bad, dq_key()).otherwise(F.col("event_id")).alias("_key")
+        )
+        .agg(
+            leading(EARLIEST_DELIVERY, columns, ~bad).alias("first"),
+            leading(DQ_LATEST, columns, bad).alias("last"),
+            F.count("*").alias(DELIVERIES),
+            (F.min(digest) != F.max(digest)).alias(CONFLICT),
+        )
+        .select(REJECTED, F.coalesce("first.row", "last.row").alias("row"), DELIVERIES, CONFLICT)
+        .select("row.*", DELIVERIES, CONFLICT, REJECTED)
+    )
+
+
 def conflicts(parsed: DataFrame) -> DataFrame:
     """Event ids whose valid deliveries do not all carry the same payload text."""
     return (

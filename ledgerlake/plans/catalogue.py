@@ -184,6 +184,19 @@ def delivery_audit(spark, sf):
     return _counts(audited, envelope.DELIVERIES, envelope.CONFLICT)
 
 
+def settled_events(spark, sf):
+    settled = envelope.settle(booking_parsed(spark, sf))
+    return settled.select(
+        envelope.REJECTED,
+        "event_id",
+        "validation_error",
+        "kafka_partition",
+        "kafka_offset",
+        envelope.DELIVERIES,
+        envelope.CONFLICT,
+    )
+
+
 # --- bookings --------------------------------------------------------------------
 
 
@@ -620,6 +633,7 @@ QUERIES = [
     duplicate_positions,
     payload_conflicts,
     delivery_audit,
+    settled_events,
     booking_errors,
     booking_events_clean,
     booking_type_counts,

@@ -322,6 +322,12 @@ ORACLES = {
       WHERE redelivered = 1 AND m % 7 = 0 AND envelope_error IS NULL""",
     "delivery_audit": f"""{BOOKINGS} SELECT deliveries, false AS payload_conflict, count(*) AS n FROM (
       SELECT event_id, count(*) AS deliveries FROM records WHERE envelope_error IS NULL GROUP BY 1) GROUP BY 1""",
+    "settled_events": f"""{BOOKINGS} SELECT false AS rejected, event_id, CAST(NULL AS VARCHAR) AS validation_error,
+        kafka_partition, m AS kafka_offset, CASE WHEN m % 50 = 0 THEN 2 ELSE 1 END AS deliveries,
+        false AS payload_conflict FROM parsed
+      UNION ALL SELECT true, event_id, validation_error, kafka_partition, kafka_offset,
+        (SELECT count(*) FROM dq d WHERE d.dq_key = t.dq_key AND d.validation_stage = 'events_clean'), NULL
+        FROM ({_top_dq("validation_stage = 'events_clean'")}) t""",
     "booking_errors": f"""{BOOKINGS} SELECT event_type, booking_error AS validation_error, count(*) AS n
       FROM parsed GROUP BY 1, 2""",
     "booking_events_clean": f"""{BOOKINGS} SELECT {_ENVELOPE}, customer_id, service_id, staff_id,

@@ -1,8 +1,8 @@
 """Stages of the domain runs: pin the source, transform, guard, publish, record rejects.
 
-A stage writes its rows once, as a new version, and the guards read that version before it
-is committed. Counts come from the task results of that same write, so no pass over the
-input is spent on counting; the reject pass runs only when something was rejected.
+A stage reads its source once and writes accepted and rejected rows in one job, as a new
+version. Counts come from the final tasks of that job, so no pass is spent on counting, and
+the guards read the written version before it is committed.
 """
 
 from dataclasses import dataclass
@@ -85,63 +85,69 @@ class Run:
             if versions.last_batch(self.spark, table) == before:
                 return before, rows
 
-    def record_rejects(self, validated: DataFrame, stage: str, version: int) -> None:
-        rows = dq.dq_rows(validated, stage, self.seen(), version)
+    def record_rejects(self, rejects: DataFrame, stage: str, version: int) -> None:
+        rows = dq.dq_rows(rejects, stage, self.seen(), version)
         table = self.layout.silver("event_dq")
         merged = dq.merge_dq(versions.current(self.spark, table), rows)
         versions.publish(merged, table, operation="merge")
 
 
 def events_clean(run: Run) -> StageReport:
+    """Bronze to clean events and rejects: one scan, one parse, one shuffle, one write."""
     version, source = run.bronze()
-    seen = source.count()
-    if seen == 0:
-        raise CheckFailed("Bronze is empty")
-    parsed = envelope.parse(source)
     audit = Observation()
+    bad, deliveries = F.col(envelope.REJECTED), F.col(envelope.DELIVERIES)
     rows = (
-        envelope.dedupe(parsed, audit=True)
+        envelope.settle(envelope.parse(source))
         .observe(
             audit,
-            F.sum(envelope.DELIVERIES).alias("valid"),
+            F.sum(F.when(~bad, deliveries).otherwise(0)).alias("valid"),
+            F.sum(F.when(bad, deliveries).otherwise(0)).alias("rejected"),
+            F.count_if(~bad).alias("stored"),
             F.count_if(envelope.CONFLICT).alias("conflicts"),
-            F.count("*").alias("stored"),
         )
         .drop(envelope.DELIVERIES, envelope.CONFLICT)
     )
 
-    def guard(_: DataFrame) -> None:
+    def settled() -> None:
+        if not audit.get["valid"] and not audit.get["rejected"]:
+            raise CheckFailed("Bronze is empty")
         if audit.get["stored"] == 0:
             raise CheckFailed("no valid event in Bronze")
         if audit.get["conflicts"]:
             raise CheckFailed(f"{audit.get['conflicts']} event ids carry different payloads")
 
-    versions.publish(rows, run.layout.silver("events_clean"), guard=guard)
-    valid, stored = audit.get["valid"], audit.get["stored"]
-    if valid < seen:
-        run.record_rejects(parsed, schemas.EVENTS_STAGE, version)
-    return StageReport("events_clean", version, seen, seen - valid, valid - stored, stored, 0)
+    new = versions.publish_split(rows, run.layout.silver("events_clean"), settled)
+    valid, rejected, stored = (audit.get[n] for n in ("valid", "rejected", "stored"))
+    if rejected:
+        run.record_rejects(new.rejects(run.spark), schemas.EVENTS_STAGE, version)
+    return StageReport(
+        "events_clean", version, valid + rejected, rejected, valid - stored, stored, 0
+    )
 
 
-def _typed_stage(run, validate, clean, stage, checks, keep_rejects=True) -> StageReport:
+def _typed_stage(run, validate, columns, stage, checks=None, keep_rejects=True) -> StageReport:
+    """Clean events to typed events and rejects: a narrow map and one write."""
     version, source = run.source(run.layout.silver("events_clean"))
-    validated = validate(source)
-    seen = Observation()
-    observed = validated.observe(
-        seen, F.count("*").alias("n"), F.count("validation_error").alias("rejected")
+    bad, seen = F.col("validation_error").isNotNull(), Observation()
+    rows = (
+        validate(source)
+        .select(*columns, "validation_error", bad.alias(versions.REJECTED))
+        .observe(
+            seen, F.count("*").alias("n"), F.count_if(versions.REJECTED).alias("rejected")
+        )
     )
 
-    def guard(written: DataFrame) -> None:
+    def settled() -> None:
         if seen.get["n"] == 0:
             raise CheckFailed(f"no candidate event for {stage}")
         if seen.get["n"] == seen.get["rejected"]:
             raise CheckFailed(f"no valid event for {stage}")
-        checks(written)
 
-    versions.publish(clean(observed), run.layout.silver(stage), guard=guard)
+    new = versions.publish_split(rows, run.layout.silver(stage), settled, checks)
     n, rejected = seen.get["n"], seen.get["rejected"]
     if rejected and keep_rejects:
-        run.record_rejects(validated, stage, version)
+        run.record_rejects(new.rejects(run.spark), stage, version)
     return StageReport(stage, version, n, rejected, 0, n - rejected, 0)
 
 
@@ -158,22 +164,32 @@ def _movement_checks(written: DataFrame) -> None:
 
 def booking_events_clean(run: Run) -> StageReport:
     return _typed_stage(
-        run, bookings.candidates, bookings.clean, schemas.BOOKINGS_STAGE, lambda _: None
+        run, bookings.candidates, schemas.BOOKING_EVENTS_CLEAN, schemas.BOOKINGS_STAGE
     )
 
 
 def payment_events_clean(run: Run) -> StageReport:
     return _typed_stage(
-        run, payments.candidates, payments.clean, schemas.PAYMENTS_STAGE, _movement_checks
+        run,
+        payments.candidates,
+        schemas.PAYMENT_EVENTS_CLEAN,
+        schemas.PAYMENTS_STAGE,
+        _movement_checks,
     )
 
 
 def payment_transactions_clean(run: Run) -> StageReport:
     """Superseded transaction table; its rejects are counted but not recorded."""
+
+    def validate(events: DataFrame) -> DataFrame:
+        return payments.transaction_candidates(events).withColumnRenamed(
+            "event_time", "occurred_at"
+        )
+
     return _typed_stage(
         run,
-        payments.transaction_candidates,
-        payments.transactions_legacy,
+        validate,
+        schemas.PAYMENT_TRANSACTIONS_CLEAN,
         "payment_transactions_clean",
         _movement_checks,
         keep_rejects=False,

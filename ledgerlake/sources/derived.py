@@ -183,28 +183,26 @@ def payment_records(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         },
         totals={"request": "collected"},
     )
-    request = lines.filter("k = 1").select(
-        "l_orderkey", "request", F.lit("requested").alias("kind"), F.lit(0).cast("bigint").alias("n")
-    )
-    moves = lines.select(
+    requested = F.when(F.col("k") == 1, _move("requested", F.lit(0), F.lit(0)))
+    completed = _move("completed", F.col("k"), F.col("collected"))
+    refunded = F.when(returned, _move("refunded", F.col("j"), F.col("refunded")))
+    rows = lines.select(
         "l_orderkey",
         "request",
-        F.explode(
-            F.when(
-                returned,
-                F.array(_move("completed", "k", "collected"), _move("refunded", "j", "refunded")),
-            ).otherwise(F.array(_move("completed", "k", "collected")))
-        ).alias("move"),
         "amount",
-    ).select("l_orderkey", "request", "move.*", "amount")
-    rows = request.unionByName(moves, allowMissingColumns=True)
+        F.explode(F.array_compact(F.array(requested, completed, refunded))).alias("move"),
+    ).select("l_orderkey", "request", "amount", "move.*")
     keys = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     joined = rows.join(keys, rows.l_orderkey == keys.o_orderkey)
     return _payment_payload(joined)
 
 
-def _move(kind: str, n: str, running: str) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.col(n).alias("n"), F.col(running).alias("running"))
+def _move(kind: str, n: Column, running: Column) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        n.cast("bigint").alias("n"),
+        running.cast("bigint").alias("running"),
+    )
 
 
 def _payment_payload(rows: DataFrame) -> DataFrame:

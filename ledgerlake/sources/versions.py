@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+REJECTED = "rejected"
 _ENTRY = "id bigint, committed_at timestamp, operation string, row_count bigint, path string"
 
 
@@ -21,10 +22,18 @@ _ENTRY = "id bigint, committed_at timestamp, operation string, row_count bigint,
 class Version:
     id: int
     path: str
+    split: bool = False
 
     def read(self, spark: SparkSession) -> DataFrame:
+        if self.split:
+            return spark.read.parquet(f"{self.path}/{REJECTED}=false").drop("validation_error")
         return spark.read.parquet(self.path)
 
+    def rejects(self, spark: SparkSession) -> DataFrame | None:
+        """Rejected rows written together with a split version, None when there are none."""
+        folder = f"{self.path}/{REJECTED}=true"
+        return spark.read.parquet(folder) if self.split and exists(spark, folder) else None
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -43,7 +52,10 @@ def pin(spark: SparkSession, table: str) -> Version | None:
     if not fs.exists(folder):
         return None
     ids = [int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(folder)]
-    return version(table, max(ids)) if ids else None
+    if not ids:
+        return None
+    path = version(table, max(ids)).path
+    return Version(max(ids), path, exists(spark, f"{path}/{REJECTED}=false"))
 
 
 def last_batch(spark: SparkSession, table: str) -> int | None:
@@ -75,9 +87,36 @@ def publish(
     ``guard`` sees the written rows and may raise to refuse the commit.
     """
     spark = df.sparkSession
-    before = pin(spark, table)
-    new = version(table, 1 if before is None else before.id + 1)
+    new = _next(spark, table)
     df.write.mode("overwrite").parquet(new.path)  # leftovers of a refused run
+    return _guarded(spark, table, new, operation, guard)
+
+
+def publish_split(
+    validated: DataFrame,
+    table: str,
+    settled: Callable[[], None],
+    guard: Callable[[DataFrame], None] | None = None,
+) -> Version:
+    """Like :func:`publish` for rows with a boolean ``rejected``: one write, two folders.
+
+    The table is the accepted folder; the rejected rows stay with the version.
+    ``settled`` runs after the write and must refuse a version without accepted rows.
+    """
+    spark = validated.sparkSession
+    target = _next(spark, table)
+    new = Version(target.id, target.path, split=True)
+    validated.write.mode("overwrite").partitionBy(REJECTED).parquet(new.path)
+    settled()
+    return _guarded(spark, table, new, "replace", guard)
+
+
+def _next(spark: SparkSession, table: str) -> Version:
+    before = pin(spark, table)
+    return version(table, 1 if before is None else before.id + 1)
+
+
+def _guarded(spark, table, new, operation, guard) -> Version:
     written = new.read(spark)
     if guard is not None:
         guard(written)
