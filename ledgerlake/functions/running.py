@@ -1,9 +1,13 @@
 """Ordered scans inside a key that stay balanced when one key dominates the input.
 
-A plain running window puts a whole key into one task. Here each key is cut into
-consecutive buckets of its order; bucket summaries (combined map-side) are scanned per
-key, and each bucket starts from a head row that carries the state before it. The rows
-themselves only ever meet inside one (key, bucket) group, and no join is needed.
+A running window puts a whole key into one task, which is fine until a key outgrows a task.
+Keys with at least ``hot_rows`` rows are therefore cut into consecutive buckets of their
+order: bucket summaries (combined map-side) are scanned per key, and each bucket starts from
+a head row that carries the state before it. All other keys keep a single bucket and need no
+head, so the rows themselves are shuffled once in either case.
+
+At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast of their list: a
+trillion rows have no more than a million hot keys at the default.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,24 +15,34 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.ordering import Order, sort_columns
 
-_BUCKET, _HEAD = "_bucket", "_head"
+HOT_ROWS = 1_000_000
+_BUCKET, _HEAD, _HOT = "_bucket", "_head", "_hot"
 
 
-def _behind(key: str) -> Window:
-    return (
-        Window.partitionBy(key)
-        .orderBy(_BUCKET)
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _bucketed(rows: DataFrame, key: str, bucket: Column, hot_rows: int) -> DataFrame:
+    """Add the bucket of hot keys; NULL for the others."""
+    hot = (
+        rows.groupBy(F.col(key).alias(_HOT))
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") >= hot_rows)
+        .select(_HOT, F.lit(True).alias("_cut"))
+    )
+    return rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(_HOT)), "left").select(
+        *rows.columns, F.when(F.col("_cut"), bucket).alias(_BUCKET)
     )
 
 
+def _behind(key: str):
+    return Window.partitionBy(key).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return rows.withColumn(_HEAD, F.lit(False)).unionByName(
         heads.withColumn(_HEAD, F.lit(True)), allowMissingColumns=True
     )
 
 
-def _within(key: str, order: Order) -> Window:
+def _within(key: str, order: Order):
     return Window.partitionBy(key, _BUCKET).orderBy(F.col(_HEAD).desc(), *sort_columns(order))
 
 
@@ -39,17 +53,22 @@ def running_sums(
     order: Order,
     sums: dict[str, Column],
     totals: dict[str, str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums per ``key``.
 
-    ``bucket`` must not decrease along ``order``. ``totals`` maps extra output columns to
-    the sum (a name in ``sums``) whose whole-key total they hold.
+    ``bucket`` must not be NULL and must not decrease along ``order``. ``totals`` maps extra
+    output columns to the sum (a name in ``sums``) whose whole-key total they hold.
     """
     totals = totals or {}
-    staged = rows.withColumn(_BUCKET, bucket).select(
+    staged = _bucketed(rows, key, bucket, hot_rows).select(
         "*", *(F.coalesce(value, F.lit(0)).alias(name) for name, value in sums.items())
     )
-    summaries = staged.groupBy(key, _BUCKET).agg(*(F.sum(n).alias(n) for n in sums))
+    summaries = (
+        staged.filter(F.col(_BUCKET).isNotNull())
+        .groupBy(key, _BUCKET)
+        .agg(*(F.sum(n).alias(n) for n in sums))
+    )
     heads = summaries.select(
         key,
         _BUCKET,
@@ -57,23 +76,35 @@ def running_sums(
         *(F.sum(src).over(Window.partitionBy(key)).alias(out) for out, src in totals.items()),
     )
     inclusive = _within(key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy(key, _BUCKET)
     scanned = _with_heads(staged, heads).select(
         *rows.columns,
         _HEAD,
         *(F.sum(n).over(inclusive).alias(n) for n in sums),
-        *(F.first(out).over(inclusive).alias(out) for out in totals),
+        *(
+            F.coalesce(F.first(out).over(inclusive), F.sum(src).over(group)).alias(out)
+            for out, src in totals.items()
+        ),
     )
     return scanned.filter(~F.col(_HEAD)).drop(_HEAD)
 
 
 def previous_value(
-    rows: DataFrame, key: str, bucket: Column, order: Order, value: str, name: str
+    rows: DataFrame,
+    key: str,
+    bucket: Column,
+    order: Order,
+    value: str,
+    name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``name``: ``value`` of the preceding row of the key under ``order`` (all ascending)."""
-    staged = rows.withColumn(_BUCKET, bucket)
+    staged = _bucketed(rows, key, bucket, hot_rows)
     rank = [F.col(c).alias(f"_{i}") for i, (c, _) in enumerate(order)]
     last = F.max(F.struct(*rank, F.col(value).alias("value")))
-    summaries = staged.groupBy(key, _BUCKET).agg(last.alias("_last"))
+    summaries = (
+        staged.filter(F.col(_BUCKET).isNotNull()).groupBy(key, _BUCKET).agg(last.alias("_last"))
+    )
     heads = summaries.select(
         key,
         _BUCKET,

@@ -303,7 +303,10 @@ def ledger_reconciliation(spark, sf):
 
 
 def ledger_replay(spark, sf):
-    return payments.ledger_replay(payment_clean(spark, sf))
+    """Replay over a stored table: the scan reads the events twice, both times pruned."""
+    table = f"{scratch(spark, 'replay')}/payment_events_clean"
+    stored = versions.publish(payment_clean(spark, sf), table)
+    return payments.ledger_replay(stored.read(spark))
 
 
 def summary_violations(spark, sf):

@@ -19,11 +19,13 @@ def rows():
     ]
 
 
+# every key cut, only the hot key cut, no key cut
+@pytest.mark.parametrize("hot_rows", [1, 100, 10_000])
 @pytest.mark.parametrize("width", [1, 7, 1000])
-def test_running_sums(spark, rows, width):
+def test_running_sums(spark, rows, width, hot_rows):
     df = spark.createDataFrame(rows, "k string, t long, n long, v long")
     bucket = F.floor(F.col("t") / width)
-    got = running_sums(df, "k", bucket, ORDER, {"s": F.col("v"), "c": F.lit(1)}, {"total": "s"})
+    got = running_sums(df, "k", bucket, ORDER, {"s": F.col("v"), "c": F.lit(1)}, {"total": "s"}, hot_rows)
     state, expected = {}, {}
     totals = {}
     for k, _, _, v in rows:
@@ -35,10 +37,11 @@ def test_running_sums(spark, rows, width):
     assert {r.n: (r.k, r.t, r.v, r.s, r.c, r.total) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("hot_rows", [1, 100, 10_000])
 @pytest.mark.parametrize("width", [1, 7, 1000])
-def test_previous_value(spark, rows, width):
+def test_previous_value(spark, rows, width, hot_rows):
     df = spark.createDataFrame(rows, "k string, t long, n long, v long")
-    got = previous_value(df, "k", F.floor(F.col("t") / width), ORDER, "v", "before")
+    got = previous_value(df, "k", F.floor(F.col("t") / width), ORDER, "v", "before", hot_rows)
     last, expected = {}, {}
     for k, t, n, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         expected[n] = (v, last.get(k))
