@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ledgerlake import schemas
 from ledgerlake.functions.ordering import EARLIEST_DELIVERY, first_per_key_ranked
 from ledgerlake.operators import bookings, dq, envelope, expect, gold, payments, reconcile
-from ledgerlake.operators.bronze import bronze_rows, copy_table
+from ledgerlake.operators.bronze import copy_table
+from ledgerlake.operators.reports import counts_by, orphan_share, reject_reasons
 from ledgerlake.plans import domains, stages
 from ledgerlake.sources import derived, outbox, versions
 from ledgerlake.sources.derived import AS_OF, REDELIVERY_OFFSET
@@ -119,10 +120,6 @@ def _ingest(spark, sf, root):
     )
 
 
-def _counts(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"))
-
-
 # --- bronze ----------------------------------------------------------------------
 
 
@@ -131,7 +128,7 @@ def bronze_bookings(spark, sf):
 
 
 def bronze_rows_count_by_partition(spark, sf):
-    return _counts(booking_bronze(spark, sf), "kafka_topic", "kafka_partition")
+    return counts_by(booking_bronze(spark, sf), "kafka_topic", "kafka_partition")
 
 
 def bronze_event_type_counts(spark, sf):
@@ -146,7 +143,7 @@ def bronze_shops(spark, sf):
 
 
 def envelope_errors(spark, sf):
-    return _counts(booking_parsed(spark, sf), "validation_error")
+    return counts_by(booking_parsed(spark, sf), "validation_error")
 
 
 def events_clean(spark, sf):
@@ -159,7 +156,7 @@ def events_clean_ranked(spark, sf):
 
 
 def payment_events_envelope(spark, sf):
-    return _counts(payment_events(spark, sf), "event_type")
+    return counts_by(payment_events(spark, sf), "event_type")
 
 
 def duplicate_positions(spark, sf):
@@ -181,7 +178,7 @@ def payload_conflicts(spark, sf):
 
 def delivery_audit(spark, sf):
     audited = envelope.dedupe(booking_parsed(spark, sf), audit=True)
-    return _counts(audited, envelope.DELIVERIES, envelope.CONFLICT)
+    return counts_by(audited, envelope.DELIVERIES, envelope.CONFLICT)
 
 
 def settled_events(spark, sf):
@@ -201,7 +198,7 @@ def settled_events(spark, sf):
 
 
 def booking_errors(spark, sf):
-    return _counts(booking_candidates(spark, sf), "event_type", "validation_error")
+    return counts_by(booking_candidates(spark, sf), "event_type", "validation_error")
 
 
 def booking_events_clean(spark, sf):
@@ -209,7 +206,7 @@ def booking_events_clean(spark, sf):
 
 
 def booking_type_counts(spark, sf):
-    return _counts(booking_clean(spark, sf), "event_type", "status")
+    return counts_by(booking_clean(spark, sf), "event_type", "status")
 
 
 def bookings_current(spark, sf):
@@ -221,7 +218,7 @@ def bookings_current_join_twin(spark, sf):
 
 
 def bookings_status_counts(spark, sf):
-    return _counts(bookings_now(spark, sf), "status")
+    return counts_by(bookings_now(spark, sf), "status")
 
 
 def booking_orphans(spark, sf):
@@ -240,11 +237,15 @@ def booking_transition_violations(spark, sf):
 
 
 def payment_errors(spark, sf):
-    return _counts(payment_candidates(spark, sf), "event_type", "validation_error")
+    return counts_by(payment_candidates(spark, sf), "event_type", "validation_error")
+
+
+def payment_reject_reasons(spark, sf):
+    return reject_reasons(payment_candidates(spark, sf))
 
 
 def payment_errors_strict(spark, sf):
-    return _counts(payment_candidates(spark, sf, strict=True), "event_type", "validation_error")
+    return counts_by(payment_candidates(spark, sf, strict=True), "event_type", "validation_error")
 
 
 def payment_events_clean(spark, sf):
@@ -278,13 +279,20 @@ def payments_current_join_twin(spark, sf):
     return payments.current_joined(payment_clean(spark, sf))
 
 
+def payment_orphans(spark, sf):
+    """Payments whose request never arrived: the requests of even payments are withheld."""
+    clean = payment_clean(spark, sf)
+    lost = (F.col("event_type") == "payment_requested") & (F.col("payment_id") % 2 == 0)
+    return orphan_share(payments.current(clean.filter(~lost)))
+
+
 def payment_status_counts(spark, sf):
-    return _counts(payments_now(spark, sf), "payment_status", "is_orphan")
+    return counts_by(payments_now(spark, sf), "payment_status", "is_orphan")
 
 
 def payment_transaction_errors(spark, sf):
     validated = payments.transaction_candidates(payment_events(spark, sf))
-    return _counts(validated, "event_type", "validation_error")
+    return counts_by(validated, "event_type", "validation_error")
 
 
 def payment_transactions_legacy(spark, sf):
@@ -328,7 +336,7 @@ def dq_latest_per_key(spark, sf):
 
 
 def dq_by_stage(spark, sf):
-    return _counts(dq_candidates(spark, sf), "validation_stage", "validation_error")
+    return counts_by(dq_candidates(spark, sf), "validation_stage", "validation_error")
 
 
 def _first_half(spark, sf):
@@ -498,7 +506,7 @@ def row_constraint_violations(spark, sf):
     everything = parts[0]
     for part in parts[1:]:
         everything = everything.unionAll(part)
-    return _counts(everything, "relation", "violation")
+    return counts_by(everything, "relation", "violation")
 
 
 def one_payment_per_booking(spark, sf):
@@ -530,7 +538,7 @@ def stream_bronze_count(spark, sf):
     root = scratch(spark, "stream")
     _ingest(spark, sf, root)
     stored = ingest.read_bronze(spark, f"{root}/bronze/booking_events")
-    return _counts(stored, "ingest_date", "kafka_partition")
+    return counts_by(stored, "ingest_date", "kafka_partition")
 
 
 def stream_bronze_rows(spark, sf):
@@ -574,7 +582,7 @@ def version_files(spark, sf):
 def pinned_version_read(spark, sf):
     """The version pinned before a later commit still reads as it was."""
     table, first = _published(spark, sf)
-    return _counts(first.read(spark), "event_type")
+    return counts_by(first.read(spark), "event_type")
 
 
 def _run(spark, sf, *names):
@@ -646,6 +654,7 @@ QUERIES = [
     booking_orphans,
     booking_transition_violations,
     payment_errors,
+    payment_reject_reasons,
     payment_errors_strict,
     payment_events_clean,
     payment_null_status_accepted,
@@ -653,6 +662,7 @@ QUERIES = [
     payment_request_disagreement,
     payments_current,
     payments_current_join_twin,
+    payment_orphans,
     payment_status_counts,
     payment_transaction_errors,
     payment_transactions_legacy,

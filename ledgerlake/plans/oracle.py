@@ -355,6 +355,11 @@ ORACLES = {
         OR (previous_status = 'rescheduled' AND status = 'checked_in'), false)""",
     "payment_errors": f"""{PAYMENTS} SELECT event_type, payment_error AS validation_error, count(*) AS n
       FROM events_p GROUP BY 1, 2""",
+    "payment_reject_reasons": f"""{PAYMENTS} SELECT payment_error AS validation_error, count(*) AS n FROM events_p
+      WHERE payment_error IS NOT NULL GROUP BY 1""",
+    "payment_orphans": f"""{PAYMENTS} SELECT count(DISTINCT payment_id) AS keys,
+      count(DISTINCT payment_id) FILTER (WHERE payment_id % 2 = 0) AS orphans FROM clean
+      WHERE NOT (kind = 'requested' AND payment_id % 2 = 0)""",
     "payment_errors_strict": f"{PAYMENTS} SELECT event_type, {_STRICT} AS validation_error, count(*) AS n FROM events_p GROUP BY 1, 2",
     "payment_events_clean": f"""{PAYMENTS} SELECT {_ENVELOPE}, payment_id, payment_transaction_id, request_amount_krw,
       transaction_type, amount_krw, payout_amount_krw, refund_amount_krw, paid_amount_krw, unpaid_amount_krw,

@@ -16,6 +16,7 @@ from ledgerlake.operators import bookings, dq, envelope, expect, gold, payments
 from ledgerlake.operators.bronze import copy_table
 from ledgerlake.operators.expect import CheckFailed
 from ledgerlake.sources import versions
+from ledgerlake.streaming.ingest import read_bronze
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ class Run:
             before = versions.last_batch(self.spark, table)
             if before is None:
                 raise CheckFailed(f"{table} has no committed batch")
-            rows = self.spark.read.parquet(table)
+            rows = read_bronze(self.spark, table)
             if versions.last_batch(self.spark, table) == before:
                 return before, rows
 

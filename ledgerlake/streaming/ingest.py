@@ -1,14 +1,19 @@
 """Topic to Bronze as a streaming append with a durable checkpoint."""
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake.operators.bronze import bronze_rows
 from ledgerlake.operators.expect import CheckFailed
+from ledgerlake.schemas import BRONZE
 from ledgerlake.sources.versions import exists
 
 INGEST_DATE = "ingest_date"
+STORED = T.StructType([*BRONZE, T.StructField(INGEST_DATE, T.DateType())])
 
 
 def guard_checkpoint(spark: SparkSession, target: str, checkpoint: str) -> None:
@@ -55,5 +60,13 @@ def ingest_available(records: DataFrame, target: str, checkpoint: str, **options
     return query.lastProgress
 
 
-def read_bronze(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target)
+def read_bronze(
+    spark: SparkSession, target: str, since: date | None = None, until: date | None = None
+) -> DataFrame:
+    """Bronze rows of the committed batches; ingest days outside the range are not listed."""
+    rows = spark.read.schema(STORED).parquet(target)
+    if since is not None:
+        rows = rows.filter(F.col(INGEST_DATE) >= since)
+    if until is not None:
+        rows = rows.filter(F.col(INGEST_DATE) <= until)
+    return rows

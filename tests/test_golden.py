@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from fixtures import bronze, event, golden_events
 
-from ledgerlake.operators import bookings, envelope, expect, gold, payments, reconcile
+from ledgerlake.operators import bookings, envelope, expect, gold, payments, reconcile, reports
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +41,20 @@ def test_event_counts(events):
     assert {r.event_type: (r.expected, r.actual) for r in off} == {"checked_in": (6, 7), "lost": (1, 0)}
 
 
+def test_reports(events, booking_events):
+    counted = reports.counts_by(events, "event_type").collect()
+    assert [r.event_type for r in counted] == sorted(COUNTS)
+    assert {r.event_type: r.n for r in counted} == COUNTS
+    assert reports.reject_reasons(bookings.candidates(events)).isEmpty()
+    rejected = reports.reject_reasons(payments.transaction_candidates(events)).collect()
+    assert [tuple(r) for r in rejected] == [
+        ("invalid_payment_completed_fields", 2),
+        ("invalid_payment_refunded_fields", 2),
+    ]
+    current = bookings.current(booking_events.filter("event_id <> 'c1'"))
+    assert tuple(reports.orphan_share(current).first()) == (10, 1)
+
+
 def d(day, hour, minute=0):
     return datetime(2026, 9, day, hour, minute)
 

@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import pytest
 from fixtures import NOON, event, records
 
@@ -32,6 +34,10 @@ def test_ingest_resumes_without_repeats(spark, tmp_path):
     run(spark, tmp_path)
     stored = ingest.read_bronze(spark, str(tmp_path / "bronze"))
     assert stored.count() == 9 and "ingest_date" in stored.columns
+    today = stored.first().ingest_date
+    later = ingest.read_bronze(spark, str(tmp_path / "bronze"), since=today + timedelta(days=1))
+    assert later.isEmpty() and "PartitionFilters: [isnotnull(ingest_date" in later._jdf.queryExecution().executedPlan().toString()
+    assert ingest.read_bronze(spark, str(tmp_path / "bronze"), today, today).count() == 9
     report = reconcile.bronze_vs_topic(readers.record_files(spark, topic), stored).first()
     assert tuple(report) == (9, 9, 0, 0, 0)
 
