@@ -92,6 +92,13 @@ def dimension(spark, sf):
     return gold.dim_shops(shops(spark, sf))
 
 
+def _stored(clean: DataFrame) -> DataFrame:
+    """Clean events as a written table, for operators that scan their input several times."""
+    spark = clean.sparkSession
+    narrow = clean.drop("payload", "kafka_key", "kafka_headers")
+    return versions.publish(narrow, f"{scratch(spark, 'clean')}/events").read(spark)
+
+
 def dq_candidates(spark, sf, at=FIRST_RUN):
     """Rejects of both booking stages, as one run over Bronze would record them."""
     parsed = booking_parsed(spark, sf)
@@ -230,7 +237,7 @@ def booking_orphans(spark, sf):
 
 
 def booking_transition_violations(spark, sf):
-    return bookings.transition_violations(booking_clean(spark, sf))
+    return bookings.transition_violations(_stored(booking_clean(spark, sf)))
 
 
 # --- payments --------------------------------------------------------------------
@@ -306,15 +313,12 @@ def payment_transactions_view(spark, sf):
 
 
 def ledger_reconciliation(spark, sf):
-    clean = payment_clean(spark, sf)
+    clean = _stored(payment_clean(spark, sf))
     return reconcile.payment_ledger(payments.current(clean), payments.transactions(clean))
 
 
 def ledger_replay(spark, sf):
-    """Replay over a stored table: the scan reads the events twice, both times pruned."""
-    table = f"{scratch(spark, 'replay')}/payment_events_clean"
-    stored = versions.publish(payment_clean(spark, sf), table)
-    return payments.ledger_replay(stored.read(spark))
+    return payments.ledger_replay(_stored(payment_clean(spark, sf)))
 
 
 def summary_violations(spark, sf):
