@@ -1,14 +1,33 @@
 """Where intermediate tables of a run go: the shared folder named by the session."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+HIDDEN = ".scratch"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a hidden folder of the warehouse stands in, which is refused when
+    it is a local path and the session runs on more than one machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="ledgerlake-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{HIDDEN}"
+        refuse_local(spark.sparkContext.master, base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def refuse_local(master: str, base: str) -> None:
+    """Executors of other machines cannot see a ``file:`` folder; only ``local`` masters may use one."""
+    if base.startswith(("file:", "/")) and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{base} is local to one machine; set spark.checkpoint.dir to a shared folder")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet and read back: later readers neither repeat the work nor lose it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
