@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, mixing, tokens, urls
+from ledgerlake.llm import chat, decontam, mixing, neardup, quality, tokens, urls
 from ledgerlake.llm.twins import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and decision of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation as read back from its formatted text."""
     stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,11 +43,21 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or template verdict of every page."""
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
@@ -54,8 +69,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_quality": op3_quality,
     "op4_chat_format": op4_chat_format,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_mixing": op7_mixing,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,10 +34,9 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def words_of(text: str | None, folded: bool = True) -> list[str]:
-    if not text:
-        return []
-    return _WORD.findall(text.translate(_FOLD) if folded else text)
+def words_of(text: str | None) -> list[str]:
+    """The words as they stand; ``WordHashes`` folds them."""
+    return _WORD.findall(text) if text else []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,16 +47,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, remembered per task; forgotten beyond a bound, so memory stays flat."""
+    """Word to the 64-bit hash of its folded form, remembered; forgotten beyond a bound of entries."""
 
     LIMIT = 400_000
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word.translate(_FOLD).encode("utf-8", "surrogatepass"))
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
