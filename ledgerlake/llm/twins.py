@@ -64,18 +64,18 @@ SELECT doc_id, source, size, source_size, target,
 FROM laid
 """
 
-_FOLDED = rf"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '')"""
+_FOLDED = rf"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"""
 
 #: Exact containment of every benchmark item; ``docs`` names the table of documents to search.
 LEAKS = rf"""
 WITH item_words AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
 item_runs AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS shingle
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
   FROM item_words WHERE len(w) >= 5
 ), items AS (SELECT item_id, count(*) AS n FROM item_runs GROUP BY item_id),
 doc_words AS (SELECT doc_id, {_FOLDED} AS w FROM {{docs}}),
 doc_runs AS (
-  SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS shingle
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
   FROM doc_words WHERE len(w) >= 5
 ), met AS (
   SELECT doc_id, item_id, count(DISTINCT shingle) AS shared
