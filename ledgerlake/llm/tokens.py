@@ -12,6 +12,7 @@ Defined cases: null and empty texts have 0 tokens; texts of any length are count
 rows are counted alike; an empty table gives an empty result.
 """
 
+import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -30,11 +31,11 @@ VOCABULARY = "word_bpe_49k.json"
 KEPT_LENGTH, KEPT_WORDS = 64, 400_000
 
 
-
 class PrefixCounter:
     """Counts tokens of prefixes for one vocabulary file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,30 +45,40 @@ class PrefixCounter:
         self.split = re.compile(WORD)
 
     def encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> dict[str, int]:
-        """Counts of words that are not known yet; the common ones are remembered."""
+    def learn(self, words: set[str]) -> None:
+        """Have the counts of all these words in ``known``."""
         new = [w for w in words if w not in self.known]
-        counts = dict(zip(new, self.encode(new), strict=True)) if new else {}
-        if len(self.known) + len(counts) > KEPT_WORDS:
+        self.known.update(zip(new, self.encode(new), strict=True))
+
+    def forget(self, words: set[str]) -> None:
+        """Keep memory flat: long words go at once, all others when there are too many."""
+        if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        self.known.update((w, n) for w, n in counts.items() if len(w) <= KEPT_LENGTH)
-        return counts
+            return
+        for word in words:
+            if len(word) > KEPT_LENGTH:
+                self.known.pop(word, None)
 
     def totals(self, texts: list[str | None]) -> list[int]:
         """The last entry of each text's prefix table."""
         split = [self.split.findall(t) if t else [] for t in texts]
-        counts = self.learn(set().union(*split) if split else set())
-        counts = _Chained(counts, self.known, self)
-        return [sum(map(counts.__getitem__, words)) for words in split]
+        words = set().union(*split)
+        self.learn(words)
+        totals = [sum(map(self.known.__getitem__, found)) for found in split]
+        self.forget(words)
+        return totals
 
     def table(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """End of every word (in signs) and the exact count of the prefix that ends there."""
         found = [(m.end(), m.group()) for m in self.split.finditer(text or "")]
-        counts = _Chained(self.learn({w for _, w in found}), self.known, self)
+        words = {w for _, w in found}
+        self.learn(words)
         ends = np.fromiter((e for e, _ in found), np.int64, len(found))
-        return ends, np.cumsum(np.fromiter((counts[w] for _, w in found), np.int64, len(found)))
+        counts = np.cumsum(np.fromiter((self.known[w] for _, w in found), np.int64, len(found)))
+        self.forget(words)
+        return ends, counts
 
     @lru_cache(maxsize=50_000)  # noqa: B019  one counter lives as long as its process
     def inside(self, word: str) -> tuple[int, ...]:
@@ -75,21 +86,6 @@ class PrefixCounter:
         return tuple(self.encode([word[:k] for k in range(1, len(word) + 1)]))
 
 
-class _Chained:
-    """Counts of this batch's new words, then the remembered ones, then a fresh encoding."""
-
-    def __init__(self, new: dict[str, int], known: dict[str, int], counter: PrefixCounter):
-        self.new, self.known, self.counter = new, known, counter
-
-    def __getitem__(self, word: str) -> int:
-        n = self.new.get(word)
-        if n is None:
-            n = self.known.get(word)
-        if n is None:
-            n = self.new[word] = self.counter.encode([word])[0]
-        return n
-
-
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
