@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, decontam, linedup, mixing, neardup, quality, tokens, urls
+from ledgerlake.llm import chat, decontam, linedup, mixing, neardup, quality, tokens, topk, urls
 from ledgerlake.llm.twins import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those removed, and a digest of what is left."""
     done = linedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,6 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_top_k": op1_top_k,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_chat_format": op4_chat_format,

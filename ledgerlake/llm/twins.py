@@ -85,7 +85,22 @@ SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment
 FROM met JOIN items USING (item_id) WHERE shared / n >= 0.75
 """
 
+TOP_K = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 ORACLES = {
+    "op1_top_k": TOP_K,
     "op4_chat_format": CHAT,
     "op8_decontamination": LEAKS.format(docs="documents"),
     "op7_mixing": MIXING.format(docs="documents"),
