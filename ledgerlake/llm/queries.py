@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, decontam, linedup, mixing, neardup, quality, tokens, topk, urls
+from ledgerlake.llm import chat, decontam, linedup, mixing, neardup, quality, suffix, tokens, topk, urls
 from ledgerlake.llm.twins import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -59,6 +59,19 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and runs removed of every document, and a digest of what is left."""
+    found = suffix.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -85,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_chat_format": op4_chat_format,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_repeats": op6_repeats,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
