@@ -121,5 +121,5 @@ def leaks(documents: DataFrame, benchmark: DataFrame, contained: float = CONTAIN
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
-    bad = stored(leaks(documents, benchmark).select(F.col("doc_id").alias("id")).distinct(), "leak-documents")
-    return documents.join(_sent(bad), F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    bad = stored(leaks(documents, benchmark).select(F.col("doc_id").alias("_leaking")).distinct(), "leak-documents")
+    return documents.join(_sent(bad), F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")

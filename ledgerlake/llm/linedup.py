@@ -337,22 +337,25 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def remove_lines(documents: DataFrame) -> DataFrame:
-    """The documents without their later similar lines, with ``n_lines`` and ``n_removed``."""
-    gone = removed_lines(documents).withColumnsRenamed({"doc_id": "gone_id", "tag": "gone_tag"})
+def without_lines(documents: DataFrame) -> DataFrame:
+    """The documents without their later similar lines, with the hidden columns ``_lines`` and ``_removed``."""
+    gone = removed_lines(documents).withColumnsRenamed({"doc_id": "_gone_id", "tag": "_gone_tag", "gone": "_gone"})
     tagged = documents.withColumn("_tag", F.xxhash64("text"))
     joined = tagged.join(
-        gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("_tag") == F.col("gone_tag")), "left"
+        gone, (F.col("doc_id") == F.col("_gone_id")) & (F.col("_tag") == F.col("_gone_tag")), "left"
     )
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, at: ~F.array_contains("gone", at))
+    kept = F.filter(lines, lambda _, at: ~F.array_contains("_gone", at))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[
-            F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
-            if c == "text"
-            else F.col(c)
-            for c in documents.columns
-        ],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias("text") if c == "text" else F.col(c) for c in documents.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"),
+    )
+
+
+def remove_lines(documents: DataFrame) -> DataFrame:
+    """As ``without_lines``, with the counts as ``n_lines`` and ``n_removed``."""
+    return without_lines(documents).withColumns({"n_lines": F.col("_lines"), "n_removed": F.col("_removed")}).drop(
+        "_lines", "_removed"
     )

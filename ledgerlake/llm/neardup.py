@@ -283,5 +283,5 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group of near duplicates (the smallest doc_id), all columns as they were."""
-    dropped = near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("id"))
-    return documents.join(stored(dropped, "near-dropped"), F.col("doc_id") == F.col("id"), "left_anti")
+    dropped = near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    return documents.join(stored(dropped, "near-dropped"), F.col("doc_id") == F.col("_dropped"), "left_anti")

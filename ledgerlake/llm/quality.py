@@ -187,10 +187,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes
     return bytes(model[0]) if model else None
 
 
-def score(documents: DataFrame, model: bytes | None) -> DataFrame:
-    """All columns of ``documents`` with ``score`` (0 to 1; higher: better)."""
+def score(documents: DataFrame, model: bytes | None, name: str = "score") -> DataFrame:
+    """All columns of ``documents`` with the score (0 to 1; higher: better) as column ``name``."""
     if model is None:
-        return documents.withColumn("score", F.lit(1.0))
+        return documents.withColumn(name, F.lit(1.0))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -200,7 +200,7 @@ def score(documents: DataFrame, model: bytes | None) -> DataFrame:
             chars = [None if pd.isna(n) else int(n) for n in n_chars]
             yield pd.Series([machine.score(t, n) for t, n in zip(text, chars, strict=True)], dtype="float64")
 
-    return documents.withColumn("score", scored("text", "n_chars"))
+    return documents.withColumn(name, scored("text", "n_chars"))
 
 
 def classify(documents: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -217,4 +217,5 @@ def classify(documents: DataFrame, labels: DataFrame, keep: float = KEEP) -> Dat
 
 def keep_good(documents: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that the classifier does not reject, all columns as they were."""
-    return score(documents, fit(documents, labels)).filter(F.col("score") >= keep).drop("score")
+    scored = score(documents, fit(documents, labels), "_quality")
+    return scored.filter(F.col("_quality") >= keep).drop("_quality")

@@ -4,7 +4,7 @@
 2. Segments of digits or of long mixed tokens are variable and become ``<num>`` or ``<id>``.
    Level by level, a node whose children are nearly all different gets the one child ``*``.
 3. A branch whose subtree is spread like that of all its siblings together (total variation at
-   most ``SPREAD``) and whose labelled share agrees with theirs is merged with them into ``*``.
+   most ``SPREAD``) and whose labelled share agrees with theirs is merged with its like into ``*``.
 4. Urls that a rule decides are the labels. A template is rejected when its purity, the blocked
    share of its labels smoothed towards ``PRIOR``, reaches ``REJECT`` and at least ``SUPPORT`` of
    its urls carry a label; so templates that nothing is known about are allowed.
@@ -130,12 +130,14 @@ def templates(counted: DataFrame) -> DataFrame:
             F.max("branches").alias("branches"),
         )
     )
-    merged = distance.filter(
+    alike = distance.filter(
         (F.col("branches") > 1)
         & (F.col("apart") <= SPREAD)
         & (F.col("blocked_gap") <= AGREE)
         & (F.col("label_gap") <= AGREE)
-    ).select("host", "s1", F.lit(True).alias("merge"))
+    ).select("host", "s1")
+    several = alike.groupBy("host").agg(F.count("*").alias("alike")).filter("alike > 1").select("host")
+    merged = alike.join(several, "host").withColumn("merge", F.lit(True))
     rows = _look_up(rows, merged, ["host", "s1"]).withColumn(
         "s1", F.when(F.col("merge") & (F.col("s1") != NONE), F.lit(WILD)).otherwise(F.col("s1"))
     )
