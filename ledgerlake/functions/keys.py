@@ -4,16 +4,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.rules import blank
+from ledgerlake.schemas import DQ_EVENT, DQ_POSITION, DQ_UNKNOWN, POSITION
 
 
 def dq_key() -> Column:
     """``event:<id>``, or the record position when there is no usable event id."""
     position = F.concat_ws(
         ":",
-        F.lit("kafka"),
-        *(
-            F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-            for c in ("kafka_topic", "kafka_partition", "kafka_offset")
-        ),
+        F.lit(DQ_POSITION),
+        *(F.coalesce(F.col(c).cast("string"), F.lit(DQ_UNKNOWN)) for c in POSITION),
     )
-    return F.when(blank("event_id"), position).otherwise(F.concat(F.lit("event:"), "event_id"))
+    return F.when(blank("event_id"), position).otherwise(F.concat(F.lit(f"{DQ_EVENT}:"), "event_id"))

@@ -1,39 +1,46 @@
 """Ordered scans inside a key that stay balanced when one key dominates the input.
 
-A running window puts a whole key into one task, which is fine until a key outgrows a task.
-Keys with at least ``hot_rows`` rows are therefore cut into consecutive buckets of their
-order: bucket summaries (combined map-side) are scanned per key, and each bucket starts from
-a head row that carries the state before it. All other keys keep a single bucket and need no
-head, so the rows themselves are shuffled once in either case.
-
-At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast of their list: a
-trillion rows have no more than a million hot keys at the default.
+A running window puts a whole key into one task. Here a key is cut into consecutive buckets of
+its order, on one or more levels from coarse to fine: the sums of the finest buckets are combined
+map-side, the coarsest are scanned per key, every finer level inside one bucket of the level above,
+and the rows inside one bucket of the finest. Each scan starts from a head row that carries the
+state before it. Every key takes the same path, NULLs are a bucket of their own that comes first,
+and no join or broadcast is involved: the input is read twice, once for its sums.
+
+A window holds at most one coarse bucket per key, one finer bucket per coarse one, or the rows of
+one finest bucket.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.ordering import Order, sort_columns
+from ledgerlake.functions.ordering import CREATION, Order, sort_columns
 
-HOT_ROWS = 1_000_000
-_BUCKET, _HEAD, _HOT = "_bucket", "_head", "_hot"
+_HEAD = "_head"
+#: Positions of one topic partition that share the finest bucket of :func:`creation_buckets`.
+OFFSETS = 65_536
 
 
-def _bucketed(rows: DataFrame, key: str, bucket: Column, hot_rows: int) -> DataFrame:
-    """Add the bucket of hot keys; NULL for the others."""
-    hot = (
-        rows.groupBy(F.col(key).alias(_HOT))
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") >= hot_rows)
-        .select(_HOT, F.lit(True).alias("_cut"))
-    )
-    return rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col(_HOT)), "left").select(
-        *rows.columns, F.when(F.col("_cut"), bucket).alias(_BUCKET)
-    )
+def creation_buckets() -> list[Column]:
+    """Minutes, then the full creation order with offsets in ranges; both rise along it.
+
+    A key that has a single event time (a backfill, a coarse clock) is still cut by position.
+    """
+    *times_and_partition, offset = (c for c, _ in CREATION)
+    return [
+        F.date_trunc("minute", "event_time"),
+        F.struct(*times_and_partition, F.floor(F.col(offset) / OFFSETS).alias("range")),
+    ]
+
 
+def _names(levels: int) -> list[str]:
+    return [f"_bucket{i}" for i in range(levels)]
 
-def _behind(key: str):
-    return Window.partitionBy(key).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+
+def _scan(within: Sequence[str], order: Sequence[Column]):
+    return Window.partitionBy(*within).orderBy(F.col(_HEAD).desc(), *order)
 
 
 def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -42,75 +49,77 @@ def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def _within(key: str, order: Order):
-    return Window.partitionBy(key, _BUCKET).orderBy(F.col(_HEAD).desc(), *sort_columns(order))
-
-
 def running_sums(
     rows: DataFrame,
     key: str,
-    bucket: Column,
+    buckets: Sequence[Column],
     order: Order,
     sums: dict[str, Column],
     totals: dict[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums per ``key``.
 
-    ``bucket`` must not be NULL and must not decrease along ``order``. ``totals`` maps extra
-    output columns to the sum (a name in ``sums``) whose whole-key total they hold.
+    No bucket may decrease along ``order``, NULLs first. ``totals`` maps extra output columns to
+    the sum (a name in ``sums``) whose whole-key total they hold.
     """
-    totals = totals or {}
-    staged = _bucketed(rows, key, bucket, hot_rows).select(
-        "*", *(F.coalesce(value, F.lit(0)).alias(name) for name, value in sums.items())
-    )
-    summaries = (
-        staged.filter(F.col(_BUCKET).isNotNull())
-        .groupBy(key, _BUCKET)
-        .agg(*(F.sum(n).alias(n) for n in sums))
+    totals, levels = totals or {}, _names(len(buckets))
+    staged = rows.select(
+        "*",
+        *(b.alias(name) for name, b in zip(levels, buckets, strict=True)),
+        *(F.coalesce(value, F.lit(0)).alias(name) for name, value in sums.items()),
     )
-    heads = summaries.select(
-        key,
-        _BUCKET,
-        *(F.coalesce(F.sum(n).over(_behind(key)), F.lit(0)).alias(n) for n in sums),
-        *(F.sum(src).over(Window.partitionBy(key)).alias(out) for out, src in totals.items()),
-    )
-    inclusive = _within(key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    group = Window.partitionBy(key, _BUCKET)
+    finest = staged.groupBy(key, *levels).agg(*(F.sum(n).alias(n) for n in sums))
+    per_level = [finest]
+    for depth in range(len(levels) - 1, 0, -1):
+        per_level.insert(0, per_level[0].groupBy(key, *levels[:depth]).agg(*(F.sum(n).alias(n) for n in sums)))
+    heads = None
+    for depth, level in enumerate(per_level):
+        outer, own = [key, *levels[:depth]], levels[depth]
+        if heads is None:
+            level = level.withColumn(_HEAD, F.lit(False))
+            level = level.withColumns({o: F.sum(s).over(Window.partitionBy(key)) for o, s in totals.items()})
+        else:
+            level = _with_heads(level, heads)
+        scan = _scan(outer, [F.col(own).asc_nulls_first()])
+        before = scan.rowsBetween(Window.unboundedPreceding, -1)
+        heads = level.select(
+            *outer,
+            own,
+            _HEAD,
+            *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums),
+            *(F.first(o, ignorenulls=True).over(Window.partitionBy(*outer)).alias(o) for o in totals),
+        )
+        heads = heads.filter(~F.col(_HEAD)).drop(_HEAD)
+    scan = _scan([key, *levels], sort_columns(order))
+    inclusive = scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = _with_heads(staged, heads).select(
         *rows.columns,
         _HEAD,
         *(F.sum(n).over(inclusive).alias(n) for n in sums),
-        *(
-            F.coalesce(F.first(out).over(inclusive), F.sum(src).over(group)).alias(out)
-            for out, src in totals.items()
-        ),
+        *(F.first(o).over(inclusive).alias(o) for o in totals),
     )
     return scanned.filter(~F.col(_HEAD)).drop(_HEAD)
 
 
 def previous_value(
-    rows: DataFrame,
-    key: str,
-    bucket: Column,
-    order: Order,
-    value: str,
-    name: str,
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, key: str, buckets: Sequence[Column], order: Order, value: str, name: str
 ) -> DataFrame:
     """Add ``name``: ``value`` of the preceding row of the key under ``order`` (all ascending)."""
-    staged = _bucketed(rows, key, bucket, hot_rows)
+    levels = _names(len(buckets))
+    staged = rows.select("*", *(b.alias(n) for n, b in zip(levels, buckets, strict=True)))
     rank = [F.col(c).alias(f"_{i}") for i, (c, _) in enumerate(order)]
-    last = F.max(F.struct(*rank, F.col(value).alias("value")))
-    summaries = (
-        staged.filter(F.col(_BUCKET).isNotNull()).groupBy(key, _BUCKET).agg(last.alias("_last"))
-    )
-    heads = summaries.select(
-        key,
-        _BUCKET,
-        F.lag("_last.value").over(Window.partitionBy(key).orderBy(_BUCKET)).alias(value),
-    )
+    last = F.max(F.struct(*rank, F.col(value).alias("value"))).alias("_last")
+    per_level = [staged.groupBy(key, *levels).agg(last)]
+    for depth in range(len(levels) - 1, 0, -1):
+        per_level.insert(0, per_level[0].groupBy(key, *levels[:depth]).agg(F.max("_last").alias("_last")))
+    heads = None
+    for depth, level in enumerate(per_level):
+        outer, own = [key, *levels[:depth]], levels[depth]
+        level = level.select(*outer, own, F.col("_last.value").alias(value))
+        level = level.withColumn(_HEAD, F.lit(False)) if heads is None else _with_heads(level, heads)
+        before = F.lag(value).over(_scan(outer, [F.col(own).asc_nulls_first()]))
+        heads = level.select(*outer, own, _HEAD, before.alias(value)).filter(~F.col(_HEAD)).drop(_HEAD)
     scanned = _with_heads(staged, heads).select(
-        *rows.columns, _HEAD, F.lag(value).over(_within(key, order)).alias(name)
+        *rows.columns, _HEAD, F.lag(value).over(_scan([key, *levels], sort_columns(order))).alias(name)
     )
     return scanned.filter(~F.col(_HEAD)).drop(_HEAD)

@@ -1,10 +1,10 @@
 """Booking domain: typed lifecycle events, current state, transition audit."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import fields
-from ledgerlake.functions.ordering import CREATION, LATEST_STATE, leading, sort_columns
+from ledgerlake.functions.ordering import CREATION, LATEST_STATE, leading
 from ledgerlake.functions.rules import (
     Rule,
     any_of,
@@ -14,7 +14,7 @@ from ledgerlake.functions.rules import (
     not_equal,
     not_positive,
 )
-from ledgerlake.functions.running import previous_value
+from ledgerlake.functions.running import creation_buckets, previous_value
 from ledgerlake.operators.envelope import accepted
 from ledgerlake.schemas import (
     BOOKING_EVENT_TYPES,
@@ -84,7 +84,7 @@ def clean(validated: DataFrame) -> DataFrame:
 def current(events: DataFrame) -> DataFrame:
     """One row per booking: latest status, first creation, latest known start.
 
-    One aggregation and one shuffle; see :func:`current_joined` for the three-way form.
+    One aggregation and one shuffle.
     """
     state = ["shop_id", "status", "cancelled_at", "event_id", "event_type", "event_time"]
     created = ["customer_id", "service_id", "staff_id", "booked_price_krw", "event_time"]
@@ -110,52 +110,12 @@ def current(events: DataFrame) -> DataFrame:
     )
 
 
-def current_joined(events: DataFrame) -> DataFrame:
-    """Twin of :func:`current` from three ranked selections and two left joins."""
-
-    def top(rows, order, **columns):
-        w = Window.partitionBy("booking_id").orderBy(*sort_columns(order))
-        return (
-            rows.withColumn("_rank", F.row_number().over(w))
-            .filter("_rank = 1")
-            .select("booking_id", *(F.col(src).alias(out) for out, src in columns.items()))
-        )
-
-    status = top(
-        events,
-        LATEST_STATE,
-        shop_id="shop_id",
-        status="status",
-        cancelled_at="cancelled_at",
-        status_event_id="event_id",
-        status_event_type="event_type",
-        status_event_time="event_time",
-    )
-    creation = top(
-        events.filter(F.col("event_type") == "booking_created"),
-        CREATION,
-        created_booking="booking_id",
-        customer_id="customer_id",
-        service_id="service_id",
-        staff_id="staff_id",
-        booked_price_krw="booked_price_krw",
-        created_event_time="event_time",
-    )
-    start = top(events.filter(F.col("start_at").isNotNull()), LATEST_STATE, start_at="start_at")
-    return (
-        status.join(creation, "booking_id", "left")
-        .join(start, "booking_id", "left")
-        .withColumn("is_orphan", F.col("created_booking").isNull())
-        .select(*BOOKINGS_CURRENT)
-    )
-
-
 def transition_violations(events: DataFrame) -> DataFrame:
     """Events whose status may not follow the previous status of the booking."""
     traced = previous_value(
         events.select("booking_id", "event_id", "event_type", "status", *(c for c, _ in CREATION)),
         "booking_id",
-        F.date_trunc("minute", "event_time"),
+        creation_buckets(),
         CREATION,
         "status",
         "previous_status",

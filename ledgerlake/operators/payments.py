@@ -1,10 +1,10 @@
 """Payment domain: typed events, current state, ledger replay, summary rules."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import fields
-from ledgerlake.functions.ordering import CREATION, LATEST_STATE, leading, sort_columns
+from ledgerlake.functions.ordering import CREATION, LATEST_STATE, leading
 from ledgerlake.functions.rules import (
     Rule,
     any_of,
@@ -14,7 +14,7 @@ from ledgerlake.functions.rules import (
     not_equal,
     not_positive,
 )
-from ledgerlake.functions.running import running_sums
+from ledgerlake.functions.running import creation_buckets, running_sums
 from ledgerlake.operators.envelope import accepted
 from ledgerlake.schemas import (
     ENVELOPE,
@@ -220,35 +220,6 @@ def current(events: DataFrame) -> DataFrame:
     )
 
 
-def current_joined(events: DataFrame) -> DataFrame:
-    """Twin of :func:`current` from two ranked selections and a left join."""
-
-    def top(rows, order):
-        w = Window.partitionBy("payment_id").orderBy(*sort_columns(order))
-        return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1")
-
-    state = top(events, LATEST_STATE).withColumnsRenamed(
-        {
-            "payment_transaction_id": "latest_transaction_id",
-            "transaction_type": "latest_transaction_type",
-            "amount_krw": "latest_transaction_amount_krw",
-            "event_id": "state_event_id",
-            "event_type": "state_event_type",
-            "event_time": "state_event_time",
-        }
-    )
-    request = top(events.filter(F.col("event_type") == "payment_requested"), CREATION).select(
-        "payment_id",
-        F.lit(True).alias("_requested"),
-        F.col("event_time").alias("requested_event_time"),
-    )
-    return (
-        state.join(request, "payment_id", "left")
-        .withColumn("is_orphan", F.col("_requested").isNull())
-        .select(*PAYMENTS_CURRENT)
-    )
-
-
 def ledger_replay(events: DataFrame) -> DataFrame:
     """Rebuild each event's summary from the movements so far and compare.
 
@@ -261,7 +232,7 @@ def ledger_replay(events: DataFrame) -> DataFrame:
             *SUMMARY_AMOUNTS, "payment_status", "needs_repayment", *(c for c, _ in CREATION),
         ),
         "payment_id",
-        F.date_trunc("minute", "event_time"),
+        creation_buckets(),
         CREATION,
         {
             "replayed_payout": F.when(F.col("transaction_type") == "payment", moved),

@@ -5,6 +5,7 @@ from datetime import date, datetime
 import pytest
 from fixtures import bronze, event, golden_events
 
+from ledgerlake.plans import joined
 from ledgerlake.operators import bookings, envelope, expect, gold, payments, reconcile, reports
 
 
@@ -73,7 +74,7 @@ BOOKINGS = {
 }
 
 
-@pytest.mark.parametrize("build", [bookings.current, bookings.current_joined])
+@pytest.mark.parametrize("build", [bookings.current, joined.bookings_current])
 def test_bookings_current(booking_events, build):
     rows = build(booking_events).collect()
     assert {
@@ -95,7 +96,7 @@ PAYMENTS = {
 }
 
 
-@pytest.mark.parametrize("build", [payments.current, payments.current_joined])
+@pytest.mark.parametrize("build", [payments.current, joined.payments_current])
 def test_payments_current(payment_events, build):
     rows = build(payment_events).collect()
     assert {
@@ -160,6 +161,6 @@ def test_orphans_and_ties(spark):
         event("b", "checked_in", tie, 5, status="checked_in"),
     ]
     clean = bookings.clean(bookings.candidates(envelope.parse(bronze(spark, payloads))))
-    for build in (bookings.current, bookings.current_joined):
+    for build in (bookings.current, joined.bookings_current):
         (row,) = build(clean).collect()
         assert (row.status, row.is_orphan, row.customer_id, row.start_at) == ("no_show", True, None, None)
