@@ -94,11 +94,6 @@ def row_checks(df: DataFrame, constraints: Mapping[str, Column]) -> DataFrame:
     return df.select("*", F.explode(broken).alias("violation"))
 
 
-def require_rows(df: DataFrame, message: str) -> None:
-    if df.isEmpty():
-        raise CheckFailed(message)
-
-
 def require_none(violations: DataFrame, message: str) -> None:
     if not violations.isEmpty():
         raise CheckFailed(message)

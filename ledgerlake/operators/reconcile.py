@@ -5,9 +5,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.ordering import LATEST_STATE, leading
 from ledgerlake.functions.rules import any_of
 from ledgerlake.operators.bronze import bronze_rows
-from ledgerlake.operators.expect import duplicates
+from ledgerlake.operators.expect import CheckFailed, duplicates
 from ledgerlake.schemas import BRONZE, POSITION
 
 _CHUNK = 1_000_000
@@ -21,14 +22,16 @@ def table_diff(a: DataFrame, b: DataFrame, label_a: str, label_b: str) -> DataFr
     """
     counted = _signed_counts(a, b)
     labelled = counted.withColumn("difference", F.when(F.col("_n") > 0, label_a).otherwise(label_b))
-    # surplus copies in two steps, so that no array grows with the surplus
-    copies = labelled.withColumn("_n", F.abs("_n"))
-    copies = copies.withColumn(
+    return _copies(labelled.withColumn("_n", F.abs("_n"))).select("difference", *a.columns)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """Every row ``_n`` times; in two steps, so that no array grows with the surplus."""
+    copies = rows.withColumn(
         "_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(_CHUNK).cast("bigint")))
     )
     upto = F.least(F.col("_from") + (_CHUNK - 1), F.col("_n") - 1)
-    copies = copies.withColumn("_i", F.explode(F.sequence(F.col("_from"), upto)))
-    return copies.select("difference", *a.columns)
+    return copies.withColumn("_i", F.explode(F.sequence(F.col("_from"), upto)))
 
 
 def _signed_counts(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -42,22 +45,65 @@ def _signed_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def bronze_vs_topic(records: DataFrame, bronze: DataFrame) -> DataFrame:
-    """One row: topic and Bronze sizes, missing and extra records, repeated positions."""
+DIGEST = "_digest"
+#: Timestamps in a digest keep their microseconds.
+_EXACT = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def row_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 over a JSON text of the columns, in which NULL, empty and quoted values differ."""
+    return F.sha2(F.to_json(F.struct(*columns), _EXACT), 256)
+
+
+def _recorded(records: DataFrame, bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topic and Bronze in the same columns."""
     columns = [f.name for f in BRONZE if f.name != "bronze_ingested_at"]
-    topic, stored = bronze_rows(records).select(*columns), bronze.select(*columns)
+    return bronze_rows(records).select(*columns), bronze.select(*columns)
+
+
+def _per_record(topic: DataFrame, stored: DataFrame) -> DataFrame:
+    """How often each record is in the topic and in Bronze: one shuffle of positions and digests."""
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    sides = topic.select("*", one.alias("t"), zero.alias("b")).unionAll(
-        stored.select("*", zero.alias("t"), one.alias("b"))
+    digest = row_digest(topic.columns).alias(DIGEST)
+    sides = topic.select(*POSITION, digest, one.alias("t"), zero.alias("b")).unionAll(
+        stored.select(*POSITION, digest, zero.alias("t"), one.alias("b"))
     )
-    # identical records first, then positions: the second step only sees distinct records
-    per_record = sides.groupBy(*columns).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    grouped = sides.repartition(*POSITION).groupBy(*POSITION, DIGEST)
+    return grouped.agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def record_diff(records: DataFrame, bronze: DataFrame) -> DataFrame:
+    """Records that only the topic (``topic_only``) or only Bronze (``bronze_only``) holds, as a multiset.
+
+    Positions and digests are compared first; whole records are fetched for differing ones only.
+    """
+    topic, stored = _recorded(records, bronze)
+    differing = _per_record(topic, stored).withColumn("_n", F.col("t") - F.col("b")).filter("_n <> 0")
+
+    def surplus(rows: DataFrame, sign: int, label: str) -> DataFrame:
+        wanted = differing.select(*(F.col(c).alias(f"_{c}") for c in POSITION), F.col(DIGEST).alias("_d"), (F.col("_n") * sign).alias("_n"))
+        wanted = wanted.filter("_n > 0")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in POSITION]
+        met = rows.withColumn(DIGEST, row_digest(rows.columns)).join(wanted, [*same, F.col(DIGEST) == F.col("_d")])
+        first = met.groupBy(*POSITION, DIGEST).agg(F.first(F.struct(*rows.columns)).alias("row"), F.first("_n").alias("_n"))
+        return _copies(first.select("row.*", "_n")).select(F.lit(label).alias("difference"), *rows.columns)
+
+    return surplus(topic, 1, "topic_only").unionAll(surplus(stored, -1, "bronze_only"))
+
+
+def bronze_vs_topic(records: DataFrame, bronze: DataFrame) -> DataFrame:
+    """One row: topic and Bronze sizes, missing and extra records, repeated positions."""
+    zero = F.lit(0).cast("bigint")
     surplus = F.col("t") - F.col("b")
-    per_position = per_record.groupBy(*POSITION).agg(
-        F.sum("t").alias("t"),
-        F.sum("b").alias("b"),
-        F.sum(F.greatest(surplus, zero)).alias("missing"),
-        F.sum(F.greatest(-surplus, zero)).alias("extra"),
+    per_position = (
+        _per_record(*_recorded(records, bronze))
+        .groupBy(*POSITION)
+        .agg(
+            F.sum("t").alias("t"),
+            F.sum("b").alias("b"),
+            F.sum(F.greatest(surplus, zero)).alias("missing"),
+            F.sum(F.greatest(-surplus, zero)).alias("extra"),
+        )
     )
     return per_position.agg(
         _total("t", "topic_rows"),
@@ -68,6 +114,35 @@ def bronze_vs_topic(records: DataFrame, bronze: DataFrame) -> DataFrame:
     )
 
 
+def bronze_reconciliation(
+    records: DataFrame, bronze: DataFrame, expected_ids: DataFrame | None = None
+) -> DataFrame:
+    """The figures of :func:`bronze_vs_topic`, and of the ids in both directions if a list is given."""
+    figures = bronze_vs_topic(records, bronze)
+    if expected_ids is None:
+        return figures
+    ids = id_diff(expected_ids, event_ids(bronze)).agg(
+        F.count_if(F.col("difference") == "missing").alias("ids_missing"),
+        F.count_if(F.col("difference") == "unexpected").alias("ids_unexpected"),
+    )
+    return figures.crossJoin(ids)  # one row each
+
+
+def verify_bronze(
+    records: DataFrame, bronze: DataFrame, expected_ids: DataFrame | None = None
+) -> DataFrame:
+    """Records per event type of a Bronze table that reconciles; refused with the figures otherwise."""
+    if expected_ids is not None and expected_ids.isEmpty():
+        raise CheckFailed("the list of expected ids is empty; nothing can be reconciled")
+    figures = bronze_reconciliation(records, bronze, expected_ids).first().asDict()
+    if not figures["topic_rows"]:
+        raise CheckFailed("the topic has no records; no ingestion was verified")
+    bad = {k: v for k, v in figures.items() if k not in ("topic_rows", "bronze_rows") and v}
+    if bad:
+        raise CheckFailed("Bronze does not reconcile: " + ", ".join(f"{k}={v}" for k, v in bad.items()))
+    return event_type_counts(bronze)
+
+
 def _total(column: str, name: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).alias(name)
 
@@ -93,12 +168,13 @@ def ids_missing(expected: DataFrame, found: DataFrame, key: str = "event_id") ->
 
 
 def id_diff(expected: DataFrame, found: DataFrame, key: str = "event_id") -> DataFrame:
-    """Both directions at once, one shuffle: ids with ``missing`` or ``unexpected``."""
-    sides = expected.select(key, F.lit(True).alias("e")).unionAll(
-        found.select(key, F.lit(False).alias("e"))
-    )
+    """Both directions at once, one shuffle: ids with ``missing`` or ``unexpected``.
+
+    A record without a readable id is unexpected (as the id NULL); a NULL in the list is no id.
+    """
+    sides = expected.filter(F.col(key).isNotNull()).select(key, F.lit(True).alias("e"))
     return (
-        sides.filter(F.col(key).isNotNull())
+        sides.unionAll(found.select(key, F.lit(False).alias("e")))
         .groupBy(key)
         .agg(F.bool_and("e").alias("only_expected"), F.bool_or("e").alias("expected"))
         .filter("only_expected OR NOT expected")
@@ -119,6 +195,33 @@ def ledger_sums(movements: DataFrame) -> DataFrame:
     )
 
 
+def payment_ledger_of_events(events: DataFrame) -> DataFrame:
+    """:func:`payment_ledger` straight from clean payment events: one scan, one shuffle.
+
+    The latest summary and the signed sums of a payment come from the same aggregate.
+    """
+    kind = F.when(F.col("payment_transaction_id").isNotNull(), F.col("transaction_type"))
+    amount, zero = F.col("amount_krw"), F.lit(0)
+    stated = ["payout_amount_krw", "refund_amount_krw", "paid_amount_krw"]
+    per_payment = events.groupBy("payment_id").agg(
+        leading(LATEST_STATE, stated).alias("s"),
+        F.coalesce(F.sum(F.when(kind == "payment", amount)), zero).alias("ledger_payout"),
+        F.coalesce(F.sum(F.when(kind == "refund", amount)), zero).alias("ledger_refund"),
+    )
+    flat = per_payment.select(
+        "payment_id",
+        *(F.col(f"s.row.{c}") for c in stated),
+        "ledger_payout",
+        "ledger_refund",
+        (F.col("ledger_payout") - F.col("ledger_refund")).alias("ledger_paid"),
+    )
+    broken = any_of(
+        F.col("payout_amount_krw") != F.col("paid_amount_krw") + F.col("refund_amount_krw"),
+        *(F.col(c) != F.col(f"ledger_{c.removesuffix('_amount_krw')}") for c in stated),
+    )
+    return flat.filter(broken)
+
+
 def payment_ledger(summaries: DataFrame, movements: DataFrame) -> DataFrame:
     """Summaries that disagree with the movements recorded for the payment."""
     pairs = {"payout": "payout_amount_krw", "refund": "refund_amount_krw", "paid": "paid_amount_krw"}

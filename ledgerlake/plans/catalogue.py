@@ -10,19 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake import schemas
-from ledgerlake.functions.ordering import EARLIEST_DELIVERY, first_per_key_ranked
+from ledgerlake.functions.ordering import EARLIEST_DELIVERY
 from ledgerlake.operators import bookings, dq, envelope, expect, gold, payments, reconcile
-from ledgerlake.operators.bronze import copy_table
+from ledgerlake.operators.bronze import bronze_rows, copy_table
 from ledgerlake.operators.reports import counts_by, orphan_share, reject_reasons
-from ledgerlake.plans import domains, stages
-from ledgerlake.sources import derived, outbox, versions
-from ledgerlake.sources.derived import AS_OF, REDELIVERY_OFFSET
-from ledgerlake.sources.readers import record_files_stream
-from ledgerlake.sources.scratch import scratch
+from ledgerlake.plans import derived, domains, joined, stages
+from ledgerlake.plans.derived import AS_OF, redelivered
+from ledgerlake.sources import outbox, versions
+from ledgerlake.sources.readers import id_list, record_files_stream
+from ledgerlake.sources.scratch import scratch, stored
 from ledgerlake.streaming import ingest
 
 FIRST_RUN, SECOND_RUN = datetime(2024, 2, 1), datetime(2024, 2, 2)
-HALF = datetime(2024, 1, 16)
 
 
 def rendered(df: DataFrame) -> DataFrame:
@@ -92,13 +91,6 @@ def dimension(spark, sf):
     return gold.dim_shops(shops(spark, sf))
 
 
-def _stored(clean: DataFrame) -> DataFrame:
-    """Clean events as a written table, for operators that scan their input several times."""
-    spark = clean.sparkSession
-    narrow = clean.drop("payload", "kafka_key", "kafka_headers")
-    return versions.publish(narrow, f"{scratch(spark, 'clean')}/events").read(spark)
-
-
 def dq_candidates(spark, sf, at=FIRST_RUN):
     """Rejects of both booking stages, as one run over Bronze would record them."""
     parsed = booking_parsed(spark, sf)
@@ -159,7 +151,7 @@ def events_clean(spark, sf):
 
 def events_clean_ranked(spark, sf):
     rows = envelope.accepted(booking_parsed(spark, sf)).select(*schemas.EVENTS_CLEAN)
-    return first_per_key_ranked(rows, "event_id", EARLIEST_DELIVERY)
+    return joined.first_per_key_ranked(rows, "event_id", EARLIEST_DELIVERY)
 
 
 def payment_events_envelope(spark, sf):
@@ -169,15 +161,15 @@ def payment_events_envelope(spark, sf):
 def duplicate_positions(spark, sf):
     """Bronze in which the redelivered records were ingested a second time."""
     bronze = booking_bronze(spark, sf)
-    again = bronze.filter(F.col("kafka_offset") >= REDELIVERY_OFFSET)
+    again = bronze.filter(redelivered("kafka_offset"))
     found = reconcile.duplicate_positions(bronze.unionAll(again))
     return found.withColumnRenamed("count", "n")
 
 
 def payload_conflicts(spark, sf):
     """Some redeliveries carry another text for the same event."""
-    copy = F.col("kafka_offset") - REDELIVERY_OFFSET
-    altered = F.when((copy >= 0) & (copy % 7 == 0), F.concat("payload", F.lit(" "))).otherwise(
+    event_id = F.expr("kafka_offset div 2")
+    altered = F.when(redelivered("kafka_offset") & (event_id % 7 == 0), F.concat("payload", F.lit(" "))).otherwise(
         F.col("payload")
     )
     return envelope.conflicts(envelope.parse(booking_bronze(spark, sf).withColumn("payload", altered)))
@@ -221,7 +213,7 @@ def bookings_current(spark, sf):
 
 
 def bookings_current_join_twin(spark, sf):
-    return bookings.current_joined(booking_clean(spark, sf))
+    return joined.bookings_current(booking_clean(spark, sf))
 
 
 def bookings_status_counts(spark, sf):
@@ -237,7 +229,7 @@ def booking_orphans(spark, sf):
 
 
 def booking_transition_violations(spark, sf):
-    return bookings.transition_violations(_stored(booking_clean(spark, sf)))
+    return bookings.transition_violations(booking_clean(spark, sf))
 
 
 # --- payments --------------------------------------------------------------------
@@ -283,7 +275,7 @@ def payments_current(spark, sf):
 
 
 def payments_current_join_twin(spark, sf):
-    return payments.current_joined(payment_clean(spark, sf))
+    return joined.payments_current(payment_clean(spark, sf))
 
 
 def payment_orphans(spark, sf):
@@ -313,12 +305,11 @@ def payment_transactions_view(spark, sf):
 
 
 def ledger_reconciliation(spark, sf):
-    clean = _stored(payment_clean(spark, sf))
-    return reconcile.payment_ledger(payments.current(clean), payments.transactions(clean))
+    return reconcile.payment_ledger_of_events(payment_clean(spark, sf))
 
 
 def ledger_replay(spark, sf):
-    return payments.ledger_replay(_stored(payment_clean(spark, sf)))
+    return payments.ledger_replay(payment_clean(spark, sf))
 
 
 def summary_violations(spark, sf):
@@ -343,18 +334,30 @@ def dq_by_stage(spark, sf):
     return counts_by(dq_candidates(spark, sf), "validation_stage", "validation_error")
 
 
-def _first_half(spark, sf):
-    return dq_candidates(spark, sf).filter(F.col("bronze_ingested_at") < F.lit(HALF))
+def _settled(spark, sf):
+    """Both sides of one parse, written once for the stages that read it."""
+    return stored(envelope.settle(booking_parsed(spark, sf)), "settled")
+
+
+def _run_rejects(settled, at=FIRST_RUN, version=1):
+    """What a run records: one row per rejected key of the envelope, and the typed rejects."""
+    typed = bookings.candidates(settled.filter(~F.col(envelope.REJECTED)))
+    seen = F.lit(at)
+    return dq.dq_rows(settled, schemas.EVENTS_STAGE, seen, version).unionByName(
+        dq.dq_rows(typed, schemas.BOOKINGS_STAGE, seen, version)
+    )
 
 
 def dq_merge_first_run(spark, sf):
-    return dq.merge_dq(None, _first_half(spark, sf))
+    return dq.merge_dq(None, _run_rejects(_settled(spark, sf)))
 
 
 def dq_merge_rerun(spark, sf):
-    before = dq.merge_dq(None, _first_half(spark, sf))
-    late = dq_candidates(spark, sf, SECOND_RUN).filter(F.col("kafka_partition") > 0)
-    return dq.merge_dq(before, late.withColumn("source_snapshot_id", F.lit(2).cast("bigint")))
+    """Two runs that share a partition and together cover all: first 0 and 1, then 1 and 2."""
+    settled = _settled(spark, sf)
+    early = _run_rejects(settled).filter("kafka_partition <= 1")
+    late = _run_rejects(settled, SECOND_RUN, 2).filter("kafka_partition >= 1")
+    return dq.merge_dq(dq.merge_dq(None, early), late)
 
 
 # --- gold ------------------------------------------------------------------------
@@ -401,14 +404,13 @@ def id_diff(spark, sf):
 
 def _partial_bronze(spark, sf):
     """Bronze that lost the redeliveries and ingested partition 0 twice."""
-    kept = booking_bronze(spark, sf).filter(F.col("kafka_offset") < REDELIVERY_OFFSET)
+    kept = booking_bronze(spark, sf).filter(~redelivered("kafka_offset"))
     return kept.unionAll(kept.filter("kafka_partition = 0"))
 
 
 def topic_bronze_diff(spark, sf):
-    diff = reconcile.table_diff(
-        booking_bronze(spark, sf), _partial_bronze(spark, sf), "topic_only", "bronze_only"
-    )
+    records = derived.booking_records(derived.table(spark, sf, "events"))
+    diff = reconcile.record_diff(records, _partial_bronze(spark, sf))
     return diff.select("difference", "kafka_partition", "kafka_offset", "payload")
 
 
@@ -417,10 +419,39 @@ def bronze_vs_topic(spark, sf):
     return reconcile.bronze_vs_topic(records, _partial_bronze(spark, sf))
 
 
+def bronze_reconciliation(spark, sf):
+    """All figures of the reconciliation: records, positions, ids in both directions."""
+    records = derived.booking_records(derived.table(spark, sf, "events"))
+    return reconcile.bronze_reconciliation(records, _partial_bronze(spark, sf), derived.outbox(spark, sf))
+
+
+def bronze_verified_kinds(spark, sf):
+    """Records per kind of a Bronze that reconciles with its topic."""
+    records = derived.booking_records(derived.table(spark, sf, "events"))
+    return reconcile.verify_bronze(records, booking_bronze_copy(records)).withColumnRenamed("count", "n")
+
+
+def booking_bronze_copy(records):
+    return stored(bronze_rows(records, F.col("timestamp")), "bronze")
+
+
+def ids_not_in_outbox(spark, sf):
+    """Bronze ids the outbox never sent; NULL stands for records without a readable id."""
+    found = reconcile.event_ids(booking_bronze(spark, sf))
+    return reconcile.id_diff(derived.outbox(spark, sf), found).filter("difference = 'unexpected'").select("event_id")
+
+
+def id_list_missing(spark, sf):
+    """Outbox ids written as a text list, read back and looked for in Bronze."""
+    path = scratch(spark, "ids")
+    derived.outbox(spark, sf).select("event_id").write.text(path)
+    return reconcile.ids_missing(id_list(spark, path), reconcile.event_ids(booking_bronze(spark, sf)))
+
+
 def model_diff(spark, sf):
     clean = booking_clean(spark, sf)
     diff = reconcile.table_diff(
-        bookings.current(clean), bookings.current_joined(clean), "aggregated", "joined"
+        bookings.current(clean), joined.bookings_current(clean), "aggregated", "joined"
     )
     return diff.select("difference", "booking_id", "status")
 
@@ -563,32 +594,6 @@ def stream_resume(spark, sf):
     return after[0].unionAll(after[1])
 
 
-def _published(spark, sf):
-    table = f"{scratch(spark, 'versions')}/booking_events_clean"
-    clean = booking_clean(spark, sf)
-    created = clean.filter(F.col("event_type") == "booking_created")
-    first = versions.publish(created, table)
-    versions.append(clean.filter(F.col("event_type") != "booking_created"), table)
-    return table, first
-
-
-def version_history(spark, sf):
-    table, _ = _published(spark, sf)
-    return versions.history(spark, table).select("id", "operation", "row_count")
-
-
-def version_files(spark, sf):
-    table, _ = _published(spark, sf)
-    found = versions.files(spark, versions.pin(spark, table).path)
-    return found.agg(F.sum("record_count").alias("n"))
-
-
-def pinned_version_read(spark, sf):
-    """The version pinned before a later commit still reads as it was."""
-    table, first = _published(spark, sf)
-    return counts_by(first.read(spark), "event_type")
-
-
 def _run(spark, sf, *names):
     root = scratch(spark, "lake")
     _ingest(spark, sf, root)
@@ -624,8 +629,6 @@ def payment_domain_run(spark, sf):
         derived.table(spark, sf, "orders"), derived.table(spark, sf, "lineitem")
     )
     records.write.parquet(f"{root}/topic")
-
-
     ingest.ingest_available(
         record_files_stream(spark, f"{root}/topic", max_files=1000),
         f"{root}/bronze/booking_events",
@@ -688,6 +691,10 @@ QUERIES = [
     id_diff,
     topic_bronze_diff,
     bronze_vs_topic,
+    bronze_reconciliation,
+    bronze_verified_kinds,
+    ids_not_in_outbox,
+    id_list_missing,
     model_diff,
     strictness_diff,
     fk_violations,
@@ -707,9 +714,6 @@ QUERIES = [
     stream_bronze_count,
     stream_bronze_rows,
     stream_resume,
-    version_history,
-    version_files,
-    pinned_version_read,
     booking_domain_run,
     booking_chain_run,
     booking_domain_dq,

@@ -31,7 +31,6 @@ STATUS_OF_KIND = {
     "purchase": "no_show",
 }
 REDELIVERED_EVERY = 50
-REDELIVERY_OFFSET = 10_000_000
 PAYMENT_OFFSET = 20_000_000
 REFUND_ROW = 500
 PART_RANGE = 65_536
@@ -139,7 +138,7 @@ def booking_records(events: DataFrame) -> DataFrame:
             "key",
             "value",
             "partition",
-            (F.col("event_id") + F.col("copy") * REDELIVERY_OFFSET).alias("offset"),
+            (F.col("event_id") * 2 + F.col("copy")).alias("offset"),
             (F.col("day") + F.make_dt_interval(days="copy")).cast("timestamp").alias("timestamp"),
         )
         .transform(_as_records)
@@ -173,7 +172,7 @@ def payment_records(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
             "amount", amount
         ),
         "l_orderkey",
-        F.struct("l_linenumber", F.floor(F.col("l_partkey") / PART_RANGE).alias("part_range")),
+        [F.struct("l_linenumber", F.floor(F.col("l_partkey") / PART_RANGE).alias("part_range"))],
         order,
         {
             "k": F.lit(1),
@@ -278,6 +277,11 @@ def _payment_payload(rows: DataFrame) -> DataFrame:
     ).transform(_as_records)
 
 
+def redelivered(offset: str) -> Column:
+    """Whether a booking record is the second copy of its event; copies share no position."""
+    return F.col(offset) % 2 == 1
+
+
 def booking_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze_rows(booking_records(table(spark, sf_dir, "events")), F.col("timestamp"))
 
@@ -328,14 +332,13 @@ def staffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outbox rows whose publication yields the booking records of ``events``."""
-    sent = booking_records(table(spark, sf_dir, "events")).filter(
-        F.col("offset") < REDELIVERY_OFFSET
-    )
+    sent = booking_records(table(spark, sf_dir, "events")).filter(~redelivered("offset"))
+    event_id = F.expr("offset div 2")
     return sent.select(
-        F.concat(F.lit("b-"), "offset").alias("event_id"),
+        F.concat(F.lit("b-"), event_id).alias("event_id"),
         F.lit("booking").alias("aggregate_type"),
         F.col("key").cast("string").alias("partition_key"),
         F.col("value").cast("string").alias("payload"),
-        (F.col("offset") % 3).cast("int").alias("schema_version"),
+        (event_id % 3).cast("int").alias("schema_version"),
         F.col("timestamp").alias("event_time"),
     )

@@ -1,7 +1,7 @@
 """SQL twins of the registered queries, computed from the given tables without JSON.
 
 The expected values follow from the formulas that derive the inputs (see
-``sources.derived``), so nothing here parses a payload.
+``plans.derived``), so nothing here parses a payload.
 """
 
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -78,9 +78,9 @@ WITH base AS (
         ELSE 'invalid_no_show_fields' END END AS booking_error
   FROM shaped
 ), records AS (
-  SELECT *, m AS kafka_offset, ingested AS bronze_ingested_at, 0 AS redelivered FROM logical
+  SELECT *, m * 2 AS kafka_offset, ingested AS bronze_ingested_at, 0 AS redelivered FROM logical
   UNION ALL
-  SELECT *, m + 10000000, ingested + INTERVAL 1 DAY, 1 FROM logical WHERE m % 50 = 0
+  SELECT *, m * 2 + 1, ingested + INTERVAL 1 DAY, 1 FROM logical WHERE m % 50 = 0
 ), parsed AS (
   SELECT * FROM logical WHERE envelope_error IS NULL
 ), clean AS (
@@ -106,7 +106,7 @@ WITH base AS (
     payload, kafka_partition, kafka_offset, bronze_ingested_at
   FROM records WHERE envelope_error IS NOT NULL
   UNION ALL
-  SELECT 'booking_events_clean', booking_error, event_id, event_type, payload, kafka_partition, m, ingested
+  SELECT 'booking_events_clean', booking_error, event_id, event_type, payload, kafka_partition, m * 2, ingested
   FROM parsed WHERE booking_error IS NOT NULL
 ), dq AS (
   SELECT *, coalesce('event:' || event_id,
@@ -233,7 +233,7 @@ BOTH = (
 _ENVELOPE = f"""event_id, event_type, 1 AS schema_version, {ts('event_time', 'event_time')},
   {ts('event_time', 'ingest_time')}, booking_id, shop_id"""
 _BOOKING_LINEAGE = f"""payload, CAST(shop_id AS VARCHAR) AS kafka_key, 'booking.events.v1' AS kafka_topic,
-  kafka_partition, m AS kafka_offset, {ts('ingested', 'kafka_timestamp')}, {ts('ingested', 'bronze_ingested_at')}"""
+  kafka_partition, m * 2 AS kafka_offset, {ts('ingested', 'kafka_timestamp')}, {ts('ingested', 'bronze_ingested_at')}"""
 _EVENTS_CLEAN = f"{BOOKINGS} SELECT {_ENVELOPE}, {_BOOKING_LINEAGE} FROM parsed"
 
 _BOOKINGS_NOW = f"""{BOOKINGS} SELECT booking_id, shop_id, status, {ts('start_at', 'start_at')},
@@ -291,12 +291,10 @@ def _top_dq(where: str = "true") -> str:
       FROM dq WHERE {where}) WHERE r = 1"""
 
 
-_EARLY = "bronze_ingested_at < TIMESTAMP '2024-01-16'"
-
 _RUN_REPORT_EVENTS = """SELECT 'events_clean' AS stage, (SELECT count(*) FROM records) AS input_rows,
   (SELECT count(*) FROM records WHERE envelope_error IS NOT NULL) AS rejected_rows,
   (SELECT count(*) FROM records WHERE envelope_error IS NULL) - (SELECT count(*) FROM parsed) AS duplicate_rows,
-  (SELECT count(*) FROM parsed) AS stored_rows, 0 AS orphan_rows"""
+  (SELECT count(*) FROM parsed) AS stored_rows, 0 AS orphan_rows, 0 AS violations"""
 
 _LEDGER = """now JOIN (SELECT payment_id AS pid, ledger_payout, ledger_refund, ledger_payout - ledger_refund AS ledger_paid
   FROM ledger UNION ALL SELECT payment_id, 0, 0, 0 FROM now WHERE payment_id NOT IN (SELECT payment_id FROM ledger)) ON pid = payment_id"""
@@ -323,7 +321,7 @@ ORACLES = {
     "delivery_audit": f"""{BOOKINGS} SELECT deliveries, false AS payload_conflict, count(*) AS n FROM (
       SELECT event_id, count(*) AS deliveries FROM records WHERE envelope_error IS NULL GROUP BY 1) GROUP BY 1""",
     "settled_events": f"""{BOOKINGS} SELECT false AS rejected, event_id, CAST(NULL AS VARCHAR) AS validation_error,
-        kafka_partition, m AS kafka_offset, CASE WHEN m % 50 = 0 THEN 2 ELSE 1 END AS deliveries,
+        kafka_partition, m * 2 AS kafka_offset, CASE WHEN m % 50 = 0 THEN 2 ELSE 1 END AS deliveries,
         false AS payload_conflict FROM parsed
       UNION ALL SELECT true, event_id, validation_error, kafka_partition, kafka_offset,
         (SELECT count(*) FROM dq d WHERE d.dq_key = t.dq_key AND d.validation_stage = 'events_clean'), NULL
@@ -400,8 +398,8 @@ ORACLES = {
     "dq_rows": f"{BOOKINGS} SELECT {_DQ_COLUMNS}, 1 AS source_snapshot_id, {_SEEN} FROM dq",
     "dq_latest_per_key": f"{BOOKINGS} SELECT {_DQ_COLUMNS}, 1 AS source_snapshot_id, {_SEEN} FROM ({_top_dq()})",
     "dq_by_stage": f"{BOOKINGS} SELECT validation_stage, validation_error, count(*) AS n FROM dq GROUP BY 1, 2",
-    "dq_merge_first_run": f"{BOOKINGS} SELECT {_DQ_COLUMNS}, 1 AS source_snapshot_id, {_SEEN} FROM ({_top_dq(_EARLY)})",
-    "dq_merge_rerun": f"""{BOOKINGS}, old AS ({_top_dq(_EARLY)}), new AS ({_top_dq('kafka_partition > 0')})
+    "dq_merge_first_run": f"{BOOKINGS} SELECT {_DQ_COLUMNS}, 1 AS source_snapshot_id, {_SEEN} FROM ({_top_dq()})",
+    "dq_merge_rerun": f"""{BOOKINGS}, old AS ({_top_dq('kafka_partition <= 1')}), new AS ({_top_dq('kafka_partition >= 1')})
       SELECT {_DQ_COLUMNS}, 2 AS source_snapshot_id, CASE WHEN dq_key IN (SELECT dq_key FROM old) THEN '{_RUN_1}'
         ELSE '{_RUN_2}' END AS first_detected_at, '{_RUN_2}' AS last_detected_at FROM new
       UNION ALL SELECT {_DQ_COLUMNS}, 1, '{_RUN_1}', '{_RUN_1}' FROM old WHERE dq_key NOT IN (SELECT dq_key FROM new)""",
@@ -429,6 +427,18 @@ ORACLES = {
       count(*) FILTER (WHERE redelivered = 1) AS missing,
       count(*) FILTER (WHERE redelivered = 0 AND kafka_partition = 0) AS extra,
       count(*) FILTER (WHERE redelivered = 0 AND kafka_partition = 0) AS duplicate_positions FROM records""",
+    "bronze_reconciliation": f"""{BOOKINGS} SELECT count(*) AS topic_rows,
+      count(*) FILTER (WHERE redelivered = 0) + count(*) FILTER (WHERE redelivered = 0 AND kafka_partition = 0) AS bronze_rows,
+      count(*) FILTER (WHERE redelivered = 1) AS missing,
+      count(*) FILTER (WHERE redelivered = 0 AND kafka_partition = 0) AS extra,
+      count(*) FILTER (WHERE redelivered = 0 AND kafka_partition = 0) AS duplicate_positions,
+      count(*) FILTER (WHERE redelivered = 0 AND defect IN ('malformed', 'no_id')) AS ids_missing,
+      max(CASE WHEN defect IN ('malformed', 'no_id') THEN 1 ELSE 0 END) AS ids_unexpected FROM records""",
+    "bronze_verified_kinds": f"""{BOOKINGS} SELECT CASE WHEN defect = 'malformed' THEN NULL ELSE event_type END AS event_type,
+      count(*) AS n FROM records GROUP BY 1""",
+    "ids_not_in_outbox": f"""{BOOKINGS} SELECT DISTINCT CAST(NULL AS VARCHAR) AS event_id FROM logical
+      WHERE defect IN ('malformed', 'no_id')""",
+    "id_list_missing": f"{BOOKINGS} SELECT event_id FROM logical WHERE defect IN ('malformed', 'no_id')",
     "model_diff": f"{BOOKINGS} SELECT '' AS difference, booking_id, status FROM now WHERE booking_id IS NULL",
     "strictness_diff": f"""{PAYMENTS} SELECT 'default_only' AS difference, event_id, payment_id, payment_status
       FROM events_p WHERE defect = 'status'""",
@@ -469,30 +479,24 @@ ORACLES = {
     "stream_bronze_rows": f"""{BOOKINGS} SELECT payload, CAST(shop_id AS VARCHAR) AS kafka_key, kafka_partition,
       kafka_offset, {ts('bronze_ingested_at', 'bronze_ingested_at')} FROM records""",
     "stream_resume": f"""{BOOKINGS} SELECT run, (SELECT count(*) FROM records) AS n FROM (VALUES (1), (2)) AS v(run)""",
-    "version_history": f"""{BOOKINGS} SELECT 1 AS id, 'replace' AS operation, count(*) AS row_count FROM clean
-        WHERE event_type = 'booking_created'
-      UNION ALL SELECT 2, 'append', count(*) FROM clean""",
-    "version_files": f"{BOOKINGS} SELECT count(*) AS n FROM clean",
-    "pinned_version_read": f"""{BOOKINGS} SELECT event_type, count(*) AS n FROM clean
-      WHERE event_type = 'booking_created' GROUP BY 1""",
     "booking_domain_run": f"""{BOOKINGS} {_RUN_REPORT_EVENTS}
       UNION ALL SELECT 'booking_events_clean', (SELECT count(*) FROM parsed), (SELECT count(*) FROM parsed
-        WHERE booking_error IS NOT NULL), 0, (SELECT count(*) FROM clean), 0
+        WHERE booking_error IS NOT NULL), 0, (SELECT count(*) FROM clean), 0, 0
       UNION ALL SELECT 'bookings_current', (SELECT count(*) FROM clean), 0, 0, (SELECT count(*) FROM now),
-        (SELECT count(*) FROM now WHERE is_orphan)
-      UNION ALL SELECT 'bronze_shops', count(*), 0, 0, count(*), 0 FROM shops
-      UNION ALL SELECT 'dim_shops', count(*), 0, 0, count(*), 0 FROM shops
-      UNION ALL SELECT 'shop_daily_booking_metrics', (SELECT count(*) FROM clean), 0, 0, (SELECT count(*) FROM calendar), 0""",
+        (SELECT count(*) FROM now WHERE is_orphan), 0
+      UNION ALL SELECT 'bronze_shops', count(*), 0, 0, count(*), 0, 0 FROM shops
+      UNION ALL SELECT 'dim_shops', count(*), 0, 0, count(*), 0, count(*) FILTER (WHERE closed_on < opened_on) FROM shops
+      UNION ALL SELECT 'shop_daily_booking_metrics', (SELECT count(*) FROM clean), 0, 0, (SELECT count(*) FROM calendar), 0, 0""",
     "booking_chain_run": f"""{BOOKINGS} {_RUN_REPORT_EVENTS}
       UNION ALL SELECT 'booking_chain', (SELECT count(*) FROM parsed), (SELECT count(*) FROM parsed
-        WHERE booking_error IS NOT NULL), 0, (SELECT count(*) FROM clean), 0""",
+        WHERE booking_error IS NOT NULL), 0, (SELECT count(*) FROM clean), 0, 0""",
     "booking_domain_dq": f"{BOOKINGS} SELECT {_DQ_COLUMNS}, {_SEEN} FROM ({_top_dq()})",
     "payment_domain_run": f"""{PAYMENTS} SELECT 'events_clean' AS stage, count(*) AS input_rows, 0 AS rejected_rows,
-        0 AS duplicate_rows, count(*) AS stored_rows, 0 AS orphan_rows FROM events_p
+        0 AS duplicate_rows, count(*) AS stored_rows, 0 AS orphan_rows, 0 AS violations FROM events_p
       UNION ALL SELECT 'payment_events_clean', (SELECT count(*) FROM events_p), (SELECT count(*) FROM events_p
-        WHERE payment_error IS NOT NULL), 0, (SELECT count(*) FROM clean), 0
+        WHERE payment_error IS NOT NULL), 0, (SELECT count(*) FROM clean), 0, 0
       UNION ALL SELECT 'payments_current', (SELECT count(*) FROM clean), 0, 0, (SELECT count(*) FROM now),
-        (SELECT count(*) FROM now WHERE is_orphan)""",
+        (SELECT count(*) FROM now WHERE is_orphan), 0""",
 }
 ORACLES["first_bookable_slot"] = (
     f"SELECT * FROM ({ORACLES['bookable_slots']}) ORDER BY shop_id, service_id, staff_id LIMIT 1"

@@ -16,6 +16,9 @@ BOOKING_EVENT_TYPES = (
 PAYMENT_EVENT_TYPES = ("payment_requested", "payment_completed", "payment_refunded")
 TRANSACTION_EVENT_TYPES = ("payment_completed", "payment_refunded")
 
+# keys of the data-quality table: by event id, or by position with a word for missing parts
+DQ_EVENT, DQ_POSITION, DQ_UNKNOWN = "event", "kafka", "unknown"
+
 EVENTS_STAGE = "events_clean"
 BOOKINGS_STAGE = "booking_events_clean"
 PAYMENTS_STAGE = "payment_events_clean"

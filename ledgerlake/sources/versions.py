@@ -1,21 +1,22 @@
-"""Versioned Parquet tables: readers see the last committed version or the one they pinned.
+"""Write, then switch: a run's table becomes visible only when it is complete and not refused.
 
-A version is a directory of Parquet files plus a small JSON entry in ``_versions``. The
-entry is created after the data is complete and is never overwritten, so a failed or
-refused run leaves the previous version in place. One writer per table at a time.
-``publish_catalog`` does the same through a v2 catalog that supports replace.
+A version is a directory of Parquet files; a small JSON entry in ``_versions`` makes it the
+current one. The entry is created last and never overwritten, so a failed or refused run leaves
+the previous table in place. One writer per table at a time. This is no table format: append,
+history, snapshots and merges are those of a v2 catalog (``publish_catalog``, ``pin_catalog``,
+``merge_catalog``) where one is configured.
 """
 
 import json
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REJECTED = "rejected"
-_ENTRY = "id bigint, committed_at timestamp, operation string, row_count bigint, path string"
 
 
 @dataclass(frozen=True)
@@ -23,16 +24,20 @@ class Version:
     id: int
     path: str
     split: bool = False
+    schema: StructType | None = None
+
+    def _rows(self, spark: SparkSession, path: str) -> DataFrame:
+        return (spark.read if self.schema is None else spark.read.schema(self.schema)).parquet(path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         if self.split:
-            return spark.read.parquet(f"{self.path}/{REJECTED}=false").drop("validation_error")
-        return spark.read.parquet(self.path)
+            return self._rows(spark, f"{self.path}/{REJECTED}=false").drop("validation_error")
+        return self._rows(spark, self.path)
 
     def rejects(self, spark: SparkSession) -> DataFrame | None:
         """Rejected rows written together with a split version, None when there are none."""
         folder = f"{self.path}/{REJECTED}=true"
-        return spark.read.parquet(folder) if self.split and exists(spark, folder) else None
+        return self._rows(spark, folder) if self.split and exists(spark, folder) else None
 
 
 def _fs(spark: SparkSession, path: str):
@@ -46,8 +51,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def pin(spark: SparkSession, table: str) -> Version | None:
-    """The current version; resolve once and read only it for the whole run."""
+def pin(spark: SparkSession, table: str, schema: StructType | None = None) -> Version | None:
+    """The current version; resolve once and read only it for the whole run.
+
+    It is read with the declared ``schema`` where one is given.
+    """
     fs, folder, _ = _fs(spark, f"{table}/_versions")
     if not fs.exists(folder):
         return None
@@ -55,7 +63,7 @@ def pin(spark: SparkSession, table: str) -> Version | None:
     if not ids:
         return None
     path = version(table, max(ids)).path
-    return Version(max(ids), path, exists(spark, f"{path}/{REJECTED}=false"))
+    return Version(max(ids), path, exists(spark, f"{path}/{REJECTED}=false"), schema)
 
 
 def last_batch(spark: SparkSession, table: str) -> int | None:
@@ -71,8 +79,8 @@ def version(table: str, number: int) -> Version:
     return Version(number, f"{table}/v{number}")
 
 
-def current(spark: SparkSession, table: str) -> DataFrame | None:
-    pinned = pin(spark, table)
+def current(spark: SparkSession, table: str, schema: StructType | None = None) -> DataFrame | None:
+    pinned = pin(spark, table, schema)
     return None if pinned is None else pinned.read(spark)
 
 
@@ -87,7 +95,7 @@ def publish(
     ``guard`` sees the written rows and may raise to refuse the commit.
     """
     spark = df.sparkSession
-    new = _next(spark, table)
+    new = replace(_next(spark, table), schema=df.schema)
     df.write.mode("overwrite").parquet(new.path)  # leftovers of a refused run
     return _guarded(spark, table, new, operation, guard)
 
@@ -105,7 +113,8 @@ def publish_split(
     """
     spark = validated.sparkSession
     target = _next(spark, table)
-    new = Version(target.id, target.path, split=True)
+    written = StructType([f for f in validated.schema if f.name != REJECTED])
+    new = Version(target.id, target.path, split=True, schema=written)
     validated.write.mode("overwrite").partitionBy(REJECTED).parquet(new.path)
     settled()
     return _guarded(spark, table, new, "replace", guard)
@@ -140,27 +149,6 @@ def _commit(spark: SparkSession, table: str, new: Version, operation: str, rows:
         out.close()
 
 
-def append(df: DataFrame, table: str) -> Version:
-    """Current rows plus ``df`` as a new version."""
-    before = current(df.sparkSession, table)
-    rows = df if before is None else before.unionByName(df)
-    return publish(rows, table, operation="append")
-
-
-def history(spark: SparkSession, table: str) -> DataFrame:
-    """Committed versions, oldest first."""
-    return spark.read.schema(_ENTRY).json(f"{table}/_versions").orderBy("id")
-
-
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """Data files of a version or plain Parquet folder with their row counts."""
-    return (
-        spark.read.parquet(path)
-        .groupBy(F.col("_metadata.file_path").alias("file_path"))
-        .agg(F.count("*").alias("record_count"))
-    )
-
-
 def publish_catalog(df: DataFrame, identifier: str, properties: dict[str, str] | None = None) -> None:
     """Atomic replace of a table in a v2 catalog."""
     writer = df.writeTo(identifier)
@@ -172,3 +160,21 @@ def publish_catalog(df: DataFrame, identifier: str, properties: dict[str, str] |
 def pin_catalog(spark: SparkSession, identifier: str, snapshot_id: int) -> DataFrame:
     """A pinned snapshot of a catalog table."""
     return spark.read.option("snapshot-id", snapshot_id).table(identifier)
+
+
+def merge_assignments(columns: Sequence[str], key: str, preserve: Sequence[str] = ()) -> dict[str, Column]:
+    """What a matched row takes from the source: all but the key and the preserved columns."""
+    return {c: F.col(f"source.{c}") for c in columns if c != key and c not in preserve}
+
+
+def merge_catalog(df: DataFrame, identifier: str, key: str, preserve: Sequence[str] = ()) -> None:
+    """Upsert of ``df`` (one row per key) by the catalog's own merge: only touched files change."""
+    (
+        df.alias("source")
+        .mergeInto(identifier, F.col(f"{identifier}.{key}") == F.col(f"source.{key}"))
+        .whenMatched()
+        .update(merge_assignments(df.columns, key, preserve))
+        .whenNotMatched()
+        .insertAll()
+        .merge()
+    )

@@ -1,6 +1,6 @@
 """Topic to Bronze as a streaming append with a durable checkpoint."""
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +61,23 @@ def ingest_available(records: DataFrame, target: str, checkpoint: str, **options
 
 
 def read_bronze(
-    spark: SparkSession, target: str, since: date | None = None, until: date | None = None
+    spark: SparkSession,
+    target: str,
+    since: date | None = None,
+    until: date | None = None,
+    as_of: datetime | None = None,
 ) -> DataFrame:
-    """Bronze rows of the committed batches; ingest days outside the range are not listed."""
+    """Bronze rows of the committed batches; ingest days outside the range are not listed.
+
+    ``as_of`` reads Bronze as it was at an ingest time: a batch gets one time for all its rows,
+    so the largest time of an earlier read gives exactly the batches that it saw.
+    """
     rows = spark.read.schema(STORED).parquet(target)
     if since is not None:
         rows = rows.filter(F.col(INGEST_DATE) >= since)
     if until is not None:
         rows = rows.filter(F.col(INGEST_DATE) <= until)
+    if as_of is not None:
+        at = F.lit(as_of)
+        rows = rows.filter((F.col(INGEST_DATE) <= F.to_date(at)) & (F.col("bronze_ingested_at") <= at))
     return rows

@@ -31,6 +31,7 @@ def stored(spark, root, name):
 
 
 def by_stage(reports):
+    assert all(r.violations == 0 for r in reports)
     return {r.stage: (r.input_rows, r.rejected_rows, r.duplicate_rows, r.stored_rows, r.orphan_rows) for r in reports}
 
 
@@ -126,3 +127,32 @@ def test_order_and_batches_do_not_matter(spark, tmp_path):
         tables.append([stored(spark, root, t) for t in ("bookings_current", "payments_current")])
     for left, right in zip(*tables):
         assert reconcile.table_diff(left, right, "a", "b").isEmpty()
+
+
+def test_data_tests_are_reported_and_stored(spark, tmp_path):
+    """A shop without region is fine; one closing before it opens is counted; both are stored."""
+    shops = spark.createDataFrame(
+        [
+            (1, "a", None, None, date(2026, 9, 1), None, NOON, NOON),
+            (2, "b", "seoul", True, date(2026, 9, 5), date(2026, 9, 1), NOON, NOON),
+            (3, None, "seoul", True, date(2026, 9, 1), None, NOON, NOON),
+        ],
+        "id long, shop_name string, region string, is_active boolean, opened_on date, "
+        "closed_on date, created_at timestamp_ntz, updated_at timestamp_ntz",
+    )
+    context = stages.Run(spark, stages.Layout(str(tmp_path)), AS_OF, T1)
+    stages.bronze_shops(context, shops)
+    report = stages.dim_shops(context)
+    assert (report.stored_rows, report.violations) == (3, 2)
+    assert stored(spark, str(tmp_path), "dim_shops").count() == 3
+
+
+def test_bronze_is_read_as_of_a_batch(spark, tmp_path):
+    root = str(tmp_path)
+    load(spark, root, golden_events()[:10])
+    bronze_path = f"{root}/bronze/booking_events"
+    seen = ingest.read_bronze(spark, bronze_path)
+    until, n = seen.agg({"bronze_ingested_at": "max"}).first()[0], seen.count()
+    load(spark, root, golden_events()[10:], first_offset=10)
+    assert n == 10 and ingest.read_bronze(spark, bronze_path).count() == 40
+    assert ingest.read_bronze(spark, bronze_path, as_of=until).count() == 10

@@ -6,7 +6,8 @@ import pytest
 from fixtures import bronze, golden_events
 
 from ledgerlake.operators import bookings, envelope, gold, payments, reconcile
-from ledgerlake.sources import derived
+from ledgerlake.plans import derived, joined
+from ledgerlake.schemas import KAFKA
 
 
 def plan(df):
@@ -56,7 +57,27 @@ def test_current_states_take_one_shuffle_of_pruned_columns(stored):
         text = plan(df)
         assert "partial_min" in text, "hot keys must shrink before the shuffle"
         assert "payload" not in text and "kafka_headers" not in text
-    assert shuffles(bookings.current_joined(stored["bookings"])) > 1
+    assert shuffles(joined.bookings_current(stored["bookings"])) > 1
+
+
+def test_ledger_check_of_events_scans_and_shuffles_once(stored):
+    df = reconcile.payment_ledger_of_events(stored["payments"])
+    assert shuffles(df) == 1 and plan(df).count("FileScan") == 1 and "payload" not in plan(df)
+
+
+def test_ordered_scans_read_twice_and_send_nothing_to_all_tasks(stored):
+    for df in (payments.ledger_replay(stored["payments"]), bookings.transition_violations(stored["bookings"])):
+        df.collect()  # the sums of the finest buckets are shuffled once and used twice
+        final = plan(df).split("+- == Initial Plan ==")[0]
+        assert final.count("FileScan") <= 2 and "Broadcast" not in final
+
+
+def test_records_are_compared_by_digest(spark, stored):
+    topic = spark.createDataFrame([], KAFKA)
+    df = reconcile.bronze_vs_topic(topic, stored["bronze"])
+    exchanges = [line for line in plan(df).split("\n") if "Exchange" in line]
+    assert len([e for e in exchanges if "hashpartitioning" in e]) == 1
+    assert not any("payload" in e for e in exchanges)
 
 
 def test_ledger_check_shuffles_each_table_once(stored):

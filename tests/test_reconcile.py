@@ -34,6 +34,45 @@ def test_bronze_matches_topic(spark):
     assert reconcile.duplicate_positions(stored).isEmpty()
 
 
+def test_record_diff_is_a_multiset_difference(spark):
+    topic = records(spark, [event(f"e{i}", "checked_in", NOON) for i in range(5)] + ["junk", None, ""])
+    stored = bronze_rows(topic)
+    assert reconcile.record_diff(topic, stored).isEmpty()
+    changed = F.when(F.col("kafka_offset") == 2, F.lit("other")).otherwise(F.col("payload"))
+    off = stored.filter("kafka_offset > 0").unionAll(stored.filter("kafka_offset IN (1, 6)")).withColumn("payload", changed)
+    got = sorted((r.difference, r.kafka_offset, str(r.payload)[:5]) for r in reconcile.record_diff(topic, off).collect())
+    assert [(d, o) for d, o, _ in got] == [("bronze_only", 1), ("bronze_only", 2), ("bronze_only", 6), ("topic_only", 0), ("topic_only", 2)]
+    builtin = reconcile.table_diff(*reconcile._recorded(topic, off), "topic_only", "bronze_only")
+    assert sorted((r.difference, r.kafka_offset, str(r.payload)[:5]) for r in builtin.collect()) == got
+
+
+@pytest.mark.parametrize(
+    ("change", "reason"),
+    [
+        (lambda t, s, i: (t.filter("offset < 0"), s, i), "no records"),
+        (lambda t, s, i: (t, s.filter("kafka_offset > 0"), i), "missing=1"),
+        (lambda t, s, i: (t, s.unionAll(s.filter("kafka_offset = 1")), i), "extra=1, duplicate_positions=1"),
+        (lambda t, s, i: (t, s, i.filter("event_id <> 'e1'")), "ids_unexpected=1"),
+        (lambda t, s, i: (t, s, i.selectExpr("concat(event_id, 'x') event_id").unionAll(i)), "ids_missing=3"),
+        (lambda t, s, i: (t, s, i.limit(0)), "list of expected ids is empty"),
+    ],
+)
+def test_bronze_that_does_not_reconcile_is_refused(spark, change, reason):
+    topic = records(spark, [event(f"e{i}", "checked_in", NOON) for i in range(3)])
+    ids = spark.createDataFrame([(f"e{i}",) for i in range(3)], "event_id string")
+    kinds = reconcile.verify_bronze(topic, bronze_rows(topic), ids)
+    assert [tuple(r) for r in kinds.collect()] == [("checked_in", 3)]
+    with pytest.raises(expect.CheckFailed, match=reason):
+        reconcile.verify_bronze(*change(topic, bronze_rows(topic), ids))
+
+
+def test_records_without_an_id_do_not_reconcile(spark):
+    topic = records(spark, [event("e0", "checked_in", NOON), "junk"])
+    ids = spark.createDataFrame([("e0",)], "event_id string")
+    with pytest.raises(expect.CheckFailed, match="ids_unexpected=1"):
+        reconcile.verify_bronze(topic, bronze_rows(topic), ids)
+
+
 def test_empty_tables_reconcile_to_zero(spark):
     topic = records(spark, ["{}"]).filter("offset < 0")
     assert tuple(reconcile.bronze_vs_topic(topic, bronze_rows(topic)).first()) == (0, 0, 0, 0, 0)
@@ -47,7 +86,10 @@ def test_id_list_and_differences(spark, tmp_path):
     found = reconcile.event_ids(stored)
     assert {r.event_id for r in reconcile.ids_missing(wanted, found).collect()} == {"a", "c"}
     diff = {(r.event_id, r.difference) for r in reconcile.id_diff(wanted, found).collect()}
-    assert diff == {("a", "missing"), ("c", "missing"), ("d", "unexpected")}
+    # a record without a readable id is unexpected, a NULL in the list is no id
+    assert diff == {("a", "missing"), ("c", "missing"), ("d", "unexpected"), (None, "unexpected")}
+    with_null = wanted.unionByName(spark.createDataFrame([(None,)], "event_id string"))
+    assert {(r.event_id, r.difference) for r in reconcile.id_diff(with_null, found).collect()} == diff
     kinds = {r.event_type: r["count"] for r in reconcile.event_type_counts(stored).collect()}
     assert kinds == {"t": 3, None: 1}
 

@@ -1,10 +1,10 @@
 import pytest
 
 from ledgerlake.operators.expect import CheckFailed
-from ledgerlake.sources import readers, versions
+from ledgerlake.sources import readers, scratch, versions
 
 
-def test_publish_pin_and_history(spark, tmp_path):
+def test_publish_and_pin(spark, tmp_path):
     table = str(tmp_path / "t")
     assert versions.pin(spark, table) is None and versions.current(spark, table) is None
     first = versions.publish(spark.range(3), table)
@@ -12,11 +12,23 @@ def test_publish_pin_and_history(spark, tmp_path):
     second = versions.publish(spark.range(5), table)
     assert (first.id, second.id) == (1, 2)
     assert pinned.count() == 3 and versions.current(spark, table).count() == 5
-    versions.append(spark.range(2), table)
-    rows = versions.history(spark, table).collect()
-    assert [(r.id, r.operation, r.row_count) for r in rows] == [(1, "replace", 3), (2, "replace", 5), (3, "append", 7)]
-    assert all(r.committed_at is not None for r in rows)
-    assert sum(r.record_count for r in versions.files(spark, versions.pin(spark, table).path).collect()) == 7
+    declared = spark.range(1).selectExpr("id", "'x' AS later").limit(0).schema
+    assert {r.later for r in versions.pin(spark, table, declared).read(spark).collect()} == {None}
+
+
+def test_a_catalog_merge_takes_all_but_the_preserved_columns():
+    taken = versions.merge_assignments(["k", "first", "v"], "k", ["first"])
+    assert list(taken) == ["v"] and "source.v" in str(taken["v"])
+
+
+def test_intermediate_tables_are_never_local_on_a_cluster(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert scratch.scratch(spark, "x").startswith(base)
+    scratch.refuse_local("local[4]", "file:/data")
+    scratch.refuse_local("spark://host:7077", "hdfs://host/data")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.refuse_local(master, "file:/data")
 
 
 def test_a_table_may_feed_its_own_next_version(spark, tmp_path):
