@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.graph import components
-from ledgerlake.llm.words import SIMILARITY, WordHashes, shingle_hashes, words_of
+from ledgerlake.llm.words import SIMILARITY, WordHashes, shingle_hashes, slices, words_of
 from ledgerlake.sources.scratch import stored
 
 COORDINATES = 64
 MATCHES = 32
-#: Rows of an open block and of the block it is compared with.
-OPEN_ROWS, LIST_ROWS = 256, 512
+#: Rows of an open block, of the block it is compared with (and of a short list), of a group of lists.
+OPEN_ROWS, LIST_ROWS, GROUP_ROWS = 256, 512, 2048
 
-_SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(11).integers(1, 2**32, (2, COORDINATES), dtype=np.uint32) | np.uint32(1)
 
 
 @lru_cache(maxsize=1)
@@ -52,14 +52,15 @@ def shingles_of(text: str | None) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minimum of every hash function over the set, as 32-bit numbers."""
-    least = np.full(COORDINATES, 2**64 - 1, np.uint64)
+    """The minimum over the set of every permutation ``x * a + b`` of 32-bit numbers."""
+    least = np.full(COORDINATES, 2**32 - 1, np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            part = shingles[at : at + 4096, None]
-            value = (part ^ (part >> np.uint64(29))) * _SEEDS[0] + _SEEDS[1]
-            least = np.minimum(least, ((value ^ (value >> np.uint64(32))) * _SEEDS[0][::-1]).min(0))
-    return (least >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(x), 2048):
+            value = _SEEDS[0][:, None] * x[None, at : at + 2048]
+            value += _SEEDS[1][:, None]
+            np.minimum(least, value.min(1), out=least)
+    return least
 
 
 def similar(a: np.ndarray, b: np.ndarray, at_least: float = SIMILARITY) -> bool:
@@ -77,7 +78,7 @@ def sketches(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set (s1, s2) and the signature (null for empty sets)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             size, s1, s2, rows = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles_of(text)
@@ -115,7 +116,10 @@ def classes(sketched: DataFrame) -> DataFrame:
 
 
 def prefix_lists(nodes: DataFrame) -> DataFrame:
-    """(list, node): the postings of every class in its prefix of rare shared coordinates."""
+    """(list, node, mask): the postings of every class in its prefix of rare shared coordinates.
+
+    ``mask`` has a bit for each coordinate in the prefix.
+    """
     posted = nodes.select("node", F.posexplode("signature").alias("coordinate", "value")).select(
         "node",
         (F.shiftleft(F.col("coordinate").cast("long"), 32) + (F.col("value").cast("long") + 2**31)).alias("list"),
@@ -123,7 +127,9 @@ def prefix_lists(nodes: DataFrame) -> DataFrame:
     shared = posted.groupBy("list").agg(F.count("*").alias("length")).filter("length > 1")
     per_node = posted.join(shared, "list").groupBy("node").agg(F.collect_list(F.struct("length", "list")).alias("met"))
     prefix = F.slice(F.array_sort("met"), F.lit(1), F.size("met") - MATCHES + 1)
-    return per_node.filter(F.size("met") >= MATCHES).select("node", F.explode(prefix["list"]).alias("list"))
+    chosen = per_node.filter(F.size("met") >= MATCHES).select("node", prefix["list"].alias("lists"))
+    mask = F.expr("aggregate(lists, 0L, (m, l) -> m | shiftleft(1L, cast(shiftright(l, 32) AS int)))")
+    return chosen.select("node", mask.alias("mask"), F.explode("lists").alias("list"))
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
@@ -133,8 +139,8 @@ def confirmed(pairs: DataFrame, documents: DataFrame, at_least: float = SIMILARI
     with_both = with_a.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads: dict[str, np.ndarray] = {}  # rows come sorted by b, so one head's set is made once
+        heads: dict[str, np.ndarray] = {}  # rows come sorted by b, so one head's set is made once
+        for batch in (part for whole in batches for part in slices(whole)):
             keep = []
             for left, right in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 if right not in heads:
@@ -163,53 +169,108 @@ def _grouped(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return placed.join(mixed, "list").withColumn("open", F.col("grp") != F.col("main"))
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """Every posting in the blocks (list, i, j) in which it meets others: open block i, list block j."""
+def _blocks(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The postings in the groups in which they are compared: short lists share one, long ones are cut.
+
+    A row asks for a partner of another group (``asks``), answers, or both.
+    """
     counts = postings.groupBy("list").agg(
-        F.ceil(F.sum(F.col("open").cast("long")) / OPEN_ROWS).alias("open_blocks"),
-        F.ceil(F.count("*") / LIST_ROWS).alias("list_blocks"),
+        F.sum(F.col("open").cast("long")).alias("open_rows"), F.count("*").alias("list_rows")
+    )
+    rows = postings.join(counts, "list").join(nodes.select("node", "n_shingles", "signature"), "node")
+    carried = ["list", "node", "grp", "mask", "n_shingles", "signature"]
+    groups = postings.count() // GROUP_ROWS + 1
+    short = rows.filter(F.col("list_rows") <= LIST_ROWS).select(
+        F.pmod(F.xxhash64("list"), F.lit(groups)).alias("bundle"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), *carried,
+        F.col("open").alias("asks"), F.lit(True).alias("answers"),
+    )
+    long = rows.filter(F.col("list_rows") > LIST_ROWS).withColumns(
+        {
+            "open_blocks": F.ceil(F.col("open_rows") / OPEN_ROWS).cast("int"),
+            "list_blocks": F.ceil(F.col("list_rows") / LIST_ROWS).cast("int"),
+        }
     )
-    spread = postings.join(counts, "list").withColumn("turn", F.xxhash64("node"))
-    i = F.pmod(F.col("turn"), F.col("open_blocks"))
-    j = F.pmod(F.xxhash64(F.col("turn")), F.col("list_blocks"))
-    as_open = spread.filter("open").select(
-        "list", "node", "grp", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("list_blocks") - 1)).alias("j"),
-        F.lit(True).alias("asks"),
+    i = F.pmod(F.xxhash64("node"), F.col("open_blocks")).cast("int")
+    j = F.pmod(F.xxhash64("node", F.lit(1)), F.col("list_blocks")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_open = long.filter("open").select(
+        F.col("list").alias("bundle"), i.alias("i"), each("list_blocks").alias("j"), *carried,
+        F.lit(True).alias("asks"), F.lit(False).alias("answers"),
     )
-    as_any = spread.select(
-        "list", "node", "grp", F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1)).alias("i"), j.alias("j"),
-        F.lit(False).alias("asks"),
+    as_any = long.select(
+        F.col("list").alias("bundle"), each("open_blocks").alias("i"), j.alias("j"), *carried,
+        F.lit(False).alias("asks"), F.lit(True).alias("answers"),
     )
-    return as_open.unionByName(as_any)
+    return short.unionByName(as_open).unionByName(as_any)
 
 
-def _sides(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Asking rows, answering rows, and their matching coordinates where the groups differ."""
-    asks, answers = frame[frame["asks"]], frame[~frame["asks"]]
-    a = np.stack(asks["signature"].to_numpy()) if len(asks) else np.zeros((0, COORDINATES), np.int32)
-    b = np.stack(answers["signature"].to_numpy()) if len(answers) else np.zeros((0, COORDINATES), np.int32)
-    matches = np.zeros((len(a), len(b)), np.int16)
-    for k in range(COORDINATES):
-        matches += a[:, k, None] == b[None, :, k]
-    apart = asks["grp"].to_numpy()[:, None] != answers["grp"].to_numpy()[None, :]
-    n_a, n_b = asks["n_shingles"].to_numpy()[:, None], answers["n_shingles"].to_numpy()[None, :]
-    sizes = np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * round(SIMILARITY * 100)
-    return asks, answers, np.where(apart & sizes & (matches >= MATCHES), matches, 0)
+_BLOCK = (
+    "bundle long, i int, j int, list long, node long, grp long, mask long, n_shingles long, "
+    "signature array<int>, asks boolean, answers boolean"
+)
+
+
+def _pairs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers of asking and answering classes of different groups, and their matching coordinates.
+
+    Every pair that reaches the match threshold comes once over all lists: in that of the first
+    coordinate that the prefixes of both have in common.
+    """
+    if not len(frame):
+        return
+    node, grp, n = (frame[c].to_numpy() for c in ("node", "grp", "n_shingles"))
+    asks, answers = frame["asks"].to_numpy(bool), frame["answers"].to_numpy(bool)
+    signatures = np.stack(frame["signature"].to_numpy())
+    prefix = (frame["mask"].to_numpy().view(np.uint64)[:, None] >> np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(1)
+    prefix = prefix.astype(bool)
+    lists = frame["list"].to_numpy()
+    by_list = np.argsort(lists, kind="stable")
+    lists = lists[by_list]
+    starts = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
+    sizes = np.diff(np.append(starts, len(lists)))
+    hundredths = round(SIMILARITY * 100)
+    for size in np.unique(sizes):
+        which = starts[sizes == size]
+        at_once = max(1, 250_000 // (size * size))
+        for at in range(0, len(which), at_once):
+            rows = by_list[which[at : at + at_once, None] + np.arange(size)]
+            u, c = rows[:, :, None], rows[:, None, :]
+            ok = asks[u] & answers[c] & (grp[u] != grp[c])
+            ok &= np.minimum(n[u], n[c]) * 100 >= np.maximum(n[u], n[c]) * hundredths
+            # two that ask each other are one pair
+            ok &= ~(asks[c] & answers[u]) | (node[u] > node[c])
+            of, x, y = np.nonzero(ok)
+            for cut in range(0, len(of), 50_000):
+                part = slice(cut, cut + 50_000)
+                a, b = rows[of[part], x[part]], rows[of[part], y[part]]
+                same = signatures[a] == signatures[b]
+                matches = same.sum(1)
+                first = (same & prefix[a] & prefix[b]).argmax(1)
+                own = (lists[which[at + of[part]]] >> 32) == first
+                hit = own & (matches >= MATCHES)
+                yield a[hit], b[hit], matches[hit]
 
 
 def best_partners(lists: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): each open class with the class of another group it matches best, per block."""
+    """(a, b): each class with the class of another group it matches best."""
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
-        asks, answers, matches = _sides(frame)
-        if not matches.size:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        top = matches.argmax(1)
-        hit = matches[np.arange(len(top)), top] > 0
-        return pd.DataFrame({"a": asks["node"].to_numpy()[hit], "b": answers["node"].to_numpy()[top[hit]]})
-
-    rows = _blocks(_grouped(lists, groups)).join(nodes.select("node", "n_shingles", "signature"), "node")
-    return rows.groupBy("list", "i", "j").applyInPandas(best, "a long, b long").distinct()
+        node = frame["node"].to_numpy()
+        most, partner = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
+        for u, c, matches in _pairs(frame):
+            for row, other in ((u, c), (c, u)):
+                order = np.lexsort((-node[other], matches))  # the best comes last and stays
+                row, other, found = row[order], other[order], matches[order]
+                better = found > most[row]
+                partner[row[better]], most[row[better]] = node[other[better]], found[better]
+        hit = most > 0
+        out = pd.DataFrame({"a": node[hit], "b": partner[hit], "matches": most[hit]})
+        return out.sort_values(["a", "matches", "b"], ascending=[True, False, True]).drop_duplicates("a")
+
+    near = _blocks(_grouped(lists, groups), nodes).groupBy("bundle", "i", "j")
+    near = near.applyInPandas(best, "a long, b long, matches long")
+    top = near.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("top"))
+    return top.select(F.greatest("a", "top.b").alias("a"), F.least("a", "top.b").alias("b")).distinct()
 
 
 def remaining_links(lists: DataFrame, groups: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -220,32 +281,33 @@ def remaining_links(lists: DataFrame, groups: DataFrame, nodes: DataFrame, docum
     """
 
     def involved(frame: pd.DataFrame) -> pd.DataFrame:
-        asks, answers, matches = _sides(frame)
-        rows = pd.concat([asks[(matches > 0).any(1)], answers[(matches > 0).any(0)]])
-        return rows[["list", "i", "j", "node", "grp", "asks", "n_shingles", "signature"]]
+        rows = np.zeros(len(frame), bool)
+        for u, c, _ in _pairs(frame):
+            rows[u] = rows[c] = True
+        return frame[rows]
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        asks, answers, matches = _sides(frame)
-        sets: dict[str, np.ndarray] = {}
+        texts, node, grp = (frame[c].to_numpy() for c in ("text", "node", "grp"))
+        sets: dict[int, np.ndarray] = {}
         linked, out = set(), []
-        for x, y in zip(*np.nonzero(matches), strict=True):
-            left, right = asks.iloc[x], answers.iloc[y]
-            groups = frozenset((left["grp"], right["grp"]))
-            if groups in linked:
-                continue
-            for text in (left["text"], right["text"]):
-                if text not in sets:
-                    sets[text] = shingles_of(text)
-            if similar(sets[left["text"]], sets[right["text"]]):
-                linked.add(groups)
-                out.append((left["node"], right["node"]))
+        for u, c, matches in _pairs(frame):
+            best_first = np.argsort(-matches, kind="stable")
+            for x, y in zip(u[best_first].tolist(), c[best_first].tolist(), strict=True):
+                both = (grp[x], grp[y]) if grp[x] < grp[y] else (grp[y], grp[x])
+                if both in linked:
+                    continue
+                for row in (x, y):
+                    if node[row] not in sets:
+                        sets[node[row]] = shingles_of(texts[row])
+                if similar(sets[node[x]], sets[node[y]]):
+                    linked.add(both)
+                    out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rows = _blocks(_grouped(lists, groups)).join(nodes.select("node", "n_shingles", "signature"), "node")
-    schema = "list long, i long, j long, node long, grp long, asks boolean, n_shingles long, signature array<int>"
-    wanted = stored(rows.groupBy("list", "i", "j").applyInPandas(involved, schema), "near-open")
+    rows = _blocks(_grouped(lists, groups), nodes)
+    wanted = stored(rows.groupBy("bundle", "i", "j").applyInPandas(involved, _BLOCK), "near-open")
     texts = documents.select(F.col("doc_id").alias("node"), "text").filter("node IS NOT NULL")
-    return wanted.join(texts, "node").groupBy("list", "i", "j").applyInPandas(link, "a long, b long").distinct()
+    return wanted.join(texts, "node").groupBy("bundle", "i", "j").applyInPandas(link, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

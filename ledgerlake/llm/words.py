@@ -1,8 +1,10 @@
 """Words and shingles, as expressions and as array code that runs inside tasks."""
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +18,6 @@ SHINGLE = 5
 SIMILARITY = 0.75
 
 _WORD = re.compile(WORD)
-_FOLD = str.maketrans(UPPER, UPPER.lower())
 
 
 def fold(text: Column) -> Column:
@@ -46,15 +47,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in small parts, so that few of its texts are Python objects at a time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 class WordHashes(dict):
     """Word to the 64-bit hash of its folded form, remembered; forgotten beyond a bound of entries."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
+        # of bytes, lower() folds A-Z alone
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.translate(_FOLD).encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass").lower())
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
