@@ -25,12 +25,17 @@ from ledgerlake.sources.scratch import stored
 CONTAINED = 0.75
 COORDINATES = 16
 LEAST_HITS = 2
-#: Tables of at most this many narrow rows are sent to every task.
+#: Tables of at most this many narrow rows, or shingles in all rows, are sent to every task.
 SENT_ROWS = 100_000
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+def _sent(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """``df``, marked to be sent if its rows (or the sum of ``weight``) are few; they are counted."""
+    if weight is None:
+        size = df.limit(SENT_ROWS + 1).count()
+    else:
+        size = df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if size <= SENT_ROWS else df
 
 
 def shingle_rows(texts: DataFrame, key: str) -> DataFrame:
@@ -101,7 +106,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, contained: float = CONTAIN
     )
     own = words.select("doc_id", runs.alias("runs"))
     with_items = pairs.withColumnRenamed("doc_id", "id").join(
-        _sent(items), pairs.item_id.eqNullSafe(items.item_id)
+        _sent(items, "n"), pairs.item_id.eqNullSafe(items.item_id)
     ).select("id", items.item_id, "n", F.transform("shingles", lambda s: s["shingle"]).alias("asked"))
     met = own.join(with_items, F.col("doc_id").eqNullSafe(F.col("id"))).select(
         "doc_id", "item_id", "n", F.array_intersect("asked", "runs").alias("met")

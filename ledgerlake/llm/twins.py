@@ -99,7 +99,83 @@ WITH whole AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+
+
+def _level(k: int) -> str:
+    """The variable nodes of level ``k`` become ``*``."""
+    parents = ", ".join(["host", *[f"s{i}" for i in range(1, k)]])
+    on = " AND ".join(f"r.{c} = v.{c}" for c in parents.split(", "))
+    rest = ", ".join(f"r.s{i}" for i in range(1, 5) if i != k)
+    return f"""l{k} AS (
+  SELECT r.host, r.path, r.n, r.labelled, r.blocked, r.tail, {rest},
+         CASE WHEN v.host IS NOT NULL AND r.s{k} <> '' THEN '*' ELSE r.s{k} END AS s{k}
+  FROM l{k - 1} r LEFT JOIN (
+    SELECT {parents} FROM l{k - 1} GROUP BY {parents}
+    HAVING sum(n) >= 20 AND count(DISTINCT s{k}) > sum(n) * 0.5) v ON {on}
+)"""
+
+
+def _segment(k: int) -> str:
+    seg = f"coalesce(parts[{k}], '')"
+    return rf"""CASE WHEN (regexp_full_match({seg}, '[0-9A-Za-z_-]{{12,}}') AND regexp_matches({seg}, '[0-9]'))
+      OR regexp_full_match({seg}, '[0-9a-fA-F-]{{16,}}') THEN '<id>'
+    ELSE regexp_replace({seg}, '^[0-9]+($|\.[A-Za-z0-9]{{1,5}}$)', '<num>\1') END AS s{k}"""
+
+
+def _fits(rule: str) -> str:
+    host, slash, rest = rule.partition("/")
+    return f"(host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{slash}{rest}')"
+
+
+URLS = rf"""
+WITH split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), decided AS (
+  SELECT *, CASE WHEN {_fits("example.net/en/")} THEN 'example.net/en/' WHEN {_fits("example.com/de/")} THEN 'example.com/de/'
+                 WHEN {_fits("org/fr/")} THEN 'org/fr/' WHEN {_fits("net/")} THEN 'net/' END AS rule
+  FROM split
+), counted AS (
+  SELECT host, path, count(*) AS n, count(rule) AS labelled,
+         count(*) FILTER (WHERE rule IN ('example.com/de/', 'net/')) AS blocked
+  FROM decided WHERE host <> '' GROUP BY host, path
+), parted AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM counted),
+l0 AS (
+  SELECT host, path, n, labelled, blocked, CASE WHEN len(parts) > 4 THEN '**' ELSE '' END AS tail,
+    {", ".join(_segment(k) for k in range(1, 5))}
+  FROM parted
+), {", ".join(_level(k) for k in range(1, 5))},
+spread AS (
+  SELECT host, s1, concat_ws('/', s2, s3, s4, tail) AS below, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked
+  FROM l4 GROUP BY 1, 2, 3
+), pool AS (SELECT host, below, sum(n) AS pool_n FROM spread GROUP BY 1, 2),
+branch AS (SELECT host, s1, sum(n) AS b_n, sum(labelled) AS b_l, sum(blocked) AS b_b FROM spread GROUP BY 1, 2),
+whole AS (SELECT host, sum(b_n) AS h_n, sum(b_l) AS h_l, sum(b_b) AS h_b, count(*) AS branches FROM branch GROUP BY 1),
+alike AS (
+  SELECT s.host, s.s1 FROM spread s JOIN pool USING (host, below) JOIN branch b USING (host, s1) JOIN whole w USING (host)
+  GROUP BY s.host, s.s1
+  HAVING max(branches) > 1 AND sum(greatest(s.n / b_n - pool_n / h_n, 0)) <= 0.2
+     AND max(abs(b_b / b_n - h_b / h_n)) <= 0.1 AND max(abs(b_l / b_n - h_l / h_n)) <= 0.1
+), merged AS (SELECT host, s1 FROM alike WHERE host IN (SELECT host FROM alike GROUP BY host HAVING count(*) > 1)),
+shaped AS (
+  SELECT r.host, r.path, r.n, r.labelled, r.blocked,
+         regexp_replace('/' || concat_ws('/', CASE WHEN m.host IS NOT NULL AND r.s1 <> '' THEN '*' ELSE r.s1 END, s2, s3, s4, tail), '/+$', '') AS template
+  FROM l4 r LEFT JOIN merged m ON m.host = r.host AND m.s1 = r.s1
+), known AS (
+  SELECT host, template, (sum(blocked) + 0.4::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS purity,
+         sum(labelled) >= sum(n) * 0.5 AS supported
+  FROM shaped GROUP BY 1, 2
+), found AS (SELECT s.host, s.path, s.template, purity, supported FROM shaped s JOIN known USING (host, template))
+SELECT page_id, d.host, d.path, rule,
+       CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN purity >= 0.7 AND supported THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(template, '') AS template, CAST(purity AS DOUBLE) AS purity
+FROM decided d LEFT JOIN found f ON f.host = d.host AND f.path = d.path
+"""
+
 ORACLES = {
+    "op9_url_filter": URLS,
     "op1_top_k": TOP_K,
     "op4_chat_format": CHAT,
     "op8_decontamination": LEAKS.format(docs="documents"),

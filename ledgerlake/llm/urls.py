@@ -62,8 +62,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 def segment_class(segment: Column) -> Column:
     """Variable segments by their form; a final extension and the other segments stay."""
-    shaped = F.regexp_replace(segment, r"^[0-9]+(?=$|\.[A-Za-z0-9]{1,5}$)", "<num>")
-    mixed = segment.rlike(r"^(?=.*[0-9])[0-9A-Za-z_-]{12,}$") | segment.rlike(r"^[0-9a-fA-F-]{16,}$")
+    shaped = F.regexp_replace(segment, r"^[0-9]+(?=\z|\.[A-Za-z0-9]{1,5}\z)", "<num>")
+    mixed = segment.rlike(r"^(?=.*[0-9])[0-9A-Za-z_-]{12,}\z") | segment.rlike(r"^[0-9a-fA-F-]{16,}\z")
     return F.when(mixed, F.lit("<id>")).otherwise(shaped)
 
 
@@ -142,7 +142,7 @@ def templates(counted: DataFrame) -> DataFrame:
         "s1", F.when(F.col("merge") & (F.col("s1") != NONE), F.lit(WILD)).otherwise(F.col("s1"))
     )
     rows = rows.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", *levels, "tail")))
-    rows = rows.withColumn("template", F.regexp_replace("template", "/+$", "")).drop("merge", *levels, "tail")
+    rows = rows.withColumn("template", F.regexp_replace("template", r"/+\z", "")).drop("merge", *levels, "tail")
 
     # 4. purity
     known = rows.groupBy("host", "template").agg(
