@@ -4,44 +4,74 @@ A line is the set of its distinct words; it is removed if an earlier line (small
 same document and an earlier place) has a Jaccard similarity of at least ``SIMILARITY``. Lines are
 judged on the input, not on what is left of it.
 
-1. Word counts over all documents order the words of a line by rarity. The counts are kept in a
-   table of fixed size, whose order is the same everywhere; it need not be exact to be valid.
-2. Lines with equal sets are one class, named by its first line; only that is searched further.
-3. Two similar lines share a word among the rarest ``n - ceil(0.75 n) + 1`` of either (prefix
-   filter), so each class is listed under those words. Pairs of a list must also pass the length
-   filter, the positional filter and a bitmap bound on their symmetric difference.
-4. Each class is verified against the best earlier candidate of its lists; for those that remain,
-   every candidate is verified. Lists are handled in blocks and never emitted as pairs.
+1. Rarity and equal sets, in one pass. Word counts over all documents order the words of a line;
+   they are kept in a table of fixed size, whose order is the same everywhere and need not be exact
+   to be valid. Lines are named by a 128-bit hash of their set; all but the first of equal sets go.
+2. Prefix filter. Two similar lines share a word among the rarest ``n - ceil(0.75 n) + 1`` of
+   either, so each remaining line is listed under those words. Postings are packed by column and
+   meet by ranges of their words; a list longer than ``LONG`` is cut into blocks, and pairs of
+   blocks are compared in tasks of their own.
+3. Pairs of a list must pass the length filter, the positional filter and a bound on the symmetric
+   difference from bitmaps of word parities. A line keeps its nearest earlier candidates.
+4. Candidates are verified on the full sets of words. A line none of whose kept candidates is
+   similar, but that had more, is compared again with every candidate; no pair is lost.
+
+The documents are written once with a row number, bucketed by stretches of rows, so that looking
+up lines and removing them does not move the texts again.
 
 Defined cases: A-Z are folded; lines of fewer than ``LEAST_WORDS`` distinct words are kept; null
-texts stay null; rows without doc_id are left alone; rows equal in doc_id and text are judged alike
-and rows that share only the id are told apart by a hash of their text; a text may lose all lines
-and is then empty.
+texts stay null; rows without doc_id are left alone; rows of equal doc_id are told apart as rows,
+and none of them is earlier than another at the same place; a text may lose all lines and is then
+empty.
 """
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.words import SIMILARITY, WordHashes, words_of
-from ledgerlake.sources.scratch import stored
+from ledgerlake.llm.words import SIMILARITY, hashed_words, slices
+from ledgerlake.sources.scratch import discard, scratch, stored
 
 LEAST_WORDS = 5
-#: Entries of the table of word counts, and parts in which it is summed.
-TABLE, PARTS = 2**24, 64
-#: Documents handled at once; rows of a group of short lists; rows of a block of a long list.
-SLICE, GROUP_ROWS, BLOCK = 1000, 8192, 512
-KEY = ["doc_id", "tag", "line"]
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes()
+#: Entries of the table of word counts (as a power of two), and parts in which it is summed.
+TABLE_BITS, PARTS = 22, 16
+TABLE, TABLE_SHIFT = 2**TABLE_BITS, np.uint64(64 - TABLE_BITS)
+#: Documents handled at once; postings of one range; postings of a list that is cut, and of its blocks.
+SLICE, RANGE, LONG, BLOCK = 1000, 2**16, 8192, 2048
+#: Candidates that a line keeps before it is marked as having more.
+KEPT = 4
+#: Rows of a stretch, as a power of two; bits of a word's hash that name its list.
+STRETCH, WORD_BITS = 12, 36
+HUNDREDTHS = round(SIMILARITY * 100)
+
+_SETS = ("h1", "id", "doc_id", "line", "h2")
+_FIELDS = ("list", "id", "doc_id", "line", "n", "place", "parity")
+#: Bitmaps of a line's word parities by its kind, and the fewest words of a line of that kind: with
+#: one bitmap of 64 bits, long lines would all look alike. ``parity`` is the parity of them all.
+WORDS, LEAST = (1, 2, 4), (0, 72, 180)
+_BY_KIND = tuple((*_FIELDS, *(f"parity{k}" for k in range(1, n))) for n in WORDS)
+
+
+def numbered(documents: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with ``_id`` (a row number) and ``_stretch``, written bucketed; the table's name."""
+    spark = documents.sparkSession
+    rows = documents.withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("_stretch", F.shiftright("_id", STRETCH))
+    name = f"line_rows_{uuid.uuid4().hex}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writer = rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "_stretch")
+    writer.option("path", scratch(spark, "line-rows")).saveAsTable(name)
+    return spark.table(name), name
+
+
+# ---- rarity
 
 
 def _coded(counts: np.ndarray) -> np.ndarray:
@@ -50,300 +80,569 @@ def _coded(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, high).astype(np.uint8)
 
 
-def word_counts(documents: DataFrame) -> bytes:
-    """How often the words of each table entry occur in all texts; ``TABLE`` bytes at any input size."""
+def _sets(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of every set of distinct hashes, whatever their order."""
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h1 = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
+        h2 = np.add.reduceat((mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F), starts)
+    return h1.view(np.int64), h2.view(np.int64)
+
+
+def _later_copies(f: dict[str, np.ndarray]) -> np.ndarray:
+    """Which lines repeat the set of an earlier one; rows of one id at one place do not."""
+    order = np.lexsort((f["line"], f["doc_id"], f["h2"], f["h1"]))
+    h1, h2 = f["h1"][order], f["h2"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = np.zeros(len(order), bool)
+    later[order] = (f["doc_id"][order] != f["doc_id"][head]) | (f["line"][order] != f["line"][head])
+    return later
+
+
+def first_pass(rows: DataFrame, ranges: int) -> DataFrame:
+    """``kind`` and ``part`` with packed data: word counts, set names by range, copies inside a slice."""
     width = TABLE // PARTS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(TABLE, np.uint32)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(table, _hashes().of(words_of(text)) >> np.uint64(40), 1)
-        used = [p for p in range(PARTS) if table[p * width : (p + 1) * width].any()]
-        blobs = [pa.compress(table[p * width : (p + 1) * width].tobytes(), "lz4", asbytes=True) for p in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                hashes, owner, of_text, line = _lines(part.column("text"))
+                table += np.bincount((hashes >> TABLE_SHIFT).astype(np.int64), minlength=TABLE).astype(np.uint32)
+                hashes, owner, n = _distinct(hashes, owner, len(of_text), None)
+                fit = n >= LEAST_WORDS
+                if not fit.any():
+                    continue
+                hashes, starts = hashes[fit[owner]], np.concatenate(([0], np.cumsum(n[fit])[:-1]))
+                h1, h2 = _sets(hashes, starts)
+                ids, docs = (part.column(c).to_numpy(zero_copy_only=False)[of_text[fit]] for c in ("_id", "doc_id"))
+                f = {"h1": h1 >> 1 & 2**62 - 1, "id": ids, "doc_id": docs, "line": line[fit], "h2": h2}
+                later = _later_copies(f)
+                known = np.stack((f["id"][later], f["line"][later])).astype(np.int64)
+                out = _cut({k: v[~later] for k, v in f.items()}, _SETS, (f["h1"][~later] >> 30) * ranges >> 32)
+                yield _rows([(1, r, payload) for r, payload in out] + [(2, 0, known.tobytes())])
+        counts = []
+        for part in range(PARTS):
+            own = table[part * width : (part + 1) * width]
+            if (used := own > 0).any():
+                bits, values = np.packbits(used).tobytes(), own[used].tobytes()
+                size = np.int64(len(bits) + len(values)).tobytes()
+                counts.append((0, part, size + pa.compress(bits + values, "zstd", asbytes=True)))
+        yield _rows(counts)
+
+    texts = rows.filter("text IS NOT NULL").select("_id", F.col("doc_id").cast("long"), "text")
+    return texts.filter("doc_id IS NOT NULL").mapInArrow(read, "kind int, part long, payload binary")
+
+
+def _rows(cells: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = {"kind": pa.int32(), "part": pa.int64(), "payload": pa.binary()}
+    return pa.RecordBatch.from_pydict({k: pa.array([c[i] for c in cells], t) for i, (k, t) in enumerate(kinds.items())})
+
+
+def word_counts(first: DataFrame) -> bytes:
+    """How often the words of each table entry occur in all texts; ``TABLE`` bytes at any input size."""
+    width = TABLE // PARTS
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows of a part come together; sums are kept for the parts of this task only
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}  # of the parts that this task got
         for frame in frames:
-            for part, blob in zip(frame["part"], frame["counts"], strict=True):
-                got = np.frombuffer(pa.decompress(blob, width * 4, "lz4", asbytes=True), np.uint32)
-                sums[part] = sums.get(part, 0) + got.astype(np.uint64)
-        yield pd.DataFrame({"part": list(sums), "counts": [_coded(s).tobytes() for s in sums.values()]})
+            for part, payload in zip(frame["part"], frame["payload"], strict=True):
+                size = int(np.frombuffer(payload, np.int64, 1)[0])
+                raw = pa.decompress(payload[8:], size, "zstd", asbytes=True)
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, width // 8)))
+                sums.setdefault(part, np.zeros(width, np.uint64))[at] += np.frombuffer(raw, np.uint32, len(at), width // 8)
+        yield pd.DataFrame({"part": list(sums), "codes": [_coded(s).tobytes() for s in sums.values()]})
 
-    parts = documents.select("text").mapInArrow(count, "part int, counts binary")
-    summed = parts.repartition(PARTS, "part").mapInPandas(add, "part int, counts binary").collect()
     table = bytearray(TABLE)
-    for row in summed:
-        table[row["part"] * width : (row["part"] + 1) * width] = row["counts"]
+    parts = first.filter("kind = 0").select("part", "payload").repartition(PARTS, "part")
+    for row in parts.mapInPandas(add, "part long, codes binary").collect():
+        table[row["part"] * width : (row["part"] + 1) * width] = row["codes"]
     return bytes(table)
 
 
-def _least_overlap(n: np.ndarray) -> np.ndarray:
-    """The fewest words that a line of n words shares with a similar one."""
-    hundredths = round(SIMILARITY * 100)
-    return -(-n * hundredths // 100)
+def copies(first: DataFrame) -> DataFrame:
+    """id and line of the lines whose set an earlier line has: of slices, then of all by range."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                ids, lines = np.frombuffer(payload, np.int64).reshape(2, -1)
+                columns = [pa.array(ids), pa.array(lines.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "line"])
+
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpack(p, _SETS) for p in frame["payload"]]
+        f = {name: np.concatenate([p[name] for p in parts]) for name in _SETS}
+        later = _later_copies(f)
+        return pd.DataFrame({"id": f["id"][later], "line": f["line"][later]})
+
+    inside = first.filter("kind = 2").select("payload").mapInArrow(known, "id long, line int")
+    return inside.unionByName(first.filter("kind = 1").groupBy("part").applyInPandas(find, "id long, line int"))
+
+
+# ---- packed postings
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length: the first, which is sorted, as differences; all by their low bytes."""
+    out = [np.int64(len(columns[0])).tobytes()]
+    for k, column in enumerate(columns):
+        values = column.astype(np.int64).view(np.uint64)
+        base = values.min()
+        values = np.diff(values, prepend=base) if k == 0 else values - base
+        planes = max(1, -(-int(values.max()).bit_length() // 8))
+        low = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :planes].T)
+        out += [np.int64(planes).tobytes(), base.tobytes(), low.tobytes()]
+    return b"".join(out)
+
+
+def _cut(fields: dict[str, np.ndarray], names: tuple[str, ...], of_range: np.ndarray) -> list[tuple[int, bytes]]:
+    """The fields packed by range, sorted by the first of ``names``, along which ranges rise."""
+    order = np.argsort(fields[names[0]], kind="stable")
+    columns, of_range = [fields[name][order] for name in names], of_range[order]
+    if not len(order):
+        return []
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(of_range)) + 1, [len(order)]))
+    return [
+        (int(of_range[a]), _pack([c[a:b] for c in columns])) for a, b in zip(edges[:-1], edges[1:], strict=True)
+    ]
+
 
+def _unpack(payload: bytes, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    n, at, out = int(np.frombuffer(payload, np.int64, 1)[0]), 8, {}
+    for k, name in enumerate(names):
+        planes, base = int(np.frombuffer(payload, np.int64, 1, at)[0]), np.frombuffer(payload, np.uint64, 1, at + 8)[0]
+        values = np.zeros((n, 8), np.uint8)
+        values[:, :planes] = np.frombuffer(payload, np.uint8, n * planes, at + 16).reshape(planes, n).T
+        values = values.view(np.uint64).ravel()
+        out[name] = ((np.cumsum(values) if k == 0 else values) + base).view(np.int64)
+        at += 16 + n * planes
+    return out
 
-def lines_of(documents: DataFrame, table: bytes) -> DataFrame:
-    """One row per line that takes part: its key, 128-bit set name, size, bitmap and listed prefix."""
-    shared = documents.sparkSession.sparkContext.broadcast(table)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least_overlap(n: np.ndarray) -> np.ndarray:
+    """The fewest words that a line of n words shares with a similar one."""
+    return -(-n * HUNDREDTHS // 100)
+
+
+def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all lines of some texts: hashes, number of their line; and text and place of each line."""
+    hashes, text, line = hashed_words(texts)
+    lines = pc.add(pc.count_substring(texts, "\n"), 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate(([0], np.cumsum(lines)))
+    of_text = np.repeat(np.arange(len(texts)), lines)
+    return hashes, before[text] + line, of_text, np.arange(len(of_text)) - before[of_text]
+
+
+def _distinct(
+    hashes: np.ndarray, owner: np.ndarray, lines: int, codes: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of every line, by rarity (if ``codes`` are given), then by hash; their number."""
+    rarity = np.zeros(len(hashes), np.uint8) if codes is None else codes[hashes >> TABLE_SHIFT]
+    if lines < 2**20:
+        key = (owner.astype(np.uint64) << np.uint64(44)) | (rarity.astype(np.uint64) << np.uint64(36))
+        order = np.argsort(key | (hashes >> np.uint64(28)))
+    else:
+        order = np.lexsort((hashes, rarity, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    return hashes, owner, np.bincount(owner, minlength=lines)
+
+
+def _posted(part: pa.RecordBatch, codes: np.ndarray, ranges: int) -> list[tuple[int, int, bytes]]:
+    """Postings of some documents: kind of the lines, range and packed fields."""
+    ids, docs = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "doc_id"))
+    hashes, owner, of_text, line = _lines(part.column("text"))
+    hashes, owner, n = _distinct(hashes, owner, len(of_text), codes)
+    fit = n >= LEAST_WORDS
+    first_line = np.searchsorted(of_text, np.arange(part.num_rows))
+    for row, skip in enumerate(part.column("_copies").to_pylist()):
+        if skip:
+            fit[first_line[row] + np.array(skip)] = False
+    if not fit.any():
+        return []
+    keep = fit[owner]
+    hashes, owner = hashes[keep], (np.cumsum(fit) - 1)[owner[keep]]
+    of_text, line, n = of_text[fit], line[fit], n[fit]
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    bit = np.left_shift(np.uint64(1), hashes & np.uint64(63))
+    kind_of = np.searchsorted(LEAST, n, "right") - 1
+    place = np.arange(len(hashes)) - starts[owner]
+    # a word that all texts have once is in no other line
+    listed = (place < (n - _least_overlap(n) + 1)[owner]) & (codes[hashes >> TABLE_SHIFT] > 1)
+    out = []
+    for kind, words in enumerate(WORDS):
+        mine = listed & (kind_of == kind)[owner]
+        if not mine.any():
+            continue
+        row = owner[mine]
+        bitmap = (hashes >> np.uint64(6)) & np.uint64(words - 1)
+        fields = {
+            "list": (hashes[mine] >> np.uint64(64 - WORD_BITS)).astype(np.int64),
+            # rows in the order of their ids need next to no room for them
+            "id": ids[of_text[row]], "doc_id": docs[of_text[row]] - ids[of_text[row]], "line": line[row], "n": n[row], "place": place[mine],
+            "parity": np.bitwise_xor.reduceat(bit, starts).view(np.int64)[row],
+        }
+        for k in range(1, words):
+            own = np.bitwise_xor.reduceat(np.where(bitmap == k, bit, np.uint64(0)), starts)
+            fields[f"parity{k}"] = own.view(np.int64)[row]
+        of_range = (fields["list"] >> 8) * ranges >> (WORD_BITS - 8)
+        out += [(kind, r, p) for r, p in _cut(fields, _BY_KIND[kind], of_range)]
+    return out
+
+
+def _fields(payload: bytes, kind: int) -> dict[str, np.ndarray]:
+    fields = _unpack(payload, _BY_KIND[kind])
+    fields["doc_id"] = fields["doc_id"] + fields["id"]
+    return fields
+
+
+def postings(rows: DataFrame, gone: DataFrame, shared: Broadcast, ranges: int) -> DataFrame:
+    """``kind`` of the lines, ``range`` and packed postings of all lines but those in ``gone``."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                yield _slice_lines(batch.slice(at, SLICE), codes)
+                yield _rows(_posted(batch.slice(at, SLICE), codes, ranges)).rename_columns(["kind", "range", "payload"])
 
-    schema = (
-        "doc_id long, tag long, line int, h1 long, h2 long, n int, b1 long, b2 long, words array<long>, places array<int>"
-    )
-    rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select(F.col("doc_id").cast("long"), text_tag(), "text").mapInArrow(split, schema)
-
-
-def text_tag() -> Column:
-    return F.xxhash64("text").alias("tag")
-
-
-def _slice_lines(part: pa.RecordBatch, codes: np.ndarray) -> pa.RecordBatch:
-    row, line, sizes, hashes = [], [], [], []
-    known = _hashes()
-    for r, text in enumerate(part.column("text").to_pylist()):
-        for k, words in enumerate(map(words_of, text.split("\n"))):
-            if len(words) >= LEAST_WORDS:
-                row.append(r)
-                line.append(k)
-                sizes.append(len(words))
-                hashes.append(known.of(words))
-    row, line = np.array(row, np.int64), np.array(line, np.int32)
-    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(row)), sizes)
-    # by line, then rarity, then hash: the same order of words in every line
-    order = np.lexsort((words, codes[words >> np.uint64(40)], owner))
-    words, owner = words[order], owner[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
-    words, owner = words[new], owner[new]
-    n = np.bincount(owner, minlength=len(row))
-    fit = n >= LEAST_WORDS
-    keep = fit[owner] if len(owner) else np.zeros(0, bool)
-    words, owner = words[keep], (np.cumsum(fit) - 1)[owner[keep]] if len(owner) else owner
-    row, line, n = row[fit], line[fit], n[fit]
-    starts = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64) if len(n) else np.zeros(0, np.int64)
-    place = np.arange(len(words)) - (starts[owner] if len(n) else 0)
+    texts = _with_lines(rows.select("_id", "_stretch", "doc_id", "text"), gone, "_copies")
+    texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = texts.select("_id", F.col("doc_id").cast("long"), "text", "_copies")
+    return texts.mapInArrow(post, "kind int, range long, payload binary")
 
-    def reduced(op: np.ufunc, values: np.ndarray) -> np.ndarray:
-        return (op.reduceat(values, starts) if len(n) else np.zeros(0, np.uint64)).view(np.int64)
 
-    with np.errstate(over="ignore"):
-        once = (words ^ (words >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h1 = reduced(np.add, once ^ (once >> np.uint64(29)))
-        h2 = reduced(np.add, (once ^ (once >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F))
-    bit = np.left_shift(np.uint64(1), words & np.uint64(63))
-    low = (words & np.uint64(64)) == 0
-    b1, b2 = (reduced(np.bitwise_or, np.where(side, bit, np.uint64(0))) for side in (low, ~low))
-    prefix = n - _least_overlap(n) + 1
-    # a word counted once in all texts is in no other line
-    listed = (place < prefix[owner]) & (codes[words >> np.uint64(40)] > 1) if len(n) else np.zeros(0, bool)
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[listed], minlength=len(n))))).astype(np.int32)
-    ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
-    tags = part.column("tag").to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
-    columns = {
-        "doc_id": pa.array(ids, pa.int64()),
-        "tag": pa.array(tags, pa.int64()),
-        "line": pa.array(line, pa.int32()),
-        "h1": pa.array(h1, pa.int64()),
-        "h2": pa.array(h2, pa.int64()),
-        "n": pa.array(n, pa.int32()),
-        "b1": pa.array(b1, pa.int64()),
-        "b2": pa.array(b2, pa.int64()),
-        "words": pa.ListArray.from_arrays(offsets, pa.array(words[listed].view(np.int64))),
-        "places": pa.ListArray.from_arrays(offsets, pa.array(place[listed], pa.int32())),
-    }
-    return pa.RecordBatch.from_pydict(columns)
-
-
-def postings(classes: DataFrame) -> DataFrame:
-    """Every class in the groups in which it is compared: short lists share groups, long ones are cut.
-
-    A row asks for earlier lines (``asks``), answers, or both.
+def _long_lists(posted: DataFrame, shared: Broadcast) -> DataFrame:
+    """range and the lists in it that are longer than ``LONG``, with their lengths.
+
+    Only words that all texts have that often can have such a list, so few are counted.
     """
-    listed = classes.select(*KEY, "n", "b1", "b2", F.explode(F.arrays_zip("words", "places")).alias("p")).select(
-        *KEY, "n", "b1", "b2", F.col("p.words").alias("list"), F.col("p.places").alias("place")
-    )
-    lengths = listed.groupBy("list").agg(F.count("*").alias("length")).filter("length > 1")
-    rows = listed.join(lengths, "list")
-    groups = classes.count() // (GROUP_ROWS // 4) + 1
-    short = rows.filter(F.col("length") <= BLOCK).select(
-        F.pmod(F.xxhash64("list"), F.lit(groups)).alias("grp"), F.lit(-1).alias("i"), F.lit(-1).alias("j"),
-        "list", *KEY, "n", "b1", "b2", "place", F.lit(True).alias("asks"), F.lit(True).alias("answers"),
-    )
-    long = rows.filter(F.col("length") > BLOCK).withColumn("blocks", F.ceil(F.col("length") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64(*KEY), F.col("blocks")).cast("int").alias("own")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cut = long.select("list", *KEY, "n", "b1", "b2", "place", own, others)
-    sides = [
-        cut.select(
-            F.col("list").alias("grp"), F.col(i).alias("i"), F.col(j).alias("j"), "list", *KEY, "n", "b1", "b2", "place",
-            F.lit(asks).alias("asks"), F.lit(not asks).alias("answers"),
-        )
-        for i, j, asks in (("own", "other", True), ("other", "own", False))
-    ]
-    return short.unionByName(sides[0]).unionByName(sides[1])
-
-
-def _pairs(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers of asking and earlier answering lines that pass all filters, and their bitmap distance."""
-    frame_rows = len(frame)
-    rank = np.empty(frame_rows, np.int64)
-    keys = [frame[c].to_numpy() for c in KEY]
-    order = np.lexsort(keys[::-1])
-    changed = np.zeros(frame_rows, bool)
-    for k in keys:
-        changed[1:] |= k[order][1:] != k[order][:-1]
-    rank[order] = np.cumsum(changed)
-    n, place = frame["n"].to_numpy().astype(np.int64), frame["place"].to_numpy().astype(np.int64)
-    b1, b2 = frame["b1"].to_numpy().view(np.uint64), frame["b2"].to_numpy().view(np.uint64)
-    asks, answers = frame["asks"].to_numpy(), frame["answers"].to_numpy()
-    by_list = np.argsort(frame["list"].to_numpy(), kind="stable")
-    lists = frame["list"].to_numpy()[by_list]
-    starts = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1]))) if frame_rows else np.zeros(0, int)
-    sizes = np.diff(np.append(starts, frame_rows))
-    for size in np.unique(sizes):
-        which = starts[sizes == size]
-        at_once = max(1, 2_000_000 // (size * size))
-        for at in range(0, len(which), at_once):
-            rows = by_list[which[at : at + at_once, None] + np.arange(size)]
-            u, c = rows[:, :, None], rows[:, None, :]
-            both = n[u] + n[c]
-            apart = np.bitwise_count(b1[u] ^ b1[c]).astype(np.int64) + np.bitwise_count(b2[u] ^ b2[c])
-            bound = np.minimum(place[u], place[c]) + 1 + np.minimum(n[u] - place[u], n[c] - place[c]) - 1
-            hundredths = round(SIMILARITY * 100)
-            ok = (rank[c] < rank[u]) & asks[u] & answers[c]
-            ok &= np.minimum(n[u], n[c]) * 100 >= np.maximum(n[u], n[c]) * hundredths
-            ok &= apart * (100 + hundredths) <= both * (100 - hundredths)
-            ok &= bound * (100 + hundredths) >= both * hundredths
-            a, x, y = np.nonzero(ok)
-            yield rows[a, x], rows[a, y], apart[a, x, y]
+    least = int(_coded(np.array([LONG]))[0])
 
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for kind, r, payload in zip(*(batch.column(c).to_pylist() for c in ("kind", "range", "payload")), strict=True):
+                lists = _fields(payload, kind)["list"]
+                lists, n = np.unique(lists[codes[lists >> (WORD_BITS - TABLE_BITS)] >= least], return_counts=True)
+                columns = [pa.array(np.full(len(lists), r), pa.int64()), pa.array(lists), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "list", "n"])
 
-_PAIR = "doc_id long, tag long, line int, c_doc long, c_tag long, c_line int"
+    counted = posted.mapInArrow(lengths, "range long, list long, n long")
+    long = counted.groupBy("range", "list").agg(F.sum("n").alias("n")).filter(F.col("n") > LONG)
+    return long.groupBy("range").agg(F.collect_list(F.struct("list", "n")).alias("long"))
 
 
-def best_candidates(posted: DataFrame) -> DataFrame:
-    """For each line the earlier one with the nearest bitmap among all its lists."""
+def _grouped(posted: DataFrame, long: DataFrame) -> DataFrame:
+    """Packed postings with the group in which they are compared: a range, or two blocks of a long list."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, int, int, bytes]] = []
+            cells = zip(*(batch.column(c).to_pylist() for c in ("kind", "range", "payload", "long")), strict=True)
+            for kind, r, payload, lists in cells:
+                if not lists:
+                    out.append((kind, r, -1, 0, 0, payload))
+                    continue
+                fields = list(_unpack(payload, _BY_KIND[kind]).values())
+                rest = ~np.isin(fields[0], [x["list"] for x in lists])
+                if rest.any():
+                    out.append((kind, r, -1, 0, 0, _pack([f[rest] for f in fields])))
+                for x in lists:
+                    mine = np.flatnonzero(fields[0] == x["list"])
+                    blocks = -(-x["n"] // BLOCK)
+                    block = (fields[1][mine] * 2654435761 + fields[3][mine] * 40503 >> 7) % blocks
+                    for i in np.unique(block).tolist():
+                        own = _pack([f[mine[block == i]] for f in fields])
+                        out += [(kind, r, x["list"], min(i, j), max(i, j), own) for j in range(blocks)]
+            names = ["kind", "range", "list", "i", "j"]
+            columns = [pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.int64()) for k in range(1, 5))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([o[5] for o in out], pa.binary())], [*names, "payload"])
+
+    rows, bound = posted, 10_000
+    found = long.limit(bound + 1).count()
+    if not found:
+        rows = rows.withColumn("long", F.lit(None).cast(long.schema["long"].dataType))
+    else:
+        rows = rows.join(F.broadcast(long) if found <= bound else long, "range", "left")
+    return rows.mapInArrow(cut, "kind int, range long, list long, i long, j long, payload binary")
+
+
+def _joined(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    """All postings of a group by list; lines of a lesser kind have no further bitmaps (zeros)."""
+    parts = [_fields(p, kind) for p, kind in zip(frame["payload"], frame["kind"], strict=True)]
+    names = _BY_KIND[int(frame["kind"].max())]
+    fields = {name: np.concatenate([p.get(name, np.zeros(len(p["id"]), np.int64)) for p in parts]) for name in names}
+    order = np.argsort(fields["list"], kind="stable")
+    return {name: f[order] for name, f in fields.items()}
+
+
+def _ranked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs, in their order."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([False], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(order)])
+    return rank
+
+
+def _apart(f: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, words: int) -> np.ndarray:
+    """Distance of lines over ``words`` bitmaps, into which those of longer lines are folded."""
+    differ = [np.zeros(len(a), np.int64) for _ in range(words)]
+    differ[0] = f["parity"][a] ^ f["parity"][b]
+    for k in range(1, WORDS[-1]):
+        if f"parity{k}" in f:
+            own = f[f"parity{k}"][a] ^ f[f"parity{k}"][b]
+            differ[0] ^= own  # what is in none of the others
+            differ[k % words] ^= own
+    return sum(np.bitwise_count(d.view(np.uint64)).astype(np.int64) for d in differ)
+
+
+def _pairs(f: dict[str, np.ndarray], asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of lines and of earlier lines of the same list that pass all filters, and their distance."""
+    lists, n, place, parity = f["list"], f["n"], f["place"], f["parity"].view(np.uint64)
+    rank = _ranked(f["doc_id"], f["line"])
+    starts = np.flatnonzero(np.diff(lists, prepend=-1))
+    sizes = np.diff(np.append(starts, len(lists)))
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        which = starts[sizes == size]
+        at_once = max(1, 250_000 // (size * size))
+        for at in range(0, len(which), at_once):
+            rows = which[at : at + at_once, None] + np.arange(size)
+            for low in range(0, size, step := max(1, 250_000 // (size * len(rows)))):
+                u, c = rows[:, low : low + step, None], rows[:, None, :]
+                both = n[u] + n[c]
+                ok = np.bitwise_count(parity[u] ^ parity[c]) * np.int64(100 + HUNDREDTHS) <= both * (100 - HUNDREDTHS)
+                if asks is not None:
+                    ok &= asks[u]
+                k, x, y = np.nonzero(ok)
+                a, b = rows[k, x + low], rows[k, y]
+                both = both[k, x, y]
+                bound = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b])
+                fine = (rank[b] < rank[a]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * HUNDREDTHS)
+                fine &= bound * (100 + HUNDREDTHS) >= both * HUNDREDTHS
+                a, b = a[fine], b[fine]
+                apart = np.bitwise_count(parity[a] ^ parity[b]).astype(np.int64)
+                for words, least in zip(WORDS[1:], LEAST[1:], strict=True):
+                    more = (n[a] >= least) & (n[b] >= least)
+                    if more.any():
+                        apart[more] = _apart(f, a[more], b[more], words)
+                        near = apart * (100 + HUNDREDTHS) <= (n[a] + n[b]) * (100 - HUNDREDTHS)
+                        a, b, apart = a[near], b[near], apart[near]
+                yield a, b, apart
+
+
+_CANDIDATE = "id long, line int, c_id long, c_line int, apart int, more boolean"
+
+
+def candidates(grouped: DataFrame) -> DataFrame:
+    """The nearest earlier candidates of every line in each of its lists' groups, at most ``KEPT`` each."""
 
     def best(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [np.stack(p) for p in _pairs(frame)]
-        u, c, apart = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
-        order = np.lexsort((apart, u))
-        u, c, apart = u[order], c[order], apart[order]
-        first = np.ones(len(u), bool)
-        first[1:] = u[1:] != u[:-1]
-        asked, near = frame.iloc[u[first]], frame.iloc[c[first]]
-        out = {k: asked[k].to_numpy() for k in KEY}
-        out |= {"c_doc": near["doc_id"].to_numpy(), "c_tag": near["tag"].to_numpy(), "c_line": near["line"].to_numpy()}
-        return pd.DataFrame(out | {"apart": apart[first]})
-
-    near = posted.groupBy("grp", "i", "j").applyInPandas(best, f"{_PAIR}, apart long")
-    return (
-        near.groupBy(*KEY)
-        .agg(F.min(F.struct("apart", "c_doc", "c_tag", "c_line")).alias("best"))
-        .select(*KEY, "best.c_doc", "best.c_tag", "best.c_line")
+        f = _joined(frame)
+        who = _ranked(f["id"], f["line"])
+        at = np.zeros(who.max(initial=-1) + 1, np.int64)
+        at[who] = np.arange(len(who))  # some posting of each line
+        kept: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
+        size = 0
+        for a, b, apart in _pairs(f):
+            found = np.stack((who[a], who[b], apart, apart * 0))
+            kept.append(found)
+            size += found.shape[1]
+            if size > 200_000:
+                kept, size = [_nearest(np.concatenate(kept, 1))], 0
+        key, other, apart, more = _nearest(np.concatenate(kept, 1))
+        key, other = at[key], at[other]
+        columns = {"id": f["id"][key], "line": f["line"][key], "c_id": f["id"][other], "c_line": f["line"][other]}
+        return pd.DataFrame(columns | {"apart": apart, "more": more > 0})
+
+    return grouped.groupBy("range", "list", "i", "j").applyInPandas(best, _CANDIDATE)
+
+
+def _nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of each line the ``KEPT`` nearest different candidates; the last row marks lines that had more."""
+    pairs = pairs[:, np.lexsort((-pairs[3], pairs[1], pairs[2], pairs[0]))]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])
+    marked = pairs[0, pairs[3] > 0]
+    pairs = pairs[:, new]
+    starts = np.flatnonzero(np.diff(pairs[0], prepend=-1))
+    sizes = np.diff(np.append(starts, pairs.shape[1]))
+    place = np.arange(pairs.shape[1]) - np.repeat(starts, sizes)
+    pairs[3] = (np.repeat(sizes, sizes) > KEPT) | np.isin(pairs[0], marked)
+    return pairs[:, place < KEPT]
+
+
+# ---- verification and removal
+
+
+def _per_stretch(keys: DataFrame, name: str) -> DataFrame:
+    """``_stretch`` with, for each of its rows, the wanted lines (null: none)."""
+
+    def spread(frame: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[int] | None] = [None] * (1 << STRETCH)
+        for row, lines in zip(frame["id"] & ((1 << STRETCH) - 1), frame["lines"], strict=True):
+            out[row] = sorted(lines)
+        return pd.DataFrame({"_stretch_of": [int(frame["id"].iat[0]) >> STRETCH], name: [out]})
+
+    per_row = keys.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    grouped = per_row.groupBy(F.shiftright("id", STRETCH).alias("s"))
+    return grouped.applyInPandas(spread, f"_stretch_of long, {name} array<array<int>>")
+
+
+def _with_lines(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows with the wanted lines of each as ``name``; the texts stay where they are."""
+    wanted = _per_stretch(keys, "_wanted").hint("shuffle_hash")
+    joined = rows.join(wanted, F.col("_stretch") == F.col("_stretch_of"), "left")
+    own = F.get("_wanted", F.col("_id").bitwiseAND((1 << STRETCH) - 1).cast("int"))
+    return joined.select(*[F.col(c) for c in rows.columns], own.alias(name))
+
+
+def line_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, line and words of the wanted lines (keys: id, line)."""
+    found = _with_lines(rows.select("_id", "_stretch", "text"), keys, "_lines").filter("_lines IS NOT NULL")
+    lines = found.select("_id", F.split("text", "\n").alias("parts"), F.explode("_lines").alias("line"))
+    return lines.select(F.col("_id").alias("id"), "line", F.get("parts", F.col("line")).alias("words"))
+
+
+def _similar(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Whether the sets of words of two columns of lines are similar, row by row."""
+    out = np.zeros(len(left), bool)
+    sets = []
+    for side in (left, right):
+        hashes, row, _ = hashed_words(side)
+        cuts = np.searchsorted(row, np.arange(1, len(side)))
+        sets.append([np.unique(h) for h in np.split(hashes, cuts)])
+    for k, (a, b) in enumerate(zip(*sets, strict=True)):
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out[k] = 100 * both >= HUNDREDTHS * (len(a) + len(b) - both)
+    return out
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (id, line, c_id, c_line, more) with ``similar``, on full sets."""
+    keys = pairs.select("id", "line").unionByName(pairs.select(F.col("c_id").alias("id"), F.col("c_line").alias("line")))
+    texts = stored(line_texts(rows, keys), "line-texts")
+    both = pairs.join(texts.withColumnRenamed("words", "left"), ["id", "line"]).join(
+        texts.withColumnsRenamed({"id": "c_id", "line": "c_line", "words": "right"}), ["c_id", "c_line"]
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 2048)):
+            similar = pa.array(_similar(batch.column("left"), batch.column("right")))
+            columns = [batch.column(c) for c in ("id", "line", "more")]
+            yield pa.RecordBatch.from_arrays([*columns, similar], ["id", "line", "more", "similar"])
+
+    compared = both.select("id", "line", "more", "left", "right").mapInArrow(
+        compare, "id long, line int, more boolean, similar boolean"
     )
+    out = stored(compared, "line-verified")
+    discard(texts)
+    return out
 
 
-def _similar(left: str, right: str) -> bool:
-    a, b = np.unique(_hashes().of(words_of(left))), np.unique(_hashes().of(words_of(right)))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= round(SIMILARITY * 100) * (len(a) + len(b) - both)
+MARKS = 2**20
 
 
-def line_texts(keys: DataFrame, documents: DataFrame) -> DataFrame:
-    """The texts of the lines named by ``keys``."""
-    texts = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    texts = texts.select(F.col("doc_id").cast("long"), text_tag(), "text")
-    wanted = keys.select(*KEY).distinct()
-    joined = wanted.join(texts, ["doc_id", "tag"])
-    return joined.select(*KEY, F.get(F.split("text", "\n"), F.col("line")).alias("words")).dropDuplicates(KEY)
+def _mark(ids: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return (ids * 1_000_003 + line * 10_007) % MARKS
 
 
-def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Keys of the lines whose candidate is similar on full sets."""
-    earlier = {"doc_id": "c_doc", "tag": "c_tag", "line": "c_line"}
-    keys = pairs.select(*KEY).unionByName(pairs.select(*[F.col(c).alias(k) for k, c in earlier.items()]))
-    texts = stored(line_texts(keys, documents), "line-texts")
-    both = pairs.join(texts.withColumnRenamed("words", "left"), KEY).join(
-        texts.withColumnsRenamed(earlier | {"words": "right"}), list(earlier.values())
-    )
+def _marks(lines: DataFrame) -> bytes:
+    """A table of ``MARKS`` bytes in which lines that are not marked are surely not among ``lines``."""
+    at = F.pmod(F.col("id") * 1_000_003 + F.col("line").cast("long") * 10_007, F.lit(MARKS)).cast("int")
+    table = np.zeros(MARKS, bool)
+    table[[r[0] for r in lines.select(at.alias("at")).distinct().collect()]] = True  # at most MARKS numbers
+    return table.tobytes()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def remaining(grouped: DataFrame, open_lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every candidate of the open lines (id, line), verified: id and line of those with a similar one.
+
+    Per group the open lines come beside its postings; a first pass keeps the postings of pairs
+    that pass the filters, the second has their texts.
+    """
+    keys = ["range", "list", "i", "j"]
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
-            yield batch.select(KEY).filter(pa.array([_similar(*s) for s in sides], pa.bool_()))
-
-    return both.select(*KEY, "left", "right").mapInArrow(compare, "doc_id long, tag long, line int")
-
-
-def remaining(posted: DataFrame, settled: DataFrame, documents: DataFrame) -> DataFrame:
-    """Keys of further similar lines: every candidate of the lines that are not settled is verified."""
-    done = settled.withColumn("done", F.lit(True))
-    open_rows = posted.join(done, KEY, "left").withColumn("asks", F.col("asks") & F.col("done").isNull()).drop("done")
-    names = posted.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in posted.schema)
-
-    def involved(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [np.stack(p[:2]) for p in _pairs(frame)]
-        rows = np.unique(np.concatenate(found, 1)) if found else np.zeros(0, np.int64)
-        return frame.iloc[rows][names]
-
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = frame["words"].to_numpy()
-        similar: set[int] = set()
-        for u, c, _ in _pairs(frame):
-            for x, y in zip(u, c, strict=True):
-                if x not in similar and _similar(texts[x], texts[y]):
-                    similar.add(x)
-        return frame.iloc[sorted(similar)][KEY]
-
-    wanted = stored(open_rows.groupBy("grp", "i", "j").applyInPandas(involved, schema), "line-open")
-    with_text = wanted.join(line_texts(wanted, documents), KEY)
-    return with_text.groupBy("grp", "i", "j").applyInPandas(verify, "doc_id long, tag long, line int").distinct()
-
-
-def removed_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, tag and the places of the lines to remove from each document that loses any."""
-    lines = stored(lines_of(documents, word_counts(documents)), "lines")
-    named = F.struct(*KEY, "n", "b1", "b2", "words", "places")
-    classes = lines.groupBy("h1", "h2").agg(F.min(named).alias("first"), F.count("*").alias("copies"))
-    classes = stored(classes.select("h1", "h2", "copies", "first.*"), "line-classes")
-    posted = stored(postings(classes), "line-postings")
-    settled = stored(verified(best_candidates(posted), documents), "line-settled")
-    matched = stored(settled.unionByName(remaining(posted, settled, documents)), "line-matched")
-    state = classes.join(matched.withColumn("matched", F.lit(True)), KEY, "left").select(
-        F.col("h1").alias("g1"), F.col("h2").alias("g2"), "copies", F.col("matched").isNotNull().alias("matched"),
-        *[F.col(k).alias(f"first_{k}") for k in KEY],
+            for at in range(batch.num_rows):
+                f = _fields(batch.column("payload")[at].as_py(), batch.column("kind")[at].as_py())
+                ids, line = f["id"], f["line"]
+                hit = np.frombuffer(maybe.value, bool)[_mark(ids, line)]
+                columns = [pa.array(np.full(int(hit.sum()), batch.column(k)[at].as_py()), pa.int64()) for k in keys]
+                columns += [pa.array(ids[hit]), pa.array(line[hit].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "id", "line"])
+
+    schema = "range long, list long, i long, j long"
+    maybe = grouped.sparkSession.sparkContext.broadcast(_marks(open_lines))
+    places = grouped.mapInArrow(known, f"{schema}, id long, line int").join(open_lines, ["id", "line"])
+
+    def involved(key: tuple, asked: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        names = ["id", "line", "c_id", "c_line"]
+        out = []
+        if len(asked) and len(frame):
+            f = _joined(frame)
+            both = [np.concatenate((f[c], asked[c].to_numpy())) for c in ("id", "line")]
+            who, n = _ranked(*both), len(f["id"])
+            for a, b, _ in _pairs(f, np.isin(who[:n], who[n:])):
+                out.append(np.stack((f["id"][a], f["line"][a], f["id"][b], f["line"][b])))
+        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((4, 0), np.int64)
+        return pd.DataFrame(dict(zip(names, found, strict=True)))
+
+    pairs = places.groupBy(*keys).cogroup(grouped.groupBy(*keys)).applyInPandas(
+        involved, "id long, line int, c_id long, c_line int"
+    )
+    pairs = stored(pairs.distinct().withColumn("more", F.lit(False)), "line-open")
+    return verified(pairs, rows).filter("similar").select("id", "line").distinct()
+
+
+def removed_lines(rows: DataFrame) -> DataFrame:
+    """id and line of every line to remove."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, size // 40 // RANGE)
+    first = stored(first_pass(rows, max(1, size // 400 // RANGE)), "line-first-pass")
+    gone = stored(copies(first), "line-copies")
+    table = rows.sparkSession.sparkContext.broadcast(word_counts(first))
+    discard(first)
+    posted = stored(postings(rows, gone, table, ranges), "line-postings")
+    long = stored(_long_lists(posted, table), "line-long-lists")
+    found = candidates(_grouped(posted, long)).groupBy("id", "line", "c_id", "c_line").agg(
+        F.min("apart").alias("apart"), F.max("more").alias("more")
     )
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
-    first &= (F.col("tag") == F.col("first_tag")) & (F.col("line") == F.col("first_line"))
-    gone = state.filter("copies > 1 OR matched")
-    out = lines.select(*KEY, "h1", "h2").join(gone, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    return (
-        out.filter(F.col("matched") | ~first)
-        .groupBy("doc_id", "tag")
-        .agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    found = stored(found, "line-candidates")
+    first = found.groupBy("id", "line").agg(
+        F.min(F.struct("apart", "c_id", "c_line")).alias("best"), F.max("more").alias("more"), F.count("*").alias("n")
     )
+    # one candidate settles nearly every line; the others follow where it does not
+    best = stored(
+        first.select("id", "line", "best.c_id", "best.c_line", (F.col("more") | (F.col("n") > 1)).alias("more")),
+        "line-best",
+    )
+    checked = verified(best, rows)
+    similar = checked.filter("similar").select("id", "line")
+    open_lines = checked.filter("NOT similar AND more").select("id", "line")
+    again = found.join(open_lines, ["id", "line"]).drop("apart")
+    second = verified(again, rows)
+    late = second.groupBy("id", "line").agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
+    similar = similar.unionByName(late.filter("similar").select("id", "line"))
+    still = stored(late.filter("NOT similar AND more").select("id", "line"), "line-still-open")
+    if not still.isEmpty():
+        similar = similar.unionByName(remaining(_grouped(posted, long), still, rows))
+    all_gone = stored(gone.unionByName(similar), "line-gone")
+    discard(gone, posted, long, found, best, checked, second, still)
+    return all_gone
 
 
 def without_lines(documents: DataFrame) -> DataFrame:
     """The documents without their later similar lines, with the hidden columns ``_lines`` and ``_removed``."""
-    gone = removed_lines(documents).withColumnsRenamed({"doc_id": "_gone_id", "tag": "_gone_tag", "gone": "_gone"})
-    tagged = documents.withColumn("_tag", F.xxhash64("text"))
-    joined = tagged.join(
-        gone, (F.col("doc_id") == F.col("_gone_id")) & (F.col("_tag") == F.col("_gone_tag")), "left"
-    )
+    rows, name = numbered(documents)
+    joined = _with_lines(rows, removed_lines(rows), "_gone")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, at: ~F.array_contains("_gone", at))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

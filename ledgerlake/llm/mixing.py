@@ -33,7 +33,7 @@ PHI = 0.6180339887498949
 BLOCK = 512
 FINE = 65_536
 #: Rows of a source's shuffle bucket, on average, and slots of one stretch of the schedule.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 STRETCH = 16_384
 
 

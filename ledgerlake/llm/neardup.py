@@ -21,7 +21,6 @@ and kept; of rows with equal doc_id each is placed by its own text.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.graph import components
-from ledgerlake.llm.words import SIMILARITY, WordHashes, shingle_hashes, slices, words_of
-from ledgerlake.sources.scratch import stored
+from ledgerlake.llm.words import SIMILARITY, hashed_words, shingle_hashes, slices
+from ledgerlake.sources.scratch import discard, stored
 
 COORDINATES = 64
 MATCHES = 32
@@ -42,13 +41,14 @@ OPEN_ROWS, LIST_ROWS, GROUP_ROWS = 256, 512, 2048
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (2, COORDINATES), dtype=np.uint32) | np.uint32(1)
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes()
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted shingle hashes of every text."""
+    hashes, text, _ = hashed_words(texts)
+    return [shingle_hashes(h) for h in np.split(hashes, np.searchsorted(text, np.arange(1, len(texts))))]
 
 
 def shingles_of(text: str | None) -> np.ndarray:
-    return shingle_hashes(_hashes().of(words_of(text)))
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -80,8 +80,7 @@ def sketches(documents: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             size, s1, s2, rows = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles_of(text)
+            for found in shingle_sets(batch.column("text")):
                 name = xxhash.xxh3_128_digest(found.tobytes())
                 size.append(len(found))
                 s1.append(int.from_bytes(name[:8], "big", signed=True))
@@ -139,13 +138,9 @@ def confirmed(pairs: DataFrame, documents: DataFrame, at_least: float = SIMILARI
     with_both = with_a.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[str, np.ndarray] = {}  # rows come sorted by b, so one head's set is made once
         for batch in (part for whole in batches for part in slices(whole)):
-            keep = []
-            for left, right in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if right not in heads:
-                    heads = {right: shingles_of(right)}
-                keep.append(similar(shingles_of(left), heads[right], at_least))
+            sides = zip(shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b")), strict=True)
+            keep = [similar(left, right, at_least) for left, right in sides]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -326,8 +321,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         lambda: confirmed(best_partners(lists, groups, nodes), documents),
         lambda: remaining_links(lists, groups, nodes, documents),
     ):
+        before = links, groups
         links = stored(links.unionByName(find()), "near-links")
         groups = stored(components(links), "near-groups")
+        discard(*before)
+    discard(lists, links)
 
     named = nodes.join(groups, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     ids = named.withColumnsRenamed({"s1": "k1", "s2": "k2"})

@@ -43,7 +43,7 @@ LENGTH = 100
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 TUPLE = LENGTH - PERIOD + 1
-PART_BYTES = 8 * 2**20
+PART_BYTES = 4 * 2**20
 #: Different names of one sorting range, about; bits of a sampled name beyond its range.
 RANGE_NAMES, SAMPLE_BITS = 2**20, 32
 

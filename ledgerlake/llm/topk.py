@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from ledgerlake.sources.scratch import stored
 
 K = 20
-PIVOTS = 32
+PIVOTS = 8
 SHARD_ROWS = 16_384
 PAGE, FANOUT = 256, 16
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
 SLACK = 1e-6
 
 
@@ -149,14 +149,18 @@ class MTree:
 
 
 class Score:
-    """Exact products of one query with the rows of a shard, and the distance a product stands for."""
+    """Exact products of one query with the rows of a shard, and the distance a product stands for.
+
+    No partial sum of a product exceeds the largest squared norm, so doubles are exact below 2**53.
+    """
 
     def __init__(self, query: np.ndarray, rows: np.ndarray, largest: int):
-        self.query, self.rows = query, rows
+        kind = np.float64 if largest < 2**53 else np.int64
+        self.query, self.rows = query.astype(kind), rows.astype(kind, copy=False)
         self.base = float(largest + int((query * query).sum()))
 
     def products(self, which: np.ndarray) -> np.ndarray:
-        return self.rows[which] @ self.query
+        return (self.rows[which] @ self.query).astype(np.int64)
 
     def bound(self, product: int) -> float:
         return float(np.sqrt(max(0.0, self.base - 2.0 * product))) * (1 + SLACK) + SLACK
@@ -266,6 +270,7 @@ def _search(k: int, largest: int):
             points = v.astype(np.float64)
             points = np.concatenate((points, np.sqrt(np.maximum(0, largest - (points**2).sum(1)))[:, None]), 1)
             tree = MTree(points)
+            v = v.astype(np.float64) if largest < 2**53 else v
             floors = asked["floor_score"].isna().to_numpy()
             for at, (query_id, q) in enumerate(zip(asked["query_id"].tolist(), asked["q"], strict=True)):
                 q = np.asarray(q, np.int64)

@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,66 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_BASE = 0x2545F4914F6CDD1D
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_OF_BYTE = (np.random.default_rng(64).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1))[_LOWER]
+#: Bytes hashed at once; a longer word is taken whole.
+CHUNK = 2**20
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        steps = np.full(n + 1, np.uint64(base))
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the folded words of all texts, their text, and the line in it they stand in.
+
+    Works on the column's bytes: the hash of a word is a polynomial over its bytes, taken from
+    running sums and scrambled, so it does not depend on where the word stands.
+    """
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    if not len(column) or data is None or offsets[-1] == offsets[0]:
+        empty = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), empty, empty
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    edges = offsets - offsets[0]
+    space = _SPACE[raw]
+    begins, stops = ~space, ~space
+    begins[1:] &= space[:-1]
+    stops[:-1] &= space[1:]
+    inner = edges[(edges > 0) & (edges < len(raw))]  # texts end words, too
+    begins[inner] |= ~space[inner]
+    stops[inner - 1] |= ~space[inner - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            low = starts[at]
+            last = max(at + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
+            high = ends[last - 1]
+            up, down = _powers(CHUNK if high - low <= CHUNK else int(high - low))
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_OF_BYTE[raw[low:high]] * up[: high - low], out=sums[1:])
+            s, e = starts[at:last] - low, ends[at:last] - low
+            hashes[at:last] = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+            at = last
+    text = np.searchsorted(edges, starts, "right") - 1
+    breaks = np.flatnonzero(raw == 10)
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, edges[:-1])[text]
+    return hashes, text, line
+
+
 def shingle_hashes(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words; of the whole sequence, if it is shorter."""
     n = len(hashes)

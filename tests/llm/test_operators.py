@@ -101,7 +101,8 @@ def test_line_dedup(name, request):
 
 def test_line_dedup_with_long_lists(spark, monkeypatch):
     """Many variants of one line: lists are cut into blocks, earlier and later variants may not match the first."""
-    monkeypatch.setattr(linedup, "BLOCK", 8)
+    for name, value in (("LONG", 12), ("BLOCK", 8), ("KEPT", 1), ("RANGE", 64), ("SLICE", 2)):
+        monkeypatch.setattr(linedup, name, value)
     rng = random.Random(8)
     line, rows = [f"t{k}" for k in range(20)], []
     for k in range(70):
@@ -113,6 +114,23 @@ def test_line_dedup_with_long_lists(spark, monkeypatch):
     assert out == brute.without_lines(pairs(df))
 
 
+def test_line_dedup_of_lines_of_all_lengths(spark):
+    """Lines with one, two and four bitmaps, changed a little or a lot, and across those bounds."""
+    rng = random.Random(6)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    lines = []
+    for size in (6, 40, 62, 66, 120, 310, 330, 700, 1500):
+        base = rng.sample(vocabulary, size)
+        for changed in (0, size // 20, size // 9, size // 6, size // 3):
+            line = base[: size - changed] + rng.sample(vocabulary, changed)
+            lines += [" ".join(rng.sample(line, len(line))), " ".join(line[: size - changed // 2])]
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[k::20]), "en", "s", 1) for k in range(20)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linedup.remove_lines(df).collect()}
+    assert out == brute.without_lines(pairs(df))
+
+
 def test_equal_rows_and_shared_ids_keep_their_lines_apart(spark):
     rows = [(1, "a b c d e f", "en", "s", 1)] * 2 + [(1, "g h i j k l", "en", "s", 1), (2, "g h i j k l\nz", "en", "s", 1)]
     out = sorted((r["doc_id"], r["text"]) for r in linedup.remove_lines(spark.createDataFrame(rows, DOCS)).collect())
