@@ -237,18 +237,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     every = F.explode(
         F.array(
             *[
-                F.struct(F.lit(p).alias("pivot"), F.lit(radius).alias("radius"), F.lit(part).alias("part"))
+                F.struct(F.lit(p).alias("pivot"), F.lit(radius).alias("radius"), F.lit(n).alias("shards"))
                 for p, (radius, n) in tops.items()
-                for part in range(n)
             ]
         )
     )
     limit = F.sqrt(F.greatest(F.lit(0.0), F.lit(float(largest)) + F.col("norm") - F.col("floor_score") * 2.0))
     near = F.get("away", F.col("to.pivot")) - F.col("to.radius") <= limit * (1 + SLACK) + SLACK
     others = asked.join(bounds, "query_id", "left").withColumn("to", every)
-    others = others.filter((F.col("to.pivot") != F.col("own_pivot")) | (F.col("to.part") != F.col("own_part")))
     others = others.filter(F.col("floor_score").isNull() | near)
-    others = others.select("query_id", "q", "block", "to.pivot", "to.part", "floor_score", "floor_id")
+    others = others.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("to.shards") - 1)))
+    others = others.filter((F.col("to.pivot") != F.col("own_pivot")) | (F.col("part") != F.col("own_part")))
+    others = others.select("query_id", "q", "block", "to.pivot", "part", "floor_score", "floor_id")
     everything = found.unionByName(search(others))
     # at most k rows per query and shard meet here
     listed = F.sort_array(F.collect_list(F.struct("score", (-F.col("vec_id")).alias("neg"))), asc=False)
