@@ -36,7 +36,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.words import SIMILARITY, hashed_words, slices
+from ledgerlake.llm.words import SIMILARITY, hashed_words, release, slices
 from ledgerlake.sources.scratch import discard, scratch, stored
 
 LEAST_WORDS = 5
@@ -132,6 +132,7 @@ def first_pass(rows: DataFrame, ranges: int) -> DataFrame:
                 size = np.int64(len(bits) + len(values)).tobytes()
                 counts.append((0, part, size + pa.compress(bits + values, "zstd", asbytes=True)))
         yield _rows(counts)
+        release()
 
     texts = rows.filter("text IS NOT NULL").select("_id", F.col("doc_id").cast("long"), "text")
     return texts.filter("doc_id IS NOT NULL").mapInArrow(read, "kind int, part long, payload binary")
@@ -310,6 +311,7 @@ def postings(rows: DataFrame, gone: DataFrame, shared: Broadcast, ranges: int) -
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 yield _rows(_posted(batch.slice(at, SLICE), codes, ranges)).rename_columns(["kind", "range", "payload"])
+            release()
 
     texts = _with_lines(rows.select("_id", "_stretch", "doc_id", "text"), gone, "_copies")
     texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -367,9 +369,9 @@ def _grouped(posted: DataFrame, long: DataFrame) -> DataFrame:
     rows, bound = posted, 10_000
     found = long.limit(bound + 1).count()
     if not found:
-        rows = rows.withColumn("long", F.lit(None).cast(long.schema["long"].dataType))
-    else:
-        rows = rows.join(F.broadcast(long) if found <= bound else long, "range", "left")
+        whole = {"list": F.lit(-1).cast("long"), "i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}
+        return rows.withColumns(whole).select("kind", "range", "list", "i", "j", "payload")
+    rows = rows.join(F.broadcast(long) if found <= bound else long, "range", "left")
     return rows.mapInArrow(cut, "kind int, range long, list long, i long, j long, payload binary")
 
 
@@ -457,6 +459,7 @@ def candidates(grouped: DataFrame) -> DataFrame:
             if size > 200_000:
                 kept, size = [_nearest(np.concatenate(kept, 1))], 0
         key, other, apart, more = _nearest(np.concatenate(kept, 1))
+        release()
         key, other = at[key], at[other]
         columns = {"id": f["id"][key], "line": f["line"][key], "c_id": f["id"][other], "c_line": f["line"][other]}
         return pd.DataFrame(columns | {"apart": apart, "more": more > 0})
@@ -537,6 +540,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             similar = pa.array(_similar(batch.column("left"), batch.column("right")))
             columns = [batch.column(c) for c in ("id", "line", "more")]
             yield pa.RecordBatch.from_arrays([*columns, similar], ["id", "line", "more", "similar"])
+        release()
 
     compared = both.select("id", "line", "more", "left", "right").mapInArrow(
         compare, "id long, line int, more boolean, similar boolean"

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.graph import components
-from ledgerlake.llm.words import SIMILARITY, hashed_words, shingle_hashes, slices
+from ledgerlake.llm.words import SIMILARITY, hashed_words, release, shingle_hashes, slices
 from ledgerlake.sources.scratch import discard, stored
 
 COORDINATES = 64
@@ -94,6 +94,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                 pa.array(rows, pa.list_(pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "signature"])
+        release()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(
@@ -142,6 +143,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, at_least: float = SIMILARI
             sides = zip(shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b")), strict=True)
             keep = [similar(left, right, at_least) for left, right in sides]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     kind = pairs.schema["a"].dataType.simpleString()
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}")
@@ -258,6 +260,7 @@ def best_partners(lists: DataFrame, groups: DataFrame, nodes: DataFrame) -> Data
                 row, other, found = row[order], other[order], matches[order]
                 better = found > most[row]
                 partner[row[better]], most[row[better]] = node[other[better]], found[better]
+        release()
         hit = most > 0
         out = pd.DataFrame({"a": node[hit], "b": partner[hit], "matches": most[hit]})
         return out.sort_values(["a", "matches", "b"], ascending=[True, False, True]).drop_duplicates("a")

@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.words import release
 from ledgerlake.sources.scratch import scratch, stored
 
 LENGTH = 100
@@ -231,6 +232,7 @@ def compared(emitted: DataFrame, first: bool) -> DataFrame:
         flags[order[1:]] = same
         if not first:
             flags[order[:-1]] |= same
+        release()
         cuts = np.split(flags, np.cumsum(frame["n"].to_numpy())[:-1])
         bits = [np.packbits(c).tobytes() for c in cuts]
         return pd.DataFrame({"part": frame["part"].to_numpy(), "range": frame["range"].to_numpy(), "bits": bits})
@@ -263,6 +265,7 @@ def repeats(documents: DataFrame) -> DataFrame:
             for at in range(batch.num_rows):
                 row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
                 yield row, _Part(row.pop("raw"), row["sizes"], 64 - sample_width)
+                release()
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, part in parts_of(batches):

@@ -1,5 +1,6 @@
 """Words and shingles, as expressions and as array code that runs inside tasks."""
 
+import ctypes
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,6 +54,14 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class WordHashes(dict):
     """Word to the 64-bit hash of its folded form, remembered; forgotten beyond a bound of entries."""
 
