@@ -13,8 +13,8 @@ judged on the input, not on what is left of it.
    blocks are compared in tasks of their own.
 3. Pairs of a list must pass the length filter, the positional filter and a bound on the symmetric
    difference from bitmaps of word parities. A line keeps its nearest earlier candidates.
-4. Candidates are verified on the full sets of words. A line none of whose kept candidates is
-   similar, but that had more, is compared again with every candidate; no pair is lost.
+4. The nearest candidate of a line is verified on the full sets of words. A line that is not
+   similar to it, but had more, is compared again with every candidate; no pair is lost.
 
 The documents are written once with a row number, bucketed by stretches of rows, so that looking
 up lines and removing them does not move the texts again.
@@ -566,44 +566,48 @@ def _marks(lines: DataFrame) -> bytes:
 
 
 def remaining(grouped: DataFrame, open_lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every candidate of the open lines (id, line), verified: id and line of those with a similar one.
+    """id and line of the open lines (id, line) that have a similar earlier line among all candidates.
 
-    Per group the open lines come beside its postings; a first pass keeps the postings of pairs
-    that pass the filters, the second has their texts.
+    A first pass keeps the postings of pairs that pass the filters; the second has their texts and
+    verifies inside the group, nearest candidates first, so that no pairs are written. A table of
+    marks tells which lines ask; the few others that it lets through are only asked once more.
     """
+    maybe = grouped.sparkSession.sparkContext.broadcast(_marks(open_lines))
+    names = _BY_KIND[-1]
+    fields = ", ".join(f"f_{name} long" for name in names)
     keys = ["range", "list", "i", "j"]
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                f = _fields(batch.column("payload")[at].as_py(), batch.column("kind")[at].as_py())
-                ids, line = f["id"], f["line"]
-                hit = np.frombuffer(maybe.value, bool)[_mark(ids, line)]
-                columns = [pa.array(np.full(int(hit.sum()), batch.column(k)[at].as_py()), pa.int64()) for k in keys]
-                columns += [pa.array(ids[hit]), pa.array(line[hit].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, [*keys, "id", "line"])
-
-    schema = "range long, list long, i long, j long"
-    maybe = grouped.sparkSession.sparkContext.broadcast(_marks(open_lines))
-    places = grouped.mapInArrow(known, f"{schema}, id long, line int").join(open_lines, ["id", "line"])
-
-    def involved(key: tuple, asked: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "line", "c_id", "c_line"]
-        out = []
-        if len(asked) and len(frame):
-            f = _joined(frame)
-            both = [np.concatenate((f[c], asked[c].to_numpy())) for c in ("id", "line")]
-            who, n = _ranked(*both), len(f["id"])
-            for a, b, _ in _pairs(f, np.isin(who[:n], who[n:])):
-                out.append(np.stack((f["id"][a], f["line"][a], f["id"][b], f["line"][b])))
-        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((4, 0), np.int64)
-        return pd.DataFrame(dict(zip(names, found, strict=True)))
-
-    pairs = places.groupBy(*keys).cogroup(grouped.groupBy(*keys)).applyInPandas(
-        involved, "id long, line int, c_id long, c_line int"
-    )
-    pairs = stored(pairs.distinct().withColumn("more", F.lit(False)), "line-open")
-    return verified(pairs, rows).filter("similar").select("id", "line").distinct()
+    def involved(frame: pd.DataFrame) -> pd.DataFrame:
+        f = _joined(frame)
+        asks = np.frombuffer(maybe.value, bool)[_mark(f["id"], f["line"])]
+        used = np.zeros(len(asks), bool)
+        for a, b, _ in _pairs(f, asks):
+            used[a] = used[b] = True
+        out = {f"f_{name}": f[name][used] if name in f else np.zeros(int(used.sum()), np.int64) for name in names}
+        cell = {k: np.full(int(used.sum()), frame[k].iat[0]) for k in keys}
+        return pd.DataFrame(cell | out | {"asks": asks[used], "id": f["id"][used], "line": f["line"][used]})
+
+    def verify(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("f_list", kind="stable")
+        f = {name: frame[f"f_{name}"].to_numpy() for name in names}
+        hashes, row, _ = hashed_words(pa.array(frame["words"], pa.string()))
+        sets = [np.unique(h) for h in np.split(hashes, np.searchsorted(row, np.arange(1, len(frame))))]
+        similar = np.zeros(len(frame), bool)
+        for a, b, apart in _pairs(f, frame["asks"].to_numpy(bool)):
+            nearest = np.argsort(apart, kind="stable")
+            for x, y in zip(a[nearest].tolist(), b[nearest].tolist(), strict=True):
+                if not similar[x]:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    similar[x] = 100 * both >= HUNDREDTHS * (len(sets[x]) + len(sets[y]) - both)
+        return pd.DataFrame({"id": f["id"][similar], "line": f["line"][similar]})
+
+    schema = f"range long, list long, i long, j long, {fields}, asks boolean, id long, line int"
+    wanted = stored(grouped.groupBy(*keys).applyInPandas(involved, schema), "line-open")
+    texts = stored(line_texts(rows, wanted.select("id", "line")), "line-texts")
+    found = wanted.join(texts, ["id", "line"]).groupBy(*keys).applyInPandas(verify, "id long, line int")
+    found = stored(found.distinct(), "line-late")
+    discard(wanted, texts)
+    return found
 
 
 def removed_lines(rows: DataFrame) -> DataFrame:
@@ -631,15 +635,10 @@ def removed_lines(rows: DataFrame) -> DataFrame:
     checked = verified(best, rows)
     similar = checked.filter("similar").select("id", "line")
     open_lines = checked.filter("NOT similar AND more").select("id", "line")
-    again = found.join(open_lines, ["id", "line"]).drop("apart")
-    second = verified(again, rows)
-    late = second.groupBy("id", "line").agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
-    similar = similar.unionByName(late.filter("similar").select("id", "line"))
-    still = stored(late.filter("NOT similar AND more").select("id", "line"), "line-still-open")
-    if not still.isEmpty():
-        similar = similar.unionByName(remaining(_grouped(posted, long), still, rows))
+    if not open_lines.isEmpty():
+        similar = similar.unionByName(remaining(_grouped(posted, long), open_lines, rows))
     all_gone = stored(gone.unionByName(similar), "line-gone")
-    discard(gone, posted, long, found, best, checked, second, still)
+    discard(gone, posted, long, found, best, checked)
     return all_gone
 
 
