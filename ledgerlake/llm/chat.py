@@ -16,7 +16,7 @@ holds the whole conversation by definition.
 Defined cases: a null text is empty; a null role is the empty role; an event without a known op
 changes nothing; events with equal seq are replayed in the order open, edit, regenerate, delta and
 then by text; a message without ``open`` has the empty role; an empty log gives no rows. A null
-conv_id is a conversation of its own.
+conv_id is a conversation of its own. Equal stored rows are messages of their own, one for each row.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -51,13 +51,13 @@ def unescape(text: Column) -> Column:
 
 def to_events(messages: DataFrame) -> DataFrame:
     """Stored messages (conv_id, turn, role, text) as a log: each is opened, then streamed at once."""
+    counted = messages.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     kinds = F.explode(F.array(F.lit("open"), F.lit("delta"))).alias("op")
-    return messages.select("conv_id", F.col("turn").alias("seq"), "role", "text", "turn", kinds).select(
+    return rows.select("conv_id", F.col("turn").alias("seq"), "role", "text", "turn", "copy", kinds).select(
         "conv_id",
         "seq",
-        F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")).alias(
-            "message"
-        ),
+        F.struct("turn", "role", "text", "copy").alias("message"),
         "op",
         F.when(F.col("op") == "open", F.col("role")).alias("role"),
         F.when(F.col("op") == "delta", F.col("text")).alias("text"),

@@ -305,6 +305,15 @@ def test_events_are_folded(spark):
     assert chat.format_log(log.limit(0)).collect() == []
 
 
+def test_repeated_rows_are_turns_of_their_own(spark):
+    rows = [(1, 0, "user", "hi")] * 2 + [(1, 1, "assistant", "yo")] * 3 + [(1, 2, None, None)] * 2 + [(2, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = {r["conv_id"]: r for r in chat.format_log(chat.to_events(df)).collect()}
+    assert [tuple(t) for t in out[1]["turns"]] == [("user", "hi")] * 2 + [("assistant", "yo")] * 3 + [("", "")] * 2
+    assert out[1]["loss"] == ["yo"] * 3
+    assert [tuple(t) for t in out[2]["turns"]] == [("user", "hi")]
+
+
 # ---- urls
 
 
