@@ -345,6 +345,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates (the smallest doc_id), all columns as they were."""
-    dropped = near_duplicates(documents).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(stored(dropped, "near-dropped"), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """One row of each group of near duplicates (that of the smallest doc_id), all columns as they were.
+
+    Rows are told apart by a number of their own, so those that share a doc_id stay or go each by
+    its text.
+    """
+    # written once: all who read it see the same numbers
+    rows = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    ids = rows.filter("doc_id IS NOT NULL").select("_row", F.col("doc_id").alias("_id"))
+    texts = rows.filter("doc_id IS NOT NULL").select(F.col("_row").alias("doc_id"), "text")
+    grouped = near_duplicates(texts).filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    linked = stored(grouped.join(ids, "_row"), "near-placed")
+    first = linked.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"))
+    dropped = linked.join(first, "component_id").filter("_row <> _first").select(F.col("_row").alias("_dropped"))
+    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")

@@ -86,6 +86,15 @@ def test_equal_sets_are_one_class(spark):
     assert {(r["component_id"], r["n_shingles"]) for r in out} == {(0, 3)}
 
 
+def test_rows_that_share_an_id_stay_or_go_by_their_own_text(spark):
+    say = lambda w: " ".join(f"{w}{k}" for k in range(30))
+    texts = [(1, "a"), (5, "a"), (5, "b"), (7, "c"), (7, "c"), (7, "d"), (7, "e"), (8, "e"), (None, "a")]
+    rows = [(d, say(t), "en", "s", k) for k, (d, t) in enumerate(texts)]
+    left = neardup.keep_one(spark.createDataFrame(rows, DOCS).repartition(3)).select("doc_id", "text").collect()
+    out = sorted((r["doc_id"] or 0, r["text"][0]) for r in left)
+    assert out == [(0, "a"), (1, "a"), (5, "b"), (7, "c"), (7, "d"), (7, "e")]
+
+
 def test_components_of_long_chains(spark):
     edges = [(k + 1, k) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
