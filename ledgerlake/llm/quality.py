@@ -3,8 +3,9 @@
 ``score = sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2))``: the last
 term, the sum-of-squares identity, has all pairwise interactions in time linear in the features.
 
-The model is fitted on labelled rows only, at most ``SAMPLE`` of them (those with the smallest hash
-of their id), in one task that holds no more than that sample. Every document is scored over its
+The model is fitted on labelled documents only, at most ``SAMPLE`` of them (those with the smallest
+hash of their id; one row of each id, that with the smallest hash of its text), in one task that
+holds no more than that sample. Every document is scored over its
 whole text in Arrow batches; the model that tasks get has a fixed size.
 
 Defined cases: null and empty texts have no words and are scored by their statistics; null labels
@@ -149,16 +150,31 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
-    """The fitted model, pickled, from at most ``sample`` learnable labels; None without any."""
+def learnt(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, n_chars and quality of at most ``sample`` labelled documents, one row of each id."""
     wanted = (
         labels.filter(F.col("quality").isin(0, 1) & learnable(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
+    )
+    # one row of every id, known by hashes alone; the bound counts documents
+    named = documents.select("doc_id", F.xxhash64("text", "n_chars").alias("_text"))
+    chosen = (
+        named.join(wanted, "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("_text").alias("_text"), F.first("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = documents.select("doc_id", "text", "n_chars").join(F.broadcast(wanted), "doc_id")
+    found = documents.select("doc_id", "text", "n_chars").withColumn("_text", F.xxhash64("text", "n_chars"))
+    rows = found.join(F.broadcast(chosen), ["doc_id", "_text"])
+    # rows that are equal in all of this are one
+    return rows.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("text", "n_chars", "quality")])
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | None:
+    """The fitted model, pickled, from at most ``sample`` labelled documents; None without any."""
+    rows = learnt(documents, labels, sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -278,6 +278,17 @@ def test_quality_of_awkward_rows(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.select("score").distinct().collect()[0][0] == "extra score"
 
 
+def test_the_sample_is_bounded_in_rows_and_filled_with_documents(spark):
+    rows = [(k, f"text {k}", "en", "s", 6) for k in range(60)] + [(1, f"copy {k % 9}", "en", "s", 6) for k in range(200)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1000)], "doc_id long, quality int, toxic int")
+    known = {r[0] for r in labels.filter(quality.learnable(F.col("doc_id"))).collect() if r[0] < 60}
+    assert 1 in known and len(known) > 20
+    for sample in (20, 1000):
+        taken = [r["doc_id"] for r in quality.learnt(docs, labels, sample).collect()]
+        assert len(taken) == len(set(taken)) == min(sample, len(known)) and set(taken) <= known
+
+
 def test_the_interaction_term_equals_the_sum_over_pairs():
     machine = quality.Machine(np.zeros((1, quality.STATISTICS)))
     rng = np.random.default_rng(1)
