@@ -2,7 +2,8 @@
 
 1. A url is split into host and path; the path into its first ``DEPTH`` segments and a tail.
 2. Segments of digits or of long mixed tokens are variable and become ``<num>`` or ``<id>``.
-   Level by level, a node whose children are nearly all different gets the one child ``*``.
+   Level by level, a node whose children are nearly all different gets the one child ``*``; repeats
+   of a url do not count in this.
 3. A branch whose subtree is spread like that of all its siblings together (total variation at
    most ``SPREAD``) and whose labelled share agrees with theirs is merged with its like into ``*``.
 4. Urls that a rule decides are the labels. A template is rejected when its purity, the blocked
@@ -26,7 +27,7 @@ from ledgerlake.llm.words import fold
 from ledgerlake.sources.scratch import stored
 
 DEPTH = 4
-#: A node with at least this many urls and this share of different children is variable.
+#: A node with at least this many different urls, and a higher share of different children, is variable.
 VARIABLE_ROWS, VARIABLE_SHARE = 20, 0.5
 SPREAD = 0.2
 AGREE = 0.1
@@ -89,7 +90,7 @@ def templates(counted: DataFrame) -> DataFrame:
     # 2. variable nodes, from the top
     for k, level in enumerate(levels):
         parent = ["host", *levels[:k]]
-        children = rows.groupBy(*parent, level).agg(F.sum("n").alias("n"))
+        children = rows.groupBy(*parent, level).agg(F.count("*").alias("n"))
         nodes = children.groupBy(*parent).agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
         variable = nodes.filter(
             (F.col("rows") >= VARIABLE_ROWS) & (F.col("kinds") > F.col("rows") * VARIABLE_SHARE)

@@ -371,6 +371,23 @@ def test_templates_learn_from_rules(spark):
     assert out[75]["rule"] is None
 
 
+def test_repeated_pages_leave_templates_and_verdicts_alone(spark):
+    words = [f"{a}{b}" for a in "abcdefg" for b in "hijklmno"]
+    paths = [f"/shop/{w}/buy" for w in words] + [f"/blog/{w}" for w in words] + ["/about"]
+    rules = [("block", f"example.com/shop/{w}/") for w in words[:40]]
+
+    def judged(copies):
+        rows = [(k, f"http://h.example.com{p}") for k, p in enumerate(p for p in paths for _ in range(copies(p)))]
+        df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+        return {r["path"]: (r["template"], r["verdict"]) for r in urls.judge(df, rules).collect()}
+
+    once = judged(lambda p: 1)
+    assert once["/shop/ah/buy"] == once["/shop/go/buy"] == ("/shop/*/buy", "block")
+    assert once["/blog/go"] == ("/blog/*", "allow")
+    assert judged(lambda p: 2) == once
+    assert judged(lambda p: 900 if p == "/blog/ah" else 1) == once
+
+
 # ---- tokens
 
 
