@@ -1,11 +1,12 @@
 """URL filters: a path-template tree per host, judged by smoothed labelled purity.
 
-1. A url is split into host and path; the path into its first ``DEPTH`` segments and a tail.
+1. A url is split into host and path; the path into its segments, however many.
 2. Segments of digits or of long mixed tokens are variable and become ``<num>`` or ``<id>``.
    Level by level, a node whose children are nearly all different gets the one child ``*``; repeats
    of a url do not count in this.
-3. A branch whose subtree is spread like that of all its siblings together (total variation at
-   most ``SPREAD``) and whose labelled share agrees with theirs is merged with its like into ``*``.
+3. Level by level, a branch whose subtree is spread like that of all its siblings together (total
+   variation at most ``SPREAD``) and whose labelled share agrees with theirs is merged with its like
+   into ``*``. Below the first level, pages without a subtree have nothing to compare and are kept.
 4. Urls that a rule decides are the labels. A template is rejected when its purity, the blocked
    share of its labels smoothed towards ``PRIOR``, reaches ``REJECT`` and at least ``SUPPORT`` of
    its urls carry a label; so templates that nothing is known about are allowed.
@@ -18,6 +19,7 @@ Defined cases: null or without ``://``: host, path and template are empty and th
 allow; repeated urls are judged alike; empty tables give empty results.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.words import fold
 from ledgerlake.sources.scratch import stored
 
-DEPTH = 4
+#: More segments than any path has.
+MOST = 2**30
 #: A node with at least this many different urls, and a higher share of different children, is variable.
 VARIABLE_ROWS, VARIABLE_SHARE = 20, 0.5
 SPREAD = 0.2
@@ -34,7 +37,7 @@ AGREE = 0.1
 PRIOR, SMOOTHING = 0.2, 2.0
 REJECT, SUPPORT = 0.7, 0.5
 SALTS = 16
-WILD, TAIL, NONE = "*", "**", ""
+WILD, NONE = "*", ""
 
 
 def host_of(url: Column) -> Column:
@@ -74,54 +77,83 @@ def _look_up(rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(copies, [*keys, "salt"], "left")
 
 
-def templates(counted: DataFrame) -> DataFrame:
-    """host, path, its ``template`` and whether the template is rejected (``blocked_by``).
+def segments_of(path: Column) -> Column:
+    """The segments of a path, variable ones by their form; slashes at its end make none."""
+    inner = F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"/+\z", "")
+    split = F.transform(F.split(inner, "/"), segment_class)
+    return F.when(inner != "", split).otherwise(F.array().cast("array<string>"))
 
-    ``counted`` has one row per host and path: n urls, of which ``labelled`` and ``blocked``.
+
+def _rest(segments: Column, level: int) -> Column:
+    """The segments below ``level``, each after a slash; empty if there are none."""
+    return F.array_join(F.transform(F.slice(segments, level + 1, MOST), lambda s: F.concat(F.lit("/"), s)), "")
+
+
+def _settled(active: DataFrame, step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The rows with ``head`` as the levels leave it: each takes the rows that are still open."""
+    done, level = [], 0
+    while True:
+        rows = stored(step(active, level), "url-level")
+        done.append(rows.filter(~F.col("open")).drop("open"))
+        active, level = rows.filter("open").drop("open"), level + 1
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def shape_level(rows: DataFrame, level: int) -> DataFrame:
+    """``head`` with the segment of ``level``, or ``*`` below a variable node.
+
+    A row below a node of too few urls has its whole path as head: no node further down is variable.
     """
-    levels = [f"s{k}" for k in range(1, DEPTH + 1)]
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/")
-    rows = counted.withColumn("segments", segments)
-    for k, level in enumerate(levels, 1):
-        rows = rows.withColumn(level, segment_class(F.coalesce(F.get("segments", F.lit(k - 1)), F.lit(NONE))))
-    rows = rows.withColumn("tail", F.when(F.size("segments") > DEPTH, F.lit(TAIL)).otherwise(F.lit(NONE)))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).drop("segments")
+    child = F.coalesce(F.get(segments_of(F.col("path")), F.lit(level)), F.lit(NONE))
+    rows = rows.withColumn("child", child)
+    children = rows.groupBy("host", "head", "child").agg(F.count("*").alias("n"))
+    nodes = children.groupBy("host", "head").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
+    large = nodes.filter(F.col("rows") >= VARIABLE_ROWS).select(
+        "host", "head", (F.col("kinds") > F.col("rows") * VARIABLE_SHARE).alias("variable")
+    )
+    found = _look_up(rows, large, ["host", "head"]).withColumn("segments", segments_of(F.col("path")))
+    taken = F.when(F.col("variable") & (F.col("child") != NONE), F.lit(WILD)).otherwise(F.col("child"))
+    more = F.size("segments") > level
+    head = (
+        F.when(F.col("variable").isNull(), F.concat("head", _rest(F.col("segments"), level)))
+        .when(more, F.concat_ws("/", "head", taken))
+        .otherwise(F.col("head"))
+    )
+    return found.select(
+        *[c for c in rows.columns if c not in ("head", "child")],
+        head.alias("head"),
+        (F.col("variable").isNotNull() & (F.size("segments") > level + 1)).alias("open"),
+    )
 
-    # 2. variable nodes, from the top
-    for k, level in enumerate(levels):
-        parent = ["host", *levels[:k]]
-        children = rows.groupBy(*parent, level).agg(F.count("*").alias("n"))
-        nodes = children.groupBy(*parent).agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
-        variable = nodes.filter(
-            (F.col("rows") >= VARIABLE_ROWS) & (F.col("kinds") > F.col("rows") * VARIABLE_SHARE)
-        ).select(*parent, F.lit(True).alias("variable"))
-        rows = _look_up(rows, variable, parent).withColumn(
-            level, F.when(F.col("variable") & (F.col(level) != NONE), F.lit(WILD)).otherwise(F.col(level))
-        )
-        rows = rows.drop("variable")
-    rows = stored(rows, "url-shapes")
 
-    # 3. branches of the first level against the pool of their host
-    below = F.concat_ws("/", *levels[1:], "tail").alias("below")
-    spread = rows.groupBy("host", "s1", below).agg(
+def merge_level(shapes: DataFrame, level: int) -> DataFrame:
+    """``head`` with the segment of ``level``, or ``*`` for a branch that is like its siblings together."""
+    segments = F.slice(F.split("shape", "/"), 2, MOST)
+    rows = shapes.withColumn("child", F.coalesce(F.get(segments, F.lit(level)), F.lit(NONE)))
+    rows = rows.withColumn("below", _rest(segments, level + 1))
+    spread = rows.groupBy("host", "head", "child", "below").agg(
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")
     )
-    pool = spread.groupBy("host", "below").agg(F.sum("n").alias("pool_n"))
-    branch = spread.groupBy("host", "s1").agg(
-        F.sum("n").alias("b_n"), F.sum("labelled").alias("b_labelled"), F.sum("blocked").alias("b_blocked")
+    pool = spread.groupBy("host", "head", "below").agg(F.sum("n").alias("pool_n"))
+    branch = spread.groupBy("host", "head", "child").agg(
+        F.sum("n").alias("b_n"),
+        F.sum("labelled").alias("b_labelled"),
+        F.sum("blocked").alias("b_blocked"),
+        F.max(F.col("below") != "").alias("deep"),
     )
-    whole = branch.groupBy("host").agg(
+    whole = branch.groupBy("host", "head").agg(
         F.sum("b_n").alias("h_n"),
         F.sum("b_labelled").alias("h_labelled"),
         F.sum("b_blocked").alias("h_blocked"),
         F.count("*").alias("branches"),
     )
     distance = (
-        spread.join(pool, ["host", "below"])
-        .join(branch, ["host", "s1"])
-        .join(whole, "host")
+        spread.join(pool, ["host", "head", "below"])
+        .join(branch, ["host", "head", "child"])
+        .join(whole, ["host", "head"])
         # half the L1 distance: what the branch lacks of the pool's shape counts the same as its excess
-        .groupBy("host", "s1")
+        .groupBy("host", "head", "child")
         .agg(
             F.sum(
                 F.greatest(F.col("n") / F.col("b_n") - F.col("pool_n") / F.col("h_n"), F.lit(0.0))
@@ -129,21 +161,45 @@ def templates(counted: DataFrame) -> DataFrame:
             F.max(F.abs(F.col("b_blocked") / F.col("b_n") - F.col("h_blocked") / F.col("h_n"))).alias("blocked_gap"),
             F.max(F.abs(F.col("b_labelled") / F.col("b_n") - F.col("h_labelled") / F.col("h_n"))).alias("label_gap"),
             F.max("branches").alias("branches"),
+            F.max("deep").alias("deep"),
         )
     )
     alike = distance.filter(
         (F.col("branches") > 1)
+        & (F.lit(level == 0) | F.col("deep"))
         & (F.col("apart") <= SPREAD)
         & (F.col("blocked_gap") <= AGREE)
         & (F.col("label_gap") <= AGREE)
-    ).select("host", "s1")
-    several = alike.groupBy("host").agg(F.count("*").alias("alike")).filter("alike > 1").select("host")
-    merged = alike.join(several, "host").withColumn("merge", F.lit(True))
-    rows = _look_up(rows, merged, ["host", "s1"]).withColumn(
-        "s1", F.when(F.col("merge") & (F.col("s1") != NONE), F.lit(WILD)).otherwise(F.col("s1"))
+    ).select("host", "head", "child")
+    several = alike.groupBy("host", "head").agg(F.count("*").alias("alike")).filter("alike > 1").select("host", "head")
+    merged = alike.join(several, ["host", "head"]).withColumn("merge", F.lit(True))
+    taken = F.when(F.col("merge") & (F.col("child") != NONE), F.lit(WILD)).otherwise(F.col("child"))
+    more = F.size(segments) > level
+    return _look_up(rows, merged, ["host", "head", "child"]).select(
+        *[c for c in shapes.columns if c != "head"],
+        F.when(more, F.concat_ws("/", "head", taken)).otherwise(F.col("head")).alias("head"),
+        (F.size(segments) > level + 1).alias("open"),
     )
-    rows = rows.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", *levels, "tail")))
-    rows = rows.withColumn("template", F.regexp_replace("template", r"/+\z", "")).drop("merge", *levels, "tail")
+
+
+def templates(counted: DataFrame) -> DataFrame:
+    """host, path, its ``template`` and whether the template is rejected (``blocked_by``).
+
+    ``counted`` has one row per host and path: n urls, of which ``labelled`` and ``blocked``.
+    """
+    salt = F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")
+    rows = counted.withColumn("salt", salt).withColumn("head", F.lit(""))
+
+    # 2. variable nodes, from the top
+    rows = _settled(rows, shape_level).withColumnRenamed("head", "shape")
+
+    # 3. branches against the pool of their parent, from the top; equal shapes are one row
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    shapes = rows.groupBy("host", "shape").agg(*sums).withColumn("head", F.lit(""))
+    shapes = shapes.withColumn("salt", F.pmod(F.xxhash64("host", "shape"), F.lit(SALTS)).cast("int"))
+    merged = _settled(shapes, merge_level).select("host", "shape", F.col("head").alias("template"))
+    rows = _look_up(rows, merged, ["host", "shape"])
+    rows = rows.withColumn("template", F.regexp_replace("template", r"/+\z", "")).drop("shape")
 
     # 4. purity
     known = rows.groupBy("host", "template").agg(

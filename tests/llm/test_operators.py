@@ -371,6 +371,20 @@ def test_templates_learn_from_rules(spark):
     assert out[75]["rule"] is None
 
 
+def test_similar_branches_are_merged_and_judged_at_every_level(spark):
+    """Sections below a language, and good and bad ones that part at segment five."""
+    good, bad, deep = ["red", "green", "blue", "grey"], ["win", "bet", "luck", "spin"], "/en/u/shop/list"
+    paths = [f"http://good.org/en/{c}/item/{k}" for c in good for k in range(8)]
+    paths += [f"http://h.example.com{deep}/{c}/offer/{k}" for c in bad for k in range(8)]
+    paths += [f"http://h.example.com{deep}/plain/{k}" for k in range(2)]
+    rules = [("block", f"example.com{deep}/{c}/offer/{k}") for c in bad for k in range(6)]
+    df = spark.createDataFrame(list(enumerate(paths)), "page_id long, url string").repartition(3)
+    out = {r["path"]: (r["template"], r["verdict"]) for r in urls.judge(df, rules).collect()}
+    assert {out[f"/en/{c}/item/3"] for c in good} == {("/en/*/item/<num>", "allow")}
+    assert {out[f"{deep}/{c}/offer/7"] for c in bad} == {(f"{deep}/*/offer/<num>", "block")}
+    assert out[f"{deep}/plain/1"] == (f"{deep}/plain/<num>", "allow")
+
+
 def test_repeated_pages_leave_templates_and_verdicts_alone(spark):
     words = [f"{a}{b}" for a in "abcdefg" for b in "hijklmno"]
     paths = [f"/shop/{w}/buy" for w in words] + [f"/blog/{w}" for w in words] + ["/about"]
