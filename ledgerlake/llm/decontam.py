@@ -11,11 +11,15 @@ pairs are then verified: distinct shingles of the item found in the document, by
 Only DataFrame functions are used. Documents are scanned once for hits and only candidates are
 joined to their texts. The probes are sent to every task only while their counted number is small.
 
-Defined cases: words are folded A-Z; texts (items or documents) of fewer than five words, empty or
-null, have no shingles and match nothing; equal item ids are one item with the shingles of all its
-rows, equal doc ids likewise; null ids match like any other; a document may hold several items.
+Defined cases: words are folded A-Z; an item of fewer than five words is one shingle of them all,
+which a document holds anywhere; empty and null texts match nothing; every different text of an item
+is searched on its own, whatever ids it shares, and the one held most is reported under the item's
+id; equal doc ids are one document with the shingles of all its rows; null ids match like any other;
+a document may hold several items.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +42,45 @@ def _sent(df: DataFrame, weight: str | None = None) -> DataFrame:
     return F.broadcast(df) if size <= SENT_ROWS else df
 
 
-def shingle_rows(texts: DataFrame, key: str) -> DataFrame:
-    """``key``, the five words and their 64-bit hash, one row per shingle."""
-    words = texts.select(key, word_array(fold(F.col("text"))).alias("words")).filter(F.size("words") >= SHINGLE)
-    at = words.select(key, "words", F.explode(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1)).alias("at"))
-    run = [F.element_at("words", F.col("at") + k) for k in range(SHINGLE)]
-    return at.select(key, *[w.alias(f"w{k}") for k, w in enumerate(run)]).withColumn(
-        "hash", F.xxhash64(*[f"w{k}" for k in range(SHINGLE)])
-    )
+def _run(at: Column, size: int) -> Column:
+    """The ``size`` words from place ``at`` on, as one text."""
+    return F.concat_ws(" ", *[F.element_at("words", at.cast("int") + k) for k in range(size)])
+
+
+def shingle_rows(texts: DataFrame, key: str, size: int = SHINGLE, whole: bool = False) -> DataFrame:
+    """``key``, ``size`` words as text and their 64-bit hash, one row per shingle; ``whole``: of texts of that size."""
+    words = texts.select(key, word_array(fold(F.col("text"))).alias("words"))
+    words = words.filter(F.size("words") == size if whole else F.size("words") >= size)
+    at = words.select(key, "words", F.explode(F.sequence(F.lit(1), F.size("words") - size + 1)).alias("at"))
+    run = [F.element_at("words", F.col("at") + k) for k in range(size)]
+    return at.select(key, _run(F.col("at"), size).alias("shingle"), F.xxhash64(*run).alias("hash"))
+
 
+def item_texts(benchmark: DataFrame) -> DataFrame:
+    """``_item``, item_id and text of every different row, written once so that the numbers stay."""
+    rows = benchmark.select("item_id", "text").distinct()
+    return stored(rows.withColumn("_item", F.monotonically_increasing_id()), "leak-texts")
 
-def item_shingles(benchmark: DataFrame) -> DataFrame:
-    """item_id, its distinct shingles as text, their hashes and their number."""
-    joined = F.concat_ws(" ", *[f"w{k}" for k in range(SHINGLE)])
-    rows = shingle_rows(benchmark, "item_id").select("item_id", "hash", joined.alias("shingle")).distinct()
-    return rows.groupBy("item_id").agg(
-        F.count("*").alias("n"), F.collect_list(F.struct("hash", "shingle")).alias("shingles")
+
+def item_shingles(texts: DataFrame) -> DataFrame:
+    """_item, its distinct shingles as text, their hashes, their number, and the words of one."""
+    rows = shingle_rows(texts, "_item").withColumn("size", F.lit(SHINGLE))
+    for size in range(1, SHINGLE):
+        rows = rows.unionByName(shingle_rows(texts, "_item", size, whole=True).withColumn("size", F.lit(size)))
+    return rows.distinct().groupBy("_item").agg(
+        F.count("*").alias("n"),
+        F.max("size").alias("size"),
+        F.collect_list(F.struct("hash", "shingle")).alias("shingles"),
     )
 
 
+def sizes_of(items: DataFrame) -> list[int]:
+    """The words of a shingle that items have, at most ``SHINGLE`` numbers."""
+    return sorted(r["size"] for r in items.select("size").distinct().collect())
+
+
 def probes(items: DataFrame) -> DataFrame:
-    """item_id, shingle hash, number of its coordinates that hash stands for, and the hits asked for.
+    """_item, shingle hash, number of its coordinates that hash stands for, and the hits asked for.
 
     An item's shingles are at most those of one text, so they are compared within its row.
     """
@@ -72,56 +94,63 @@ def probes(items: DataFrame) -> DataFrame:
     chosen = F.when(few, all_of).otherwise(F.array(*[coordinate(k) for k in range(COORDINATES)]))
     asked = F.when(few, F.ceil(F.col("n") * CONTAINED)).otherwise(F.lit(LEAST_HITS))
     return (
-        items.select("item_id", asked.alias("asked"), F.explode(chosen).alias("hash"))
-        .groupBy("item_id", "hash")
+        items.select("_item", asked.alias("asked"), F.explode(chosen).alias("hash"))
+        .groupBy("_item", "hash")
         .agg(F.count("*").alias("weight"), F.max("asked").alias("asked"))
     )
 
 
 def candidates(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of doc_id and item_id with enough hits. A hit counts once however often it occurs."""
-    found = shingle_rows(documents, "doc_id").select("doc_id", "hash")
-    hits = found.join(_sent(probes(items)), "hash").groupBy("doc_id", "item_id", "hash")
+    """Pairs of doc_id and _item with enough hits. A hit counts once however often it occurs."""
+    rows = [shingle_rows(documents, "doc_id", size).select("doc_id", "hash") for size in sizes_of(items) or [SHINGLE]]
+    found = reduce(DataFrame.unionByName, rows)
+    hits = found.join(_sent(probes(items)), "hash").groupBy("doc_id", "_item", "hash")
     return (
         hits.agg(F.max("weight").alias("weight"), F.max("asked").alias("asked"))
-        .groupBy("doc_id", "item_id")
+        .groupBy("doc_id", "_item")
         .agg(F.sum("weight").alias("hits"), F.max("asked").alias("asked"))
         .filter(F.col("hits") >= F.col("asked"))
-        .select("doc_id", "item_id")
+        .select("doc_id", "_item")
     )
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """doc_id, item_id, shared and item shingles and containment of every verified pair."""
-    items = stored(item_shingles(benchmark), "leak-items")
+    named = item_texts(benchmark)
+    items = stored(item_shingles(named), "leak-items")
     pairs = stored(candidates(documents, items), "leak-pairs")
     wanted = pairs.select(F.col("doc_id").alias("id")).distinct()
     texts = documents.select("doc_id", "text").join(
         _sent(wanted), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"
     )
-    words = texts.select("doc_id", word_array(fold(F.col("text"))).alias("words")).filter(F.size("words") >= SHINGLE)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("words") - SHINGLE + 1),
-        lambda at: F.concat_ws(" ", *[F.element_at("words", at.cast("int") + k) for k in range(SHINGLE)]),
+    sizes = sizes_of(items) or [SHINGLE]
+    words = texts.select("doc_id", word_array(fold(F.col("text"))).alias("words")).filter(F.size("words") >= sizes[0])
+
+    def runs(size: int) -> Column:
+        # the bound is there for texts that are too short, whose runs are not taken
+        last = F.greatest(F.size("words") - size + 1, F.lit(1))
+        found = F.transform(F.sequence(F.lit(1), last), lambda at: _run(at, size))
+        return F.when(F.size("words") >= size, found).otherwise(F.array().cast("array<string>"))
+
+    own = words.select("doc_id", F.concat(*[runs(size) for size in sizes]).alias("runs"))
+    with_items = pairs.withColumnRenamed("doc_id", "id").join(_sent(items, "n"), "_item").select(
+        "id", "_item", "n", F.transform("shingles", lambda s: s["shingle"]).alias("asked")
     )
-    own = words.select("doc_id", runs.alias("runs"))
-    with_items = pairs.withColumnRenamed("doc_id", "id").join(
-        _sent(items, "n"), pairs.item_id.eqNullSafe(items.item_id)
-    ).select("id", items.item_id, "n", F.transform("shingles", lambda s: s["shingle"]).alias("asked"))
     met = own.join(with_items, F.col("doc_id").eqNullSafe(F.col("id"))).select(
-        "doc_id", "item_id", "n", F.array_intersect("asked", "runs").alias("met")
+        "doc_id", "_item", "n", F.array_intersect("asked", "runs").alias("met")
     )
     # rows of one doc_id count together
-    per_pair = met.groupBy("doc_id", "item_id", "n").agg(
+    per_text = met.groupBy("doc_id", "_item", "n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("met")))).cast("long").alias("shared")
     )
-    return per_pair.select(
-        "doc_id",
-        "item_id",
-        "shared",
-        F.col("n").cast("long").alias("item_shingles"),
-        (F.col("shared") / F.col("n")).alias("containment"),
-    ).filter(F.col("containment") >= contained)
+    share = (F.col("shared") / F.col("n")).alias("containment")
+    held = per_text.select("doc_id", "_item", "shared", F.col("n").cast("long").alias("item_shingles"), share)
+    held = held.filter(F.col("containment") >= contained).join(named.select("_item", "item_id"), "_item")
+    # of several texts of an item, the one that is held most
+    best = F.max(F.struct("containment", "shared", "item_shingles")).alias("best")
+    return held.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "best.shared", "best.item_shingles", "best.containment"
+    )
 
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -176,6 +176,19 @@ def test_leaks(name, request, spark):
     assert {r[0] for r in left.select("doc_id").collect()} == {d for d, _ in pairs(df)} - {d for d, _ in found}
 
 
+def test_every_text_of_an_item_and_short_items_are_found(spark):
+    say = lambda w, n=20: " ".join(f"{w}{k}" for k in range(n))
+    items = [(1, say("a")), (1, say("b")), (1, say("b")), (1, say("c", 90)), (None, say("d")), (None, say("e")), (2, "Two Words")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"x {say('a')} y", say("b"), say("c", 80), say("e"), f"{say('z')} two\nwords", "two other words", "two words", say("a", 9)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    out = sorted(((r["doc_id"], r["item_id"], r["shared"], r["item_shingles"]) for r in decontam.leaks(docs, benchmark).collect()), key=str)
+    assert out == [(0, 1, 16, 16), (1, 1, 16, 16), (2, 1, 76, 86), (3, None, 16, 16), (4, 2, 1, 1), (6, 2, 1, 1)]
+    left = decontam.remove_leaks(docs, benchmark).select("doc_id").collect()
+    assert sorted((r[0] for r in left), key=str) == [5, 7, None]
+
+
 @pytest.mark.parametrize("name", ["given", "awkward", "empty"])
 def test_mixing(name, request):
     df = request.getfixturevalue(name)
