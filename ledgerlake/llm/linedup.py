@@ -19,7 +19,7 @@ judged on the input, not on what is left of it.
 The documents are written once with a row number, bucketed by stretches of rows, so that looking
 up lines and removing them does not move the texts again.
 
-Defined cases: A-Z are folded; lines of fewer than ``LEAST_WORDS`` distinct words are kept; null
+Defined cases: A-Z are folded; lines of fewer than ``least`` distinct words are kept; null
 texts stay null; rows without doc_id are left alone; rows of equal doc_id are told apart as rows,
 and none of them is earlier than another at the same place; a text may lose all lines and is then
 empty.
@@ -39,7 +39,10 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.words import SIMILARITY, hashed_words, release, slices
 from ledgerlake.sources.scratch import discard, scratch, stored
 
+#: Lines of fewer different words are kept, unless the caller asks for others too.
 LEAST_WORDS = 5
+#: Lines of one or two words are similar to equal sets only, which are settled before the join.
+JOINED_WORDS = 3
 #: Entries of the table of word counts (as a power of two), and parts in which it is summed.
 TABLE_BITS, PARTS = 22, 16
 TABLE, TABLE_SHIFT = 2**TABLE_BITS, np.uint64(64 - TABLE_BITS)
@@ -101,7 +104,7 @@ def _later_copies(f: dict[str, np.ndarray]) -> np.ndarray:
     return later
 
 
-def first_pass(rows: DataFrame, ranges: int) -> DataFrame:
+def first_pass(rows: DataFrame, ranges: int, least: int) -> DataFrame:
     """``kind`` and ``part`` with packed data: word counts, set names by range, copies inside a slice."""
     width = TABLE // PARTS
 
@@ -113,7 +116,7 @@ def first_pass(rows: DataFrame, ranges: int) -> DataFrame:
                 hashes, owner, of_text, line = _lines(part.column("text"))
                 table += np.bincount((hashes >> TABLE_SHIFT).astype(np.int64), minlength=TABLE).astype(np.uint32)
                 hashes, owner, n = _distinct(hashes, owner, len(of_text), None)
-                fit = n >= LEAST_WORDS
+                fit = n >= least
                 if not fit.any():
                     continue
                 hashes, starts = hashes[fit[owner]], np.concatenate(([0], np.cumsum(n[fit])[:-1]))
@@ -255,12 +258,12 @@ def _distinct(
     return hashes, owner, np.bincount(owner, minlength=lines)
 
 
-def _posted(part: pa.RecordBatch, codes: np.ndarray, ranges: int) -> list[tuple[int, int, bytes]]:
+def _posted(part: pa.RecordBatch, codes: np.ndarray, ranges: int, least: int) -> list[tuple[int, int, bytes]]:
     """Postings of some documents: kind of the lines, range and packed fields."""
     ids, docs = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "doc_id"))
     hashes, owner, of_text, line = _lines(part.column("text"))
     hashes, owner, n = _distinct(hashes, owner, len(of_text), codes)
-    fit = n >= LEAST_WORDS
+    fit = n >= max(least, JOINED_WORDS)
     first_line = np.searchsorted(of_text, np.arange(part.num_rows))
     for row, skip in enumerate(part.column("_copies").to_pylist()):
         if skip:
@@ -303,14 +306,15 @@ def _fields(payload: bytes, kind: int) -> dict[str, np.ndarray]:
     return fields
 
 
-def postings(rows: DataFrame, gone: DataFrame, shared: Broadcast, ranges: int) -> DataFrame:
+def postings(rows: DataFrame, gone: DataFrame, shared: Broadcast, ranges: int, least: int) -> DataFrame:
     """``kind`` of the lines, ``range`` and packed postings of all lines but those in ``gone``."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                yield _rows(_posted(batch.slice(at, SLICE), codes, ranges)).rename_columns(["kind", "range", "payload"])
+                cells = _posted(batch.slice(at, SLICE), codes, ranges, least)
+                yield _rows(cells).rename_columns(["kind", "range", "payload"])
             release()
 
     texts = _with_lines(rows.select("_id", "_stretch", "doc_id", "text"), gone, "_copies")
@@ -610,15 +614,15 @@ def remaining(grouped: DataFrame, open_lines: DataFrame, rows: DataFrame) -> Dat
     return found
 
 
-def removed_lines(rows: DataFrame) -> DataFrame:
+def removed_lines(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """id and line of every line to remove."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, size // 40 // RANGE)
-    first = stored(first_pass(rows, max(1, size // 400 // RANGE)), "line-first-pass")
+    first = stored(first_pass(rows, max(1, size // 400 // RANGE), least), "line-first-pass")
     gone = stored(copies(first), "line-copies")
     table = rows.sparkSession.sparkContext.broadcast(word_counts(first))
     discard(first)
-    posted = stored(postings(rows, gone, table, ranges), "line-postings")
+    posted = stored(postings(rows, gone, table, ranges, least), "line-postings")
     long = stored(_long_lists(posted, table), "line-long-lists")
     found = candidates(_grouped(posted, long)).groupBy("id", "line", "c_id", "c_line").agg(
         F.min("apart").alias("apart"), F.max("more").alias("more")
@@ -642,10 +646,10 @@ def removed_lines(rows: DataFrame) -> DataFrame:
     return all_gone
 
 
-def without_lines(documents: DataFrame) -> DataFrame:
+def without_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The documents without their later similar lines, with the hidden columns ``_lines`` and ``_removed``."""
     rows, name = numbered(documents)
-    joined = _with_lines(rows, removed_lines(rows), "_gone")
+    joined = _with_lines(rows, removed_lines(rows, least), "_gone")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, at: ~F.array_contains("_gone", at))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -656,8 +660,8 @@ def without_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def remove_lines(documents: DataFrame) -> DataFrame:
+def remove_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """As ``without_lines``, with the counts as ``n_lines`` and ``n_removed``."""
-    return without_lines(documents).withColumns({"n_lines": F.col("_lines"), "n_removed": F.col("_removed")}).drop(
+    return without_lines(documents, least).withColumns({"n_lines": F.col("_lines"), "n_removed": F.col("_removed")}).drop(
         "_lines", "_removed"
     )

@@ -27,7 +27,7 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those removed, and a digest of what is left."""
-    done = linedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = linedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

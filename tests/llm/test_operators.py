@@ -140,6 +140,25 @@ def test_line_dedup_of_lines_of_all_lengths(spark):
     assert out == brute.without_lines(pairs(df))
 
 
+def test_the_query_removes_short_lines_too(spark, tmp_path):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("aBcdefg") for _ in range(rng.randint(0, 7))) for _ in range(400)] + ["w x y", "w x y Z", "p q p q p q"] * 2
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[k::25]) for k in range(25)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r["kept_sha256"] for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    seen = []
+    for k, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            own = set(brute.words(line))
+            if not own or not any(4 * len(own & o) >= 3 * len(own | o) for o in seen):
+                kept.append(line)
+            seen.append(own)
+        assert out[k] == hashlib.sha256("\n".join(kept).encode()).hexdigest(), k
+
+
 def test_equal_rows_and_shared_ids_keep_their_lines_apart(spark):
     rows = [(1, "a b c d e f", "en", "s", 1)] * 2 + [(1, "g h i j k l", "en", "s", 1), (2, "g h i j k l\nz", "en", "s", 1)]
     out = sorted((r["doc_id"], r["text"]) for r in linedup.remove_lines(spark.createDataFrame(rows, DOCS)).collect())
