@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +55,17 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2**22, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``limit`` bytes of one column; a longer value is a part."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + limit, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker lives on after its task."""
     pa.default_memory_pool().release_unused()
