@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, chat, decontam, linedup, mixing, neardup, quality, suffix, tokens, topk, urls
+from ledgerlake.llm import bpe, chat, decontam, linedup, mixing, neardup, quality, suffix, tokens, topk, urls, variants
 from ledgerlake.llm.twins import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,6 +92,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and its bytes as decoded from them, as digests."""
     done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
@@ -111,5 +116,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_byte_bpe": op13_byte_bpe,
 }
