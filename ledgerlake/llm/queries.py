@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, chat, decontam, linedup, mixing, neardup, quality, suffix, tokens, topk, urls, variants
+from ledgerlake.llm import bpe, chat, decontam, linedup, mixing, neardup, negatives, quality, suffix, tokens, topk, urls, variants
 from ledgerlake.llm.twins import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,6 +92,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by labels of which each seventh is wrong."""
+    label = F.col("label").cast("long")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", wrong)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and root of every word of the documents."""
     return variants.variants(table(spark, sf_dir, "documents"))
@@ -116,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_byte_bpe": op13_byte_bpe,
 }

@@ -100,6 +100,72 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+NEGATIVES = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM whole a JOIN whole c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5
+"""
+
+# zlib's checksum, bit by bit; its polynomial is a fixed value
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+_BYTES = """list_transform(range(1, CAST(octet_length(encode({text})) AS BIGINT) + 1), lambda k: CAST(
+  16 * (strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * k - 1, 1)) - 1)
+  + strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * k, 1)) - 1 AS BIGINT))"""
+
+VARIANTS = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), grouped AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, {_CRC.format(bytes=_BYTES.format(text="(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)"))} AS h FROM grouped
+), spelt AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words),
+cut AS (
+  SELECT DISTINCT word, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS replaced,
+         substr(word, 1, k - 1) || substr(word, k + 1) AS deleted
+  FROM places
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.replaced = b.replaced AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.deleted = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.deleted = w.word
+), counted AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS best, max(w.n) AS best_n
+  FROM near JOIN words w ON w.word = near.other GROUP BY near.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form,
+         CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN counted USING (word)
+), chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+), ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
 
 def _level(k: int) -> str:
     """The variable nodes of level ``k`` become ``*``."""
@@ -178,6 +244,8 @@ ORACLES = {
     "op9_url_filter": URLS,
     "op1_top_k": TOP_K,
     "op4_chat_format": CHAT,
+    "op11_hard_negatives": NEGATIVES,
+    "op12_spelling_variants": VARIANTS,
     "op8_decontamination": LEAKS.format(docs="documents"),
     "op7_mixing": MIXING.format(docs="documents"),
 }
