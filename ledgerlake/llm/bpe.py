@@ -39,7 +39,7 @@ from ledgerlake.llm.words import byte_slices, release
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens remembered in each of two generations; longer ones than this many signs are not.
-KEPT, KEPT_LENGTH = 200_000, 64
+KEPT, KEPT_LENGTH = 600_000, 64
 #: Texts longer than this many signs are cut into this many pre-tokens at a time.
 LONG_TEXT, BLOCK = 1_000_000, 100_000
 #: A bitmap word has 2**LEVEL bits; the top word has one for each of them.
@@ -76,35 +76,32 @@ class RankQueue:
         after = list(range(1, n + 1))  # linked list of segments, named by their first byte
         before = list(range(-1, n - 1))
         noted: list[int | None] = [None] * n  # rank of the pair that starts here
-        pairs = ((rank_of(piece[at : at + 2]), at) for at in range(n - 1))
+        pairs = ((at, at + 2) for at in range(n - 1))
         while True:
-            for rank, at in pairs:
-                noted[at] = rank
+            for at, end in pairs:
+                rank = noted[at] = rank_of(piece[at:end])
                 if rank is None:
                     continue
-                bucket = buckets.get(rank)
-                if bucket is not None:
-                    heappush(bucket, at)
+                if rank in buckets:
+                    heappush(buckets[rank], at)
                     continue
                 buckets[rank] = [at]
                 leaf = rank >> LEVEL
-                if not leaves[leaf]:
+                word = leaves[leaf]
+                if not word:
                     top |= _ONE[leaf]
-                leaves[leaf] |= _ONE[rank & _REST]
+                leaves[leaf] = word | _ONE[rank & _REST]
             while top:
                 leaf = (top & -top).bit_length() - 1
                 word = leaves[leaf]
-                first = word & -word
-                rank = (leaf << LEVEL) + first.bit_length() - 1
+                rank = (leaf << LEVEL) + (word & -word).bit_length() - 1
                 bucket = buckets[rank]
-                if len(bucket) > 1:
-                    at = heappop(bucket)
-                else:
-                    (at,) = bucket
+                at = heappop(bucket)
+                if not bucket:
                     del buckets[rank]
-                    leaves[leaf] = word = word ^ first
+                    leaves[leaf] = word = word & (word - 1)
                     if not word:
-                        top ^= _ONE[leaf]
+                        top &= top - 1
                 if noted[at] == rank:
                     break
                 # else the entry is stale
@@ -113,12 +110,11 @@ class RankQueue:
             middle, left = after[at], before[at]
             end = after[at] = after[middle]
             noted[at] = noted[middle] = None
-            pairs = []
-            if left >= 0:
-                pairs.append((rank_of(piece[left:end]), left))
             if end < n:
                 before[end] = at
-                pairs.append((rank_of(piece[at : after[end]]), at))
+                pairs = ((left, end), (at, after[end])) if left >= 0 else ((at, after[end]),)
+            else:
+                pairs = ((left, end),) if left >= 0 else ()
         ids, at = [], 0
         while at < n:
             end = after[at]
