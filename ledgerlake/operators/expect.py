@@ -46,12 +46,14 @@ def disagreeing(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def contract_broken() -> Column:
+    """Whether a clean booking event breaks the contract of its type."""
+    return any_of(F.col("booking_id") <= 0, F.col("shop_id") <= 0, *(r.broken for r in bookings.contract()))
+
+
 def booking_contract(events: DataFrame) -> DataFrame:
     """Clean booking events that break the contract of their type."""
-    broken = any_of(
-        F.col("booking_id") <= 0, F.col("shop_id") <= 0, *(r.broken for r in bookings.contract())
-    )
-    return events.filter(broken)
+    return events.filter(contract_broken())
 
 
 def shop_dates(shops: DataFrame) -> DataFrame:

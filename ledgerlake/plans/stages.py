@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake import schemas
-from ledgerlake.operators import bookings, dq, envelope, expect, gold, payments
+from ledgerlake.operators import bookings, dq, envelope, expect, gold, payments, suite
 from ledgerlake.operators.bronze import copy_table
 from ledgerlake.operators.expect import CheckFailed
-from ledgerlake.sources import versions
+from ledgerlake.sources import buckets, versions
 from ledgerlake.streaming.ingest import read_bronze
 
 
@@ -90,9 +90,12 @@ class Run:
 
     def record_rejects(self, rejects: DataFrame, stage: str, version: int) -> None:
         rows = dq.dq_rows(rejects, stage, self.seen(), version)
-        table = self.layout.silver("event_dq")
-        merged = dq.merge_dq(versions.current(self.spark, table, schemas.EVENT_DQ), rows)
-        versions.publish(merged, table, operation="merge")
+        merge_rejects(rows, self.layout.silver("event_dq"))
+
+
+def merge_rejects(rows: DataFrame, table: str) -> None:
+    """Upsert rejects into a DQ table; only the buckets of their keys are rewritten."""
+    buckets.merge(dq.latest_per_key(rows), table, "dq_key", preserve=["first_detected_at"])
 
 
 def events_clean(run: Run) -> StageReport:
@@ -155,13 +158,12 @@ def _typed_stage(run, validate, columns, stage, checks=None, keep_rejects=True)
 
 
 def _movement_checks(written: DataFrame) -> None:
-    expect.require_none(
-        expect.duplicates(payments.transactions(written), "payment_transaction_id"),
-        "payment_transaction_id repeats",
-    )
-    expect.require_none(
-        expect.disagreeing(written, "payment_id", "request_amount_krw"),
-        "a payment has several request amounts",
+    suite.require(
+        written,
+        [
+            suite.UniqueTest("payment_transaction_id repeats", ("payment_transaction_id",)),
+            suite.AgreementTest("a payment has several request amounts", ("payment_id",), "request_amount_krw"),
+        ],
     )
 
 
@@ -243,11 +245,7 @@ def dim_shops(run: Run) -> StageReport:
     """The shop dimension; its data tests are counted in the report and refuse nothing."""
     version, source = run.source(run.layout.bronze_shops)
     written = versions.publish(gold.dim_shops(source), run.layout.silver("dim_shops")).read(run.spark)
-    violations = (
-        expect.not_null(written, "shop_id", "shop_name").count()
-        + expect.unique(written, "shop_id").count()
-        + expect.shop_dates(written).count()
-    )
+    violations = sum(suite.counts(written, shop_tests()).values())
     stored = written.count()
     return StageReport("dim_shops", version, stored, 0, 0, stored, 0, violations)
 
@@ -270,33 +268,47 @@ def shop_daily_booking_metrics(run: Run) -> StageReport:
 def booking_chain(run: Run) -> StageReport:
     """Booking events through one stored validated table that feeds clean rows and DQ rows."""
     version, source = run.source(run.layout.silver("events_clean"))
+    seen, kept = Observation(), Observation()
     stored = versions.publish(
-        bookings.candidates(source), run.layout.silver("booking_events_validated")
+        bookings.candidates(source).observe(seen, F.count("*").alias("n")),
+        run.layout.silver("booking_events_validated"),
     ).read(run.spark)
     clean = versions.publish(
-        bookings.clean(stored), run.layout.silver("booking_events_chain_clean")
+        bookings.clean(stored).observe(kept, F.count("*").alias("n")),
+        run.layout.silver("booking_events_chain_clean"),
     ).read(run.spark)
     table = run.layout.silver("booking_event_dq")
     rows = dq.dq_rows(stored, schemas.BOOKINGS_STAGE, run.seen()).drop("source_snapshot_id")
-    recorded = T.StructType([f for f in schemas.EVENT_DQ if f.name != "source_snapshot_id"])
-    merged = dq.merge_dq(versions.current(run.spark, table, recorded), rows)
-    kept_rejects = versions.publish(merged, table, operation="merge").read(run.spark)
-    seen, kept = stored.count(), clean.count()
-    violations = chain_violations(clean) + dq_violations(kept_rejects)
-    return StageReport("booking_chain", version, seen, seen - kept, 0, kept, 0, violations)
+    merge_rejects(rows, table)
+    violations = suite.counts(clean, booking_tests())
+    recorded = buckets.current(run.spark, table, DQ_CHAIN)
+    if recorded is not None:
+        violations |= suite.counts(recorded, dq_tests())
+    n, left = seen.get["n"], kept.get["n"]
+    return StageReport("booking_chain", version, n, n - left, 0, left, 0, sum(violations.values()))
+
 
+DQ_CHAIN = T.StructType([f for f in schemas.EVENT_DQ if f.name != "source_snapshot_id"])
 
-def chain_violations(written: DataFrame) -> int:
-    """Rows and keys that break a data test of the clean booking events; reported, not refused."""
+
+def booking_tests() -> list[suite.Test]:
+    """Data tests of the clean booking events; their violations are reported, not refused."""
     required = ("event_id", "event_type", "event_time", "booking_id", "shop_id", "status")
-    kinds = schemas.BOOKING_EVENT_TYPES
-    return (
-        expect.not_null(written, *required).count()
-        + expect.unique(written, "event_id").count()
-        + written.filter(~F.col("event_type").isin(*kinds)).count()
-        + expect.booking_contract(written).count()
-    )
+    return [
+        suite.not_null(*required),
+        suite.unique("event_id"),
+        suite.accepted("event_type", schemas.BOOKING_EVENT_TYPES),
+        suite.RowTest("booking_contract", expect.contract_broken()),
+    ]
+
+
+def dq_tests() -> list[suite.Test]:
+    return [suite.not_null("dq_key", "validation_error"), suite.unique("dq_key")]
 
 
-def dq_violations(written: DataFrame) -> int:
-    return expect.not_null(written, "dq_key", "validation_error").count() + expect.unique(written, "dq_key").count()
+def shop_tests() -> list[suite.Test]:
+    return [
+        suite.not_null("shop_id", "shop_name"),
+        suite.unique("shop_id"),
+        suite.RowTest("shop_dates", F.col("closed_on") < F.col("opened_on")),
+    ]

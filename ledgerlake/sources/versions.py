@@ -2,7 +2,8 @@
 
 A version is a directory of Parquet files; a small JSON entry in ``_versions`` makes it the
 current one. The entry is created last and never overwritten, so a failed or refused run leaves
-the previous table in place. One writer per table at a time. This is no table format: append,
+the previous table in place. One writer per table at a time. Folders of older versions stay until
+whoever runs the domains deletes them, because a reader may still hold one. This is no table format: append,
 history, snapshots and merges are those of a v2 catalog (``publish_catalog``, ``pin_catalog``,
 ``merge_catalog``) where one is configured.
 """
@@ -51,6 +52,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    fs, hpath, _ = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(hpath)]
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """A small file in one step from the driver; without ``overwrite`` it must not exist."""
+    fs, entry, _ = _fs(spark, path)
+    out = fs.create(entry, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def pin(spark: SparkSession, table: str, schema: StructType | None = None) -> Version | None:
     """The current version; resolve once and read only it for the whole run.
 
@@ -129,24 +146,19 @@ def _guarded(spark, table, new, operation, guard) -> Version:
     written = new.read(spark)
     if guard is not None:
         guard(written)
-    _commit(spark, table, new, operation, written.count())
+    _commit(spark, table, new, operation)
     return new
 
 
-def _commit(spark: SparkSession, table: str, new: Version, operation: str, rows: int) -> None:
-    fs, entry, jvm = _fs(spark, f"{table}/_versions/{new.id}.json")
+def _commit(spark: SparkSession, table: str, new: Version, operation: str) -> None:
     body = {
         "id": new.id,
         "committed_at": datetime.now(timezone.utc).isoformat(),
         "operation": operation,
-        "row_count": rows,
         "path": new.path,
     }
-    out = fs.create(entry, False)  # fails if another writer committed this id
-    try:
-        out.write(bytearray(json.dumps(body).encode()))
-    finally:
-        out.close()
+    # fails if another writer committed this id
+    write_text(spark, f"{table}/_versions/{new.id}.json", json.dumps(body), overwrite=False)
 
 
 def publish_catalog(df: DataFrame, identifier: str, properties: dict[str, str] | None = None) -> None:
