@@ -11,15 +11,16 @@ from pyspark.sql import types as T
 
 from ledgerlake import schemas
 from ledgerlake.functions.ordering import EARLIEST_DELIVERY
-from ledgerlake.operators import bookings, dq, envelope, expect, gold, payments, reconcile
+from ledgerlake.operators import bookings, dq, envelope, expect, gold, offsets, payments, reconcile, suite
 from ledgerlake.operators.bronze import bronze_rows, copy_table
 from ledgerlake.operators.reports import counts_by, orphan_share, reject_reasons
 from ledgerlake.plans import derived, domains, joined, stages
 from ledgerlake.plans.derived import AS_OF, redelivered
-from ledgerlake.sources import outbox, versions
+from ledgerlake.sources import buckets, catalog, outbox
+from ledgerlake.sources.files import file_summary
 from ledgerlake.sources.readers import id_list, record_files_stream
 from ledgerlake.sources.scratch import scratch, stored
-from ledgerlake.streaming import ingest
+from ledgerlake.streaming import ingest, progress, recover
 
 FIRST_RUN, SECOND_RUN = datetime(2024, 2, 1), datetime(2024, 2, 2)
 
@@ -360,6 +361,14 @@ def dq_merge_rerun(spark, sf):
     return dq.merge_dq(dq.merge_dq(None, early), late)
 
 
+def dq_merge_incremental(spark, sf):
+    """The runs of ``dq_merge_rerun`` into a table by buckets, of which each rewrites what it touches."""
+    settled, table = _settled(spark, sf), scratch(spark, "dq")
+    stages.merge_rejects(_run_rejects(settled).filter("kafka_partition <= 1"), table)
+    stages.merge_rejects(_run_rejects(settled, SECOND_RUN, 2).filter("kafka_partition >= 1"), table)
+    return buckets.current(spark, table, schemas.EVENT_DQ)
+
+
 # --- gold ------------------------------------------------------------------------
 
 
@@ -435,6 +444,15 @@ def booking_bronze_copy(records):
     return stored(bronze_rows(records, F.col("timestamp")), "bronze")
 
 
+def offset_gaps(spark, sf):
+    """Missing ranges of a Bronze from which ranges were withheld, at both ends of the topic too."""
+    topic = derived.dense_positions(spark, sf)
+    bounds = topic.groupBy(*offsets.STREAM).agg(
+        F.min("kafka_offset").alias("first_offset"), F.max("kafka_offset").alias("last_offset")
+    )
+    return offsets.offset_gaps(topic.filter(~derived.withheld("kafka_offset")), bounds)
+
+
 def ids_not_in_outbox(spark, sf):
     """Bronze ids the outbox never sent; NULL stands for records without a readable id."""
     found = reconcile.event_ids(booking_bronze(spark, sf))
@@ -544,6 +562,15 @@ def row_constraint_violations(spark, sf):
     return counts_by(everything, "relation", "violation")
 
 
+def test_suite_report(spark, sf):
+    """All data tests of the clean bookings, and two stricter ones, on all typed events."""
+    extra = [
+        suite.unique("booking_id", "event_type"),
+        suite.AgreementTest("one service per booking", ("booking_id",), "service_id"),
+    ]
+    return suite.report(booking_candidates(spark, sf), stages.booking_tests() + extra)
+
+
 def one_payment_per_booking(spark, sf):
     found = expect.unique(payments_now(spark, sf), "booking_id")
     return found.withColumnRenamed("count", "n")
@@ -594,6 +621,94 @@ def stream_resume(spark, sf):
     return after[0].unionAll(after[1])
 
 
+def stream_progress(spark, sf):
+    """Batches of three runs on one checkpoint; before each the records of one more partition arrive."""
+    root = scratch(spark, "stream")
+    records = derived.booking_records(derived.table(spark, sf, "events"))
+    with progress.logged(spark, f"{root}/progress") as log:
+        for partition in range(3):
+            records.filter(F.col("partition") == partition).write.mode("append").parquet(f"{root}/topic")
+            ingest.ingest_available(
+                record_files_stream(spark, f"{root}/topic"), f"{root}/bronze", f"{root}/checkpoint", log
+            )
+    return progress.read_progress(spark, f"{root}/progress").select("batch_id", "input_rows")
+
+
+def recovered_bronze(spark, sf):
+    """A Bronze that lacks a tenth of the events, and after each of two recoveries."""
+    root = scratch(spark, "stream")
+    topic, target, checkpoint = f"{root}/topic", f"{root}/bronze", f"{root}/checkpoint"
+    sent = derived.outbox(spark, sf)
+    records = derived.booking_records(derived.table(spark, sf, "events"))
+    records.filter(F.expr("offset div 2 % 10 <> 3")).write.parquet(topic)
+    readable = sent.filter(F.get_json_object("payload", "$.event_id") == F.col("event_id"))
+    figures = []
+    for run in range(3):
+        if run:
+            recover.recover(spark, sent, topic, target, checkpoint, 3, ingested_at=F.col("timestamp"))
+        else:
+            stream = record_files_stream(spark, topic)
+            ingest.ingest_available(stream, target, checkpoint, ingested_at=F.col("timestamp"))
+        bronze = ingest.read_bronze(spark, target)
+        missing = reconcile.ids_missing(readable, reconcile.event_ids(bronze))
+        parts = (bronze.agg(F.count("*")), missing.agg(F.count("*")), reconcile.duplicate_positions(bronze).agg(F.count("*")))
+        for name, part in zip(("stored", "missing", "repeated_positions"), parts, strict=True):
+            figures.append(part.toDF("n").select(F.lit(run).alias("run"), F.lit(name).alias("figure"), "n"))
+    everything = figures[0]
+    for part in figures[1:]:
+        everything = everything.unionAll(part)
+    return everything
+
+
+def bronze_files(spark, sf):
+    """Rows of the data files of every ingest day."""
+    root = scratch(spark, "stream")
+    _ingest(spark, sf, root)
+    found = file_summary(ingest.read_bronze(spark, f"{root}/bronze/booking_events"), "ingest_date")
+    return found.select(
+        "ingest_date", "rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") >= F.col("largest")).alias("sized")
+    )
+
+
+def _created(spark, root):
+    """A Bronze table of the session's catalog, partitioned by day."""
+    namespace = f"ledger_{root.rsplit('-', 1)[-1]}"
+    catalog.ensure_namespace(spark, namespace, f"{root}/namespace")
+    day = T.StructField(ingest.INGEST_DATE, T.DateType())
+    columns = T.StructType([f for f in schemas.BRONZE if f.name != "kafka_headers"] + [day])
+    for _ in range(2):  # the second time does nothing
+        catalog.ensure_table(
+            spark, f"{namespace}.bronze", columns, [ingest.INGEST_DATE], {"layer": "bronze"}, f"{root}/bronze"
+        )
+    return f"{namespace}.bronze"
+
+
+def created_table_columns(spark, sf):
+    """Columns of the created table and how many rows of Bronze have a value there."""
+    table = _created(spark, scratch(spark, "catalog"))
+    _append(spark, sf, table)
+    columns = [(c.name, c.dataType, c.isPartition) for c in spark.catalog.listColumns(table)]
+    listed = spark.createDataFrame(columns, "name string, type string, is_partition boolean")
+    filled = spark.table(table).agg(*(F.count(name).alias(name) for name, _, _ in columns))
+    filled = filled.unpivot([], [name for name, _, _ in columns], "name", "filled")
+    return listed.join(filled, "name")
+
+
+def _append(spark, sf, table):
+    rows = booking_bronze(spark, sf).withColumn(ingest.INGEST_DATE, F.to_date("bronze_ingested_at"))
+    catalog.append(rows.drop("kafka_headers"), table)
+
+
+def appended_rows(spark, sf):
+    """Bronze appended twice to a created table, the second time with narrower positions."""
+    table = _created(spark, scratch(spark, "catalog"))
+    _append(spark, sf, table)
+    rows = booking_bronze(spark, sf).withColumn(ingest.INGEST_DATE, F.to_date("bronze_ingested_at"))
+    narrow = rows.drop("kafka_headers").withColumn("kafka_offset", F.col("kafka_offset").cast("int"))
+    catalog.append(narrow.select(*sorted(narrow.columns)), table)
+    return counts_by(spark.table(table), ingest.INGEST_DATE, "kafka_partition")
+
+
 def _run(spark, sf, *names):
     root = scratch(spark, "lake")
     _ingest(spark, sf, root)
@@ -616,9 +731,17 @@ def booking_chain_run(spark, sf):
     return report.drop("source_version")
 
 
+def selected_run(spark, sf):
+    """All that reads or is read by the typed events; no shop was loaded, so the metrics are skipped."""
+    root = scratch(spark, "lake")
+    _ingest(spark, sf, root)
+    found = domains.run_selected(spark, root, "+booking_events_clean+ dim_shops", AS_OF, FIRST_RUN)
+    return domains.outcomes(spark, found).drop("reason")
+
+
 def booking_domain_dq(spark, sf):
     root, _ = _run(spark, sf, "booking")
-    table = versions.current(spark, f"{root}/silver/event_dq")
+    table = buckets.current(spark, f"{root}/silver/event_dq", schemas.EVENT_DQ)
     return table.drop("source_snapshot_id")
 
 
@@ -682,6 +805,7 @@ QUERIES = [
     dq_by_stage,
     dq_merge_first_run,
     dq_merge_rerun,
+    dq_merge_incremental,
     dim_shops,
     shop_date_violations,
     shop_calendar,
@@ -693,6 +817,7 @@ QUERIES = [
     bronze_vs_topic,
     bronze_reconciliation,
     bronze_verified_kinds,
+    offset_gaps,
     ids_not_in_outbox,
     id_list_missing,
     model_diff,
@@ -708,14 +833,21 @@ QUERIES = [
     key_coverage,
     expected_type_counts,
     row_constraint_violations,
+    test_suite_report,
     one_payment_per_booking,
     outbox_records,
     lost_outbox_records,
     stream_bronze_count,
     stream_bronze_rows,
     stream_resume,
+    stream_progress,
+    recovered_bronze,
+    bronze_files,
+    created_table_columns,
+    appended_rows,
     booking_domain_run,
     booking_chain_run,
+    selected_run,
     booking_domain_dq,
     payment_domain_run,
 ]

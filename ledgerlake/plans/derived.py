@@ -277,6 +277,24 @@ def _payment_payload(rows: DataFrame) -> DataFrame:
     ).transform(_as_records)
 
 
+def dense_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as positions of a topic without gaps; partition 0 holds three quarters of it."""
+    event_id = F.col("event_id")
+    hot = event_id % 4 != 3
+    group = F.expr("event_id div 4")
+    return table(spark, sf_dir, "events").select(
+        F.lit(TOPIC).alias("kafka_topic"),
+        F.when(hot, 0).otherwise(1).alias("kafka_partition"),
+        F.when(hot, group * 3 + event_id % 4).otherwise(group).cast("bigint").alias("kafka_offset"),
+    )
+
+
+def withheld(offset: str) -> Column:
+    """Ranges of offsets, and single ones, that never arrive."""
+    at = F.col(offset)
+    return (F.floor(at / 40) % 9 == 0) | (at % 97 == 5)
+
+
 def redelivered(offset: str) -> Column:
     """Whether a booking record is the second copy of its event; copies share no position."""
     return F.col(offset) % 2 == 1

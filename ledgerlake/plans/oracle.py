@@ -460,6 +460,17 @@ ORACLES = {
       WHERE defect = 'weird' GROUP BY 1""",
     "contract_violations": f"""{BOOKINGS} SELECT event_id, event_type FROM parsed
       WHERE defect IN ('price', 'status') OR (defect = 'customer' AND event_type = 'booking_created')""",
+    "test_suite_report": f"""{BOOKINGS}
+      SELECT 'not_null(event_id, event_type, event_time, booking_id, shop_id, status)' AS test,
+        count(*) FILTER (WHERE status IS NULL) AS violations FROM parsed
+      UNION ALL SELECT 'booking_contract', count(*) FROM parsed
+        WHERE defect IN ('price', 'status') OR (defect = 'customer' AND event_type = 'booking_created')
+      UNION ALL SELECT 'unique(event_id)', count(*) - count(DISTINCT event_id) FROM parsed
+      UNION ALL SELECT 'accepted_values(event_type)', count(*) FILTER (WHERE event_type IS NULL) FROM parsed
+      UNION ALL SELECT 'unique(booking_id, event_type)', count(*) FROM (
+        SELECT booking_id, event_type FROM parsed GROUP BY ALL HAVING count(*) > 1)
+      UNION ALL SELECT 'one service per booking', count(*) FROM (
+        SELECT booking_id FROM parsed GROUP BY ALL HAVING count(DISTINCT service_id) > 1)""",
     "key_coverage": f"""{BOOKINGS} SELECT booking_id, 1 AS in_source,
       count(*) FILTER (WHERE event_type = 'booking_created') AS in_output FROM clean GROUP BY 1
       HAVING count(*) FILTER (WHERE event_type = 'booking_created') <> 1""",
@@ -490,6 +501,38 @@ ORACLES = {
     "booking_chain_run": f"""{BOOKINGS} {_RUN_REPORT_EVENTS}
       UNION ALL SELECT 'booking_chain', (SELECT count(*) FROM parsed), (SELECT count(*) FROM parsed
         WHERE booking_error IS NOT NULL), 0, (SELECT count(*) FROM clean), 0, 0""",
+    "selected_run": f"""{BOOKINGS} SELECT 'events_clean' AS stage, 'done' AS status, (SELECT count(*) FROM records) AS input_rows,
+        (SELECT count(*) FROM parsed) AS stored_rows
+      UNION ALL SELECT 'booking_events_clean', 'done', (SELECT count(*) FROM parsed), (SELECT count(*) FROM clean)
+      UNION ALL SELECT 'bookings_current', 'done', (SELECT count(*) FROM clean), (SELECT count(*) FROM now)
+      UNION ALL SELECT 'dim_shops', 'refused', NULL, NULL
+      UNION ALL SELECT 'shop_daily_booking_metrics', 'skipped', NULL, NULL""",
+    "stream_progress": f"{BOOKINGS} SELECT kafka_partition AS batch_id, count(*) AS input_rows FROM records GROUP BY 1",
+    "recovered_bronze": f"""{BOOKINGS}, lost AS (
+        SELECT count(*) AS n FROM logical WHERE m % 10 = 3 AND coalesce(defect, '') NOT IN ('malformed', 'no_id')
+      ), kept AS (SELECT count(*) AS n FROM records WHERE m % 10 <> 3)
+      SELECT run, 'stored' AS figure, kept.n + CASE WHEN run > 0 THEN lost.n ELSE 0 END AS n FROM range(3) AS v(run), lost, kept
+      UNION ALL SELECT run, 'missing', CASE WHEN run > 0 THEN 0 ELSE lost.n END FROM range(3) AS v(run), lost
+      UNION ALL SELECT run, 'repeated_positions', 0 FROM range(3) AS v(run)""",
+    "bronze_files": f"""{BOOKINGS} SELECT CAST(CAST(bronze_ingested_at AS DATE) AS VARCHAR) AS ingest_date, count(*) AS rows,
+        true AS has_files, true AS sized FROM records GROUP BY 1""",
+    "created_table_columns": f"""{BOOKINGS} SELECT name, type, name = 'ingest_date' AS is_partition, (SELECT count(*) FROM records) AS filled
+      FROM (VALUES ('payload', 'string'), ('kafka_value', 'binary'), ('kafka_key', 'binary'), ('kafka_topic', 'string'),
+        ('kafka_partition', 'int'), ('kafka_offset', 'bigint'), ('kafka_timestamp', 'timestamp'),
+        ('kafka_timestamp_type', 'int'), ('bronze_ingested_at', 'timestamp'), ('ingest_date', 'date')) AS v(name, type)""",
+    "appended_rows": f"""{BOOKINGS} SELECT CAST(CAST(bronze_ingested_at AS DATE) AS VARCHAR) AS ingest_date,
+      kafka_partition, 2 * count(*) AS n FROM records GROUP BY 1, 2""",
+    "offset_gaps": """
+      WITH topic AS (
+        SELECT CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END AS p,
+          CASE WHEN event_id % 4 = 3 THEN event_id // 4 ELSE event_id // 4 * 3 + event_id % 4 END AS o FROM events
+      ), known AS (
+        SELECT p, o FROM topic WHERE NOT ((o // 40) % 9 = 0 OR o % 97 = 5)
+        UNION ALL SELECT p, min(o) - 1 FROM topic GROUP BY p
+        UNION ALL SELECT p, max(o) + 1 FROM topic GROUP BY p
+      ), pairs AS (SELECT p, o, lag(o) OVER (PARTITION BY p ORDER BY o) AS b FROM known)
+      SELECT 'booking.events.v1' AS kafka_topic, p AS kafka_partition, b + 1 AS first_missing, o - 1 AS last_missing,
+        o - b - 1 AS missing FROM pairs WHERE o - b > 1""",
     "booking_domain_dq": f"{BOOKINGS} SELECT {_DQ_COLUMNS}, {_SEEN} FROM ({_top_dq()})",
     "payment_domain_run": f"""{PAYMENTS} SELECT 'events_clean' AS stage, count(*) AS input_rows, 0 AS rejected_rows,
         0 AS duplicate_rows, count(*) AS stored_rows, 0 AS orphan_rows, 0 AS violations FROM events_p
@@ -498,6 +541,7 @@ ORACLES = {
       UNION ALL SELECT 'payments_current', (SELECT count(*) FROM clean), 0, 0, (SELECT count(*) FROM now),
         (SELECT count(*) FROM now WHERE is_orphan), 0""",
 }
+ORACLES["dq_merge_incremental"] = ORACLES["dq_merge_rerun"]
 ORACLES["first_bookable_slot"] = (
     f"SELECT * FROM ({ORACLES['bookable_slots']}) ORDER BY shop_id, service_id, staff_id LIMIT 1"
 )

@@ -20,5 +20,10 @@ def outbox_to_records(outbox: DataFrame, topic: str = TOPIC) -> DataFrame:
 
 def lost_records(outbox: DataFrame, bronze: DataFrame, topic: str = TOPIC) -> DataFrame:
     """Outbox events that never reached Bronze, ready to be published again."""
+    return outbox_to_records(lost_rows(outbox, bronze), topic)
+
+
+def lost_rows(outbox: DataFrame, bronze: DataFrame) -> DataFrame:
+    """Outbox rows whose event never reached Bronze."""
     lost = ids_missing(outbox, event_ids(bronze))
-    return outbox_to_records(outbox.join(lost, "event_id", "left_semi"), topic)
+    return outbox.join(lost, "event_id", "left_semi")

@@ -11,6 +11,7 @@ from ledgerlake.operators.bronze import bronze_rows
 from ledgerlake.operators.expect import CheckFailed
 from ledgerlake.schemas import BRONZE
 from ledgerlake.sources.versions import exists
+from ledgerlake.streaming.progress import ProgressLog
 
 INGEST_DATE = "ingest_date"
 STORED = T.StructType([*BRONZE, T.StructField(INGEST_DATE, T.DateType())])
@@ -53,10 +54,17 @@ def start(
     return writer.trigger(**trigger).start()
 
 
-def ingest_available(records: DataFrame, target: str, checkpoint: str, **options) -> dict | None:
-    """Bounded catch-up run; returns the last progress report, None when nothing was new."""
+def ingest_available(
+    records: DataFrame, target: str, checkpoint: str, log: ProgressLog | None = None, **options
+) -> dict | None:
+    """Bounded catch-up run; returns the last progress report, None when nothing was new.
+
+    With a ``log`` it returns only when every batch of the run is a row of it.
+    """
     query = start(records, target, checkpoint, available_now=True, **options)
     query.awaitTermination()
+    if log is not None:
+        log.wait(query.runId)
     return query.lastProgress
 
 
