@@ -20,7 +20,7 @@ from ledgerlake.sources import buckets, catalog, outbox
 from ledgerlake.sources.files import file_summary
 from ledgerlake.sources.readers import id_list, record_files_stream
 from ledgerlake.sources.scratch import scratch, stored
-from ledgerlake.streaming import ingest, progress, recover
+from ledgerlake.streaming import fanout, ingest, progress, recover
 
 FIRST_RUN, SECOND_RUN = datetime(2024, 2, 1), datetime(2024, 2, 2)
 
@@ -634,6 +634,34 @@ def stream_progress(spark, sf):
     return progress.read_progress(spark, f"{root}/progress").select("batch_id", "input_rows")
 
 
+def _fanned_out(spark, sf):
+    """Three batches, each with the records of one more partition."""
+    root = scratch(spark, "stream")
+    records = derived.booking_records(derived.table(spark, sf, "events"))
+    for partition in range(3):
+        records.filter(F.col("partition") == partition).write.mode("append").parquet(f"{root}/topic")
+        stream = record_files_stream(spark, f"{root}/topic")
+        fanout.start(stream, f"{root}/bronze", f"{root}/checkpoint", ingested_at=F.col("timestamp")).awaitTermination()
+    return root, records
+
+
+def stream_fanout_rows(spark, sf):
+    """Bronze written batch by batch, after the second batch was stored once more."""
+    root, records = _fanned_out(spark, sf)
+    again = records.filter("partition = 1")
+    fanout.store_batch(again, 1, f"{root}/bronze", 4, ingested_at=F.col("timestamp"))
+    last = fanout.committed_batch(spark, f"{root}/checkpoint")
+    stored = fanout.read_batches(spark, f"{root}/bronze", last)
+    return stored.select("payload", "kafka_key", "kafka_partition", "kafka_offset", "bronze_ingested_at")
+
+
+def bronze_as_of_batch(spark, sf):
+    """Bronze as it was after its first batch, read after two more."""
+    root, _ = _fanned_out(spark, sf)
+    stored = fanout.read_batches(spark, f"{root}/bronze", 0)
+    return counts_by(stored, "ingest_batch", "ingest_date", "kafka_partition")
+
+
 def recovered_bronze(spark, sf):
     """A Bronze that lacks a tenth of the events, and after each of two recoveries."""
     root = scratch(spark, "stream")
@@ -841,6 +869,8 @@ QUERIES = [
     stream_bronze_rows,
     stream_resume,
     stream_progress,
+    stream_fanout_rows,
+    bronze_as_of_batch,
     recovered_bronze,
     bronze_files,
     created_table_columns,

@@ -507,6 +507,8 @@ ORACLES = {
       UNION ALL SELECT 'bookings_current', 'done', (SELECT count(*) FROM clean), (SELECT count(*) FROM now)
       UNION ALL SELECT 'dim_shops', 'refused', NULL, NULL
       UNION ALL SELECT 'shop_daily_booking_metrics', 'skipped', NULL, NULL""",
+    "bronze_as_of_batch": f"""{BOOKINGS} SELECT 0 AS ingest_batch, CAST(CAST(bronze_ingested_at AS DATE) AS VARCHAR) AS ingest_date,
+      kafka_partition, count(*) AS n FROM records WHERE kafka_partition = 0 GROUP BY 2, 3""",
     "stream_progress": f"{BOOKINGS} SELECT kafka_partition AS batch_id, count(*) AS input_rows FROM records GROUP BY 1",
     "recovered_bronze": f"""{BOOKINGS}, lost AS (
         SELECT count(*) AS n FROM logical WHERE m % 10 = 3 AND coalesce(defect, '') NOT IN ('malformed', 'no_id')
@@ -541,6 +543,7 @@ ORACLES = {
       UNION ALL SELECT 'payments_current', (SELECT count(*) FROM clean), 0, 0, (SELECT count(*) FROM now),
         (SELECT count(*) FROM now WHERE is_orphan), 0""",
 }
+ORACLES["stream_fanout_rows"] = ORACLES["stream_bronze_rows"]
 ORACLES["dq_merge_incremental"] = ORACLES["dq_merge_rerun"]
 ORACLES["first_bookable_slot"] = (
     f"SELECT * FROM ({ORACLES['bookable_slots']}) ORDER BY shop_id, service_id, staff_id LIMIT 1"
