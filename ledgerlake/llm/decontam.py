@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.words import SHINGLE, fold, word_array
+from ledgerlake.llm.words import SHINGLE, fold, free_name, word_array
 from ledgerlake.sources.scratch import stored
 
 CONTAINED = 0.75
@@ -137,12 +137,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, contained: float = CONTAIN
         "id", "_item", "n", F.transform("shingles", lambda s: s["shingle"]).alias("asked")
     )
     met = own.join(with_items, F.col("doc_id").eqNullSafe(F.col("id"))).select(
-        "doc_id", "_item", "n", F.array_intersect("asked", "runs").alias("met")
-    )
-    # rows of one doc_id count together
-    per_text = met.groupBy("doc_id", "_item", "n").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("met")))).cast("long").alias("shared")
+        "doc_id", "_item", "n", F.explode(F.array_intersect("asked", "runs")).alias("met")
     )
+    # rows of one doc_id count together, each shingle once; equal ones combine in their tasks
+    per_text = met.distinct().groupBy("doc_id", "_item", "n").agg(F.count("*").alias("shared"))
     share = (F.col("shared") / F.col("n")).alias("containment")
     held = per_text.select("doc_id", "_item", "shared", F.col("n").cast("long").alias("item_shingles"), share)
     held = held.filter(F.col("containment") >= contained).join(named.select("_item", "item_id"), "_item")
@@ -154,6 +152,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, contained: float = CONTAIN
 
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns as they were."""
-    bad = stored(leaks(documents, benchmark).select(F.col("doc_id").alias("_leaking")).distinct(), "leak-documents")
-    return documents.join(_sent(bad), F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    """The documents that hold no benchmark item, all columns as they were.
+
+    Every row is judged by its own text, whatever its doc_id: texts are named by their 64-bit hash.
+    """
+    name, leaking = (free_name(c, documents) for c in ("_text_hash", "_leaking"))
+    texts = documents.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = stored(leaks(texts, benchmark).select(F.col("doc_id").alias(leaking)).distinct(), "leak-documents")
+    rows = documents.withColumn(name, F.xxhash64("text"))
+    return rows.join(_sent(bad), F.col(name) == F.col(leaking), "left_anti").drop(name)

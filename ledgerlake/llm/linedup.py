@@ -36,7 +36,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.words import SIMILARITY, hashed_words, release, slices
+from ledgerlake.llm.words import SIMILARITY, free_name, hashed_words, release, shielded, slices
 from ledgerlake.sources.scratch import discard, scratch, stored
 
 #: Lines of fewer different words are kept, unless the caller asks for others too.
@@ -646,22 +646,31 @@ def removed_lines(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return all_gone
 
 
-def without_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """The documents without their later similar lines, with the hidden columns ``_lines`` and ``_removed``."""
-    rows, name = numbered(documents)
+def without_lines(
+    documents: DataFrame, least: int = LEAST_WORDS, counts: tuple[str, str] = ("_lines", "_removed")
+) -> DataFrame:
+    """The documents without their later similar lines, with two more columns: lines and removed lines.
+
+    All columns of the documents are carried as they are, whatever their names; ``counts`` names
+    the two and must be none of them.
+    """
+    inner, carried = shielded(documents, "doc_id", "text")
+    rows, name = numbered(inner)
     joined = _with_lines(rows, removed_lines(rows, least), "_gone")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, at: ~F.array_contains("_gone", at))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in documents.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"),
+        *[text.alias("text") if c == "text" else back for c, back in zip(documents.columns, carried, strict=True)],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(counts[1]),
     )
 
 
 def remove_lines(documents: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """As ``without_lines``, with the counts as ``n_lines`` and ``n_removed``."""
-    return without_lines(documents, least).withColumns({"n_lines": F.col("_lines"), "n_removed": F.col("_removed")}).drop(
-        "_lines", "_removed"
+    """As ``without_lines``, with the counts as ``n_lines`` and ``n_removed``, in place of such columns."""
+    counts = free_name("n_lines", documents), free_name("n_removed", documents)
+    done = without_lines(documents, least, counts)
+    return done.withColumns({"n_lines": F.col(counts[0]), "n_removed": F.col(counts[1])}).drop(
+        *(set(counts) - {"n_lines", "n_removed"})
     )

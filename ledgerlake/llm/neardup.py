@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.graph import components
-from ledgerlake.llm.words import SIMILARITY, hashed_words, release, shingle_hashes, slices
+from ledgerlake.llm.words import SIMILARITY, hashed_words, release, shielded, shingle_hashes, slices
 from ledgerlake.sources.scratch import discard, stored
 
 COORDINATES = 64
@@ -348,8 +348,9 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each group of near duplicates (that of the smallest doc_id), all columns as they were.
 
     Rows are told apart by a number of their own, so those that share a doc_id stay or go each by
-    its text.
+    its text. All columns are carried as they are, whatever their names.
     """
+    documents, carried = shielded(documents, "doc_id", "text")
     # written once: all who read it see the same numbers
     rows = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     ids = rows.filter("doc_id IS NOT NULL").select("_row", F.col("doc_id").alias("_id"))
@@ -358,4 +359,4 @@ def keep_one(documents: DataFrame) -> DataFrame:
     linked = stored(grouped.join(ids, "_row"), "near-placed")
     first = linked.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"))
     dropped = linked.join(first, "component_id").filter("_row <> _first").select(F.col("_row").alias("_dropped"))
-    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")
+    return rows.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*carried)

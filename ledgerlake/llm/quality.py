@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.words import WordHashes, words_of
+from ledgerlake.llm.words import WordHashes, free_name, words_of
 
 SAMPLE = 10_000
 BUCKETS = 4096
@@ -233,5 +233,6 @@ def classify(documents: DataFrame, labels: DataFrame, keep: float = KEEP) -> Dat
 
 def keep_good(documents: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that the classifier does not reject, all columns as they were."""
-    scored = score(documents, fit(documents, labels), "_quality")
-    return scored.filter(F.col("_quality") >= keep).drop("_quality")
+    name = free_name("_quality", documents)
+    scored = score(documents, fit(documents, labels), name)
+    return scored.filter(F.col(name) >= keep).drop(name)

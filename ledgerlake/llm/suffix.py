@@ -115,7 +115,9 @@ def packs(documents: DataFrame) -> tuple[DataFrame, int, str]:
 
     name = f"repeat_parts_{uuid.uuid4().hex}"
     made = ordered.mapInArrow(pack, "part long, ids array<long>, sizes array<long>, raw binary")
-    writer = made.write.format("parquet").option("compression", "zstd").bucketBy(wanted, "part")
+    # a session allows so many buckets; with more parts a bucket holds several
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    writer = made.write.format("parquet").option("compression", "zstd").bucketBy(min(wanted, most), "part")
     writer.option("path", scratch(spark, "repeat-parts")).saveAsTable(name)
     return spark.table(name), total, name
 

@@ -16,7 +16,8 @@ are loosened by ``SLACK``, so rounding never drops a row and ties are kept.
 Queries are a stated set. They meet the shards in blocks of ``QUERY_BLOCK``; first every query
 searches one shard of its nearest pivot, then the others with the bound it has from there.
 
-Defined cases: rows with a null id, a null vector or a null or non-finite component take no part;
+Defined cases: rows with a null id, a null vector or a null or non-finite component take no part,
+nor do vectors whose squared norm leaves the range of a long, as no score could be stated for them;
 only vectors of the length most rows have (ties: the longer) take part; of rows equal in id the
 smallest vector counts; fewer candidates than k give all.
 """
@@ -37,6 +38,8 @@ SHARD_ROWS = 16_384
 PAGE, FANOUT = 256, 16
 QUERY_BLOCK = 4096
 SLACK = 1e-6
+#: Squared norms stay below this, so that no product of two rows leaves 64 bits.
+LARGEST = 2.0**61
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -46,10 +49,11 @@ def whole_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     )
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
-    rows = rows.select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(parts, lambda x: F.floor(x * scale).cast("long")).alias("v"),
-    )
+    scaled = F.transform(parts, lambda x: F.floor(x * scale).cast("double"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+    # the sum of squares bounds every product of two such rows
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    rows = rows.filter(squares < LARGEST).withColumn("v", F.transform("v", lambda x: x.cast("long")))
     usual = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
     return rows.filter(F.size("v") == (usual["width"] if usual else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 

@@ -133,7 +133,7 @@ def merge_level(shapes: DataFrame, level: int) -> DataFrame:
     rows = shapes.withColumn("child", F.coalesce(F.get(segments, F.lit(level)), F.lit(NONE)))
     rows = rows.withColumn("below", _rest(segments, level + 1))
     spread = rows.groupBy("host", "head", "child", "below").agg(
-        F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")
+        F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.count("*").alias("shapes")
     )
     pool = spread.groupBy("host", "head", "below").agg(F.sum("n").alias("pool_n"))
     branch = spread.groupBy("host", "head", "child").agg(
@@ -141,13 +141,17 @@ def merge_level(shapes: DataFrame, level: int) -> DataFrame:
         F.sum("labelled").alias("b_labelled"),
         F.sum("blocked").alias("b_blocked"),
         F.max(F.col("below") != "").alias("deep"),
+        F.sum("shapes").alias("shapes"),
     )
     whole = branch.groupBy("host", "head").agg(
         F.sum("b_n").alias("h_n"),
         F.sum("b_labelled").alias("h_labelled"),
         F.sum("b_blocked").alias("h_blocked"),
         F.count("*").alias("branches"),
+        F.sum("shapes").alias("shapes"),
     )
+    # a shape that is alone below its node has no siblings to merge with at any level
+    shared = whole.filter("shapes > 1").select("host", "head", F.lit(True).alias("shared"))
     distance = (
         spread.join(pool, ["host", "head", "below"])
         .join(branch, ["host", "head", "child"])
@@ -175,10 +179,13 @@ def merge_level(shapes: DataFrame, level: int) -> DataFrame:
     merged = alike.join(several, ["host", "head"]).withColumn("merge", F.lit(True))
     taken = F.when(F.col("merge") & (F.col("child") != NONE), F.lit(WILD)).otherwise(F.col("child"))
     more = F.size(segments) > level
-    return _look_up(rows, merged, ["host", "head", "child"]).select(
+    found = _look_up(_look_up(rows, merged, ["host", "head", "child"]), shared, ["host", "head"])
+    alone = F.col("shared").isNull()
+    head = F.when(alone, F.concat("head", _rest(segments, level)))
+    return found.select(
         *[c for c in shapes.columns if c != "head"],
-        F.when(more, F.concat_ws("/", "head", taken)).otherwise(F.col("head")).alias("head"),
-        (F.size(segments) > level + 1).alias("open"),
+        head.when(more, F.concat_ws("/", "head", taken)).otherwise(F.col("head")).alias("head"),
+        (~alone & (F.size(segments) > level + 1)).alias("open"),
     )
 
 

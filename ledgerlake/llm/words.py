@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed value: what separates words (space, tab, newline, vertical tab, form feed, carriage return)
@@ -23,6 +23,20 @@ SIMILARITY = 0.75
 _WORD = re.compile(WORD)
 
 
+def free_name(wanted: str, documents: DataFrame) -> str:
+    """A column name that the documents do not have, whatever the case of theirs."""
+    taken = {c.lower() for c in documents.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def shielded(documents: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """The documents with all columns but ``own`` under names no operator uses, and what names them back."""
+    inner = [c if c in own else f"carried_{k}" for k, c in enumerate(documents.columns)]
+    return documents.toDF(*inner), [F.col(i).alias(c) for i, c in zip(inner, documents.columns, strict=True)]
+
+
 def fold(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, UPPER, UPPER.lower())
