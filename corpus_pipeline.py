@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontam, linedup, mixing, neardup, quality
 from ledgerlake.llm.queries import table
+from ledgerlake.llm.words import free_name
 from ledgerlake.sources.scratch import stored
 
 
@@ -22,9 +23,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their later similar lines; those that lose all their words go."""
-    done = linedup.without_lines(docs)
-    left = done.filter((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    lines, removed = (free_name(c, docs) for c in ("_lines", "_removed"))
+    done = linedup.without_lines(docs, counts=(lines, removed))
+    left = done.filter((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
