@@ -21,6 +21,14 @@ SAMPLE = (
     "payment_transactions_legacy",
     "ledger_replay",
     "dq_merge_rerun",
+    "dq_merge_incremental",
+    "test_suite_report",
+    "offset_gaps",
+    "selected_run",
+    "recovered_bronze",
+    "stream_progress",
+    "stream_fanout_rows",
+    "appended_rows",
     "shop_daily_booking_metrics",
     "topic_bronze_diff",
     "bronze_reconciliation",
