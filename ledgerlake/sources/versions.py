@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -113,8 +113,10 @@ def publish(
     """
     spark = df.sparkSession
     new = replace(_next(spark, table), schema=df.schema)
-    df.write.mode("overwrite").parquet(new.path)  # leftovers of a refused run
-    return _guarded(spark, table, new, operation, guard)
+    counted = Observation()
+    rows = df.observe(counted, F.count("*").alias("rows"))
+    rows.write.mode("overwrite").parquet(new.path)  # leftovers of a refused run
+    return _guarded(spark, table, new, operation, guard, counted)
 
 
 def publish_split(
@@ -132,9 +134,11 @@ def publish_split(
     target = _next(spark, table)
     written = StructType([f for f in validated.schema if f.name != REJECTED])
     new = Version(target.id, target.path, split=True, schema=written)
-    validated.write.mode("overwrite").partitionBy(REJECTED).parquet(new.path)
+    counted = Observation()
+    rows = validated.observe(counted, F.count_if(~F.col(REJECTED)).alias("rows"))
+    rows.write.mode("overwrite").partitionBy(REJECTED).parquet(new.path)
     settled()
-    return _guarded(spark, table, new, "replace", guard)
+    return _guarded(spark, table, new, "replace", guard, counted)
 
 
 def _next(spark: SparkSession, table: str) -> Version:
@@ -142,19 +146,20 @@ def _next(spark: SparkSession, table: str) -> Version:
     return version(table, 1 if before is None else before.id + 1)
 
 
-def _guarded(spark, table, new, operation, guard) -> Version:
+def _guarded(spark, table, new, operation, guard, counted: Observation) -> Version:
     written = new.read(spark)
     if guard is not None:
         guard(written)
-    _commit(spark, table, new, operation)
+    _commit(spark, table, new, operation, counted.get["rows"])
     return new
 
 
-def _commit(spark: SparkSession, table: str, new: Version, operation: str) -> None:
+def _commit(spark: SparkSession, table: str, new: Version, operation: str, rows: int) -> None:
     body = {
         "id": new.id,
         "committed_at": datetime.now(timezone.utc).isoformat(),
         "operation": operation,
+        "row_count": rows,
         "path": new.path,
     }
     # fails if another writer committed this id
