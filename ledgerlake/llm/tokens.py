@@ -1,20 +1,37 @@
 """Exact token counts by dynamic programming over prefixes.
 
-A tokenizer that drops white space never joins text across it, so the count of a prefix that ends
-at a word is ``count[k] = count[k - 1] + tokens(word k)``. The table of these sums is stored per
-document; inside a word a second table has the count of every prefix of that word. With both, any
-prefix is counted, and any budget is turned into a cut, by look-ups and without encoding again.
-
-Words are encoded by the tokenizer's own library, once per task and distinct word, whole, with the
-special strings inside texts handled as the library does by default.
-
-Defined cases: null and empty texts have 0 tokens; texts of any length are counted whole; repeated
-rows are counted alike; an empty table gives an empty result.
+For every prefix of every text, sign by sign, the exact number of tokens of that prefix (taken as a
+text of its own) is computed once and stored. Counts, truncation and budgets are then look-ups; no
+text is encoded again.
+
+1. White space is dropped by the tokenizer and never joined across, and so are the ends of its own
+   splits (a run of letters, one number, a run of other signs, a contraction), so what stands before
+   a split adds a fixed count: ``count[k] = count[start of the split] + inside[k]``.
+2. Inside a split the program runs over its bytes. Any run of neighbouring tokens of an encoding is
+   itself an encoding, and a row of tokens is one when every two neighbours are. So the encoding of
+   a prefix is that of a shorter prefix plus one last token which agrees with the token before it:
+   ``open[i] = open[j] + 1`` for the one token from j to i that agrees. A prefix that ends a text
+   ends with a token that marks the end of a word, which is looked up from ``open`` in the same way.
+3. The table has one row per document: the count after every ``BLOCK`` signs and at the end
+   (``marks``), and the difference from each prefix to the next (``steps``), a byte a sign.
+
+Each different word is worked out once per task. A special string counts as one token where it is
+whole and as plain text where a prefix cuts it, as the library does by default.
+
+Words that Unicode composition changes (decomposed accents) are the one exception in step 2: there
+the library counts each prefix of a stretch between safe cuts while the table is built, which takes
+the square of that stretch's length. All other work is linear in the text.
+
+Defined cases: null and empty texts have 0 tokens and an empty table; texts of any length are
+counted whole; rows are counted one by one, so repeated rows and null or shared doc_ids are counted
+alike; further columns are not read; an empty table gives an empty result.
 """
 
+import json
 import os
 import re
-from bisect import bisect_right
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,67 +40,228 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.words import WORD
+from ledgerlake.llm.words import WORD, byte_slices
+from ledgerlake.sources.scratch import stored
 
 LIMIT = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words longer than this many signs are encoded again when met again; distinct words kept per task.
-KEPT_LENGTH, KEPT_WORDS = 64, 400_000
+#: Signs between two stored counts.
+BLOCK = 256
+#: Words longer than this many signs are worked out again when met again.
+KEPT_LENGTH = 64
+#: Distinct words, splits and pairs of tokens remembered per task.
+KEPT_WORDS, KEPT_SPLITS, KEPT_PAIRS = 300_000, 150_000, 300_000
+
+# The contractions that the vocabulary's splits keep whole, and its mark of a word's end.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+WORD_END = "</w>"
+
+_PARTS = re.compile(rf"{WORD}|[\x20\x09-\x0D]+")
+#: Where a word may be cut although composition changes it: left and right are encoded alike on their own.
+_SAFE = re.compile(r"(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+
+LETTER, NUMBER, OTHER, SPACE = range(4)
 
 
 class PrefixCounter:
-    """Counts tokens of prefixes for one vocabulary file."""
+    """Counts the tokens of every prefix for one vocabulary file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        model = described["model"]
+        if model["type"] != "BPE" or model.get("end_of_word_suffix") != WORD_END or model.get("ignore_merges"):
+            raise ValueError(f"{path}: a BPE vocabulary that marks the ends of words is needed")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, int] = {}
-        self.split = re.compile(WORD)
-
-    def encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        """Have the counts of all these words in ``known``."""
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.encode(new), strict=True))
-
-    def forget(self, words: set[str]) -> None:
-        """Keep memory flat: long words go at once, all others when there are too many."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-            return
-        for word in words:
-            if len(word) > KEPT_LENGTH:
-                self.known.pop(word, None)
-
-    def totals(self, texts: list[str | None]) -> list[int]:
-        """The last entry of each text's prefix table."""
-        split = [self.split.findall(t) if t else [] for t in texts]
-        words = set().union(*split)
-        self.learn(words)
-        totals = [sum(map(self.known.__getitem__, found)) for found in split]
-        self.forget(words)
-        return totals
-
-    def table(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """End of every word (in signs) and the exact count of the prefix that ends there."""
-        found = [(m.end(), m.group()) for m in self.split.finditer(text or "")]
-        words = {w for _, w in found}
-        self.learn(words)
-        ends = np.fromiter((e for e, _ in found), np.int64, len(found))
-        counts = np.cumsum(np.fromiter((self.known[w] for _, w in found), np.int64, len(found)))
-        self.forget(words)
-        return ends, counts
-
-    @lru_cache(maxsize=50_000)  # noqa: B019  one counter lives as long as its process
-    def inside(self, word: str) -> tuple[int, ...]:
-        """Exact count of every prefix of one word, from one sign to all."""
-        return tuple(self.encode([word[:k] for k in range(1, len(word) + 1)]))
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        self.ranks = {(left, right): rank for rank, (left, right) in enumerate(merges)}
+        self.inner = {t for t in model["vocab"] if not t.endswith(WORD_END)}
+        self.final = {t.removesuffix(WORD_END): t for t in model["vocab"] if t.endswith(WORD_END)}
+        self.longest = max(map(len, self.inner | self.final.keys()))
+        special = sorted((t["content"] for t in described["added_tokens"]), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.known: dict[str, bytes] = {}
+        self.splits: dict[str, array] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.signs: dict[str, list[tuple[str, int, str]]] = {}
+
+    # ---- one split
+
+    def agree(self, left: str, right: str) -> bool:
+        """Do these two tokens stay as they are when encoded together? ``left`` may be empty."""
+        key = (left, right)
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self.merged(left, right) == ([left, right] if left else [right])
+        return found
+
+    def merged(self, left: str, right: str) -> list[str]:
+        """The encoding of two short strings written together, the lowest rank first."""
+        end = right.endswith(WORD_END)
+        parts = list(left + (right.removesuffix(WORD_END) if end else right))
+        if end:
+            parts[-1] += WORD_END
+        while len(parts) > 1:
+            ranks = [self.ranks.get(pair, len(self.ranks)) for pair in zip(parts, parts[1:], strict=False)]
+            least = min(ranks)
+            if least == len(self.ranks):
+                break
+            at = ranks.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def inside(self, split: str) -> array:
+        """Tokens of every prefix of one split (in the vocabulary's byte signs), each taken as a whole text."""
+        found = self.splits.get(split)
+        if found is not None:
+            return found
+        inner, final, agree = self.inner, self.final, self.agree
+        counts = array("i")
+        last, opened, start = [""], [0], 0  # the states of positions start, start + 1, ...
+        for i in range(1, len(split) + 1):
+            token, count, closed = "", 0, 0
+            for j in range(max(0, i - self.longest), i):
+                piece = split[j:i]
+                if not token and piece in inner and agree(last[j - start], piece):
+                    token, count = piece, opened[j - start] + 1
+                if not closed and piece in final and agree(last[j - start], final[piece]):
+                    closed = opened[j - start] + 1
+                if token and closed:
+                    break
+            last.append(token)
+            opened.append(count)
+            counts.append(closed)
+            if len(last) > 8192:  # only the last few states are read again
+                start += len(last) - self.longest
+                del last[: -self.longest], opened[: -self.longest]
+        if len(split) <= KEPT_LENGTH:
+            if len(self.splits) >= KEPT_SPLITS:
+                self.splits.clear()
+            self.splits[split] = counts
+        return counts
+
+    # ---- one word
+
+    def described(self, sign: str) -> list[tuple[str, int, str]]:
+        """A sign as the library sees it: normalised signs, the kind of each, and its byte signs."""
+        found = self.signs.get(sign)
+        if found is None:
+            found = self.signs[sign] = []
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            for s in self.tokenizer.normalizer.normalize_str(sign):
+                alone = cut(s)
+                if not alone:
+                    kind = SPACE
+                elif len(cut("a" + s)) == 1:
+                    kind = LETTER
+                else:
+                    kind = NUMBER if len(cut(s + s)) == 2 else OTHER
+                found.append((s, kind, alone[0][0] if alone else ""))
+        return found
+
+    def plain(self, word: str) -> list[int]:
+        """Tokens of every prefix of a composed word without special strings."""
+        signs = [self.described(s) for s in word]
+        flat = [s for sign in signs for s in sign]
+        counts, before, at = [], 0, 0
+        while at < len(flat):
+            sign, kind, _ = flat[at]
+            if kind == SPACE:
+                counts.append(before)
+                at += 1
+                continue
+            whole = ""
+            if sign == "'":
+                ahead = "".join(s for s, _, _ in flat[at : at + 3])
+                whole = next((c for c in CONTRACTIONS if ahead.startswith(c)), "")
+            end = at + 1
+            if whole:
+                end = at + len(whole)
+            elif kind != NUMBER:
+                while end < len(flat) and flat[end][1] == kind:
+                    end += 1
+            parts = [b for _, _, b in flat[at:end]]
+            inside = self.inside("".join(parts))
+            if whole:  # cut short, it is an apostrophe and letters
+                apostrophe = self.inside(parts[0])[-1]
+                counts.append(before + apostrophe)
+                rest = self.inside("".join(parts[1:-1])) if len(parts) > 2 else ()
+                counts.extend(before + apostrophe + c for c in rest)
+                counts.append(before + inside[-1])
+            else:
+                place = -1
+                for part in parts:
+                    place += len(part)
+                    counts.append(before + inside[place])
+            before += inside[-1]
+            at = end
+        if len(flat) == len(word) and all(signs):
+            return counts
+        out, at = [], 0
+        for sign in signs:
+            at += len(sign)
+            out.append(counts[at - 1] if at else 0)
+        return out
+
+    def composed(self, word: str) -> list[int]:
+        """Tokens of every prefix of a word whose signs compose, counted by the library between safe cuts."""
+        counts, before = [], 0
+        edges = [*dict.fromkeys([0, *(m.start() for m in _SAFE.finditer(word)), len(word)])]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if unicodedata.is_normalized("NFC", word[start:end]):
+                counts.extend(before + c for c in self.plain(word[start:end]))
+            else:
+                for at in range(start + 1, end + 1, 256):
+                    prefixes = [word[start:k] for k in range(at, min(at + 256, end + 1))]
+                    found = self.tokenizer.encode_batch_fast(prefixes, add_special_tokens=False)
+                    counts.extend(before + len(e.ids) for e in found)
+            before = counts[-1]
+        return counts
+
+    def ordinary(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():
+            return self.inside(word.lower()).tolist()
+        return self.plain(word) if unicodedata.is_normalized("NFC", word) else self.composed(word)
+
+    def prefixes(self, word: str) -> list[int]:
+        """Tokens of every prefix of a word, from one sign to all."""
+        counts, before, start = [], 0, 0
+        for m in self.special.finditer(word):
+            # all but its last sign is plain text that goes on from what stands before it
+            cut = self.ordinary(word[start : m.end() - 1])
+            counts.extend(before + c for c in cut)
+            before += (cut[m.start() - start - 1] if m.start() > start else 0) + 1
+            counts.append(before)
+            start = m.end()
+        if start < len(word):
+            counts.extend(before + c for c in self.ordinary(word[start:]))
+        return counts
+
+    # ---- whole texts
+
+    def __call__(self, text: str) -> np.ndarray:
+        """The difference that each sign of a text makes to the count of its prefix."""
+        known, parts = self.known, _PARTS.findall(text)
+        steps = []
+        for part in parts:
+            found = known.get(part)
+            if found is None:
+                found = bytes(4 * len(part))
+                if part[0] not in " \t\n\x0b\x0c\r":
+                    found = np.diff(np.array(self.prefixes(part), np.int32), prepend=np.int32(0)).tobytes()
+                if len(part) <= KEPT_LENGTH:
+                    if len(known) >= KEPT_WORDS:
+                        known.clear()
+                    known[part] = found
+            steps.append(found)
+        return np.frombuffer(b"".join(steps), np.int32)
 
 
 @lru_cache(maxsize=4)
@@ -97,60 +275,91 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def prefix_at(text: str, signs: int, ends: list[int], counts: list[int], path: str) -> int:
-    """Exact number of tokens of ``text[:signs]``, from the stored table of its words."""
-    k = bisect_right(ends, signs)
-    before, start = (counts[k - 1], ends[k - 1]) if k else (0, 0)
-    rest = text[start:signs].lstrip("\x20\t\n\x0b\x0c\r")
-    if not rest:
-        return before
-    word = counter(path).split.match(text, signs - len(rest)).group()
-    return before + counter(path).inside(word)[len(rest) - 1]
+def packed(steps: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The stored form of a text's steps: counts after every block and at the end, and the steps as bytes."""
+    if not len(steps):
+        return np.zeros(1, np.int64), b""
+    marks = np.cumsum(np.add.reduceat(steps, np.arange(0, len(steps), BLOCK)), dtype=np.int64)
+    narrow = steps.min() >= -128 and steps.max() <= 127
+    return marks, steps.astype(np.int8).tobytes() if narrow else steps.tobytes()
 
 
-def cut_at(budget: int, ends: list[int], counts: list[int]) -> int:
-    """Most signs of a text that end at a word and have at most ``budget`` tokens."""
-    k = bisect_right(counts, budget)
-    return ends[k - 1] if k else 0
+def unpacked(signs: int, steps: bytes) -> np.ndarray:
+    return np.frombuffer(steps, np.int8 if len(steps) == signs else np.int32)
 
 
-def count_tokens(documents: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every whole text."""
-    path = path or vocabulary()
+def prefix_at(row: dict, signs: int) -> int:
+    """Exact number of tokens of a text's first ``signs`` signs, from its row of the table."""
+    signs = min(signs, row["n_signs"])
+    block = signs // BLOCK
+    before = row["marks"][block - 1] if block else 0
+    return int(before + unpacked(row["n_signs"], row["steps"])[block * BLOCK : signs].sum(dtype=np.int64))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = counter(path)
-        for batch in batches:
-            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                totals = pa.array(tables.totals(part.column("text").to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("n_bytes"), totals], ["doc_id", "n_bytes", "n_tokens"]
-                )
 
-    sized = documents.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text"
-    )
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return sized.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+def cut_at(row: dict, budget: int) -> int:
+    """Most signs of a text whose prefix has at most ``budget`` tokens, from its row of the table."""
+    counts = np.cumsum(unpacked(row["n_signs"], row["steps"]), dtype=np.int64)
+    fits = np.flatnonzero(counts <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 def prefix_tables(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id with its table: ``ends`` (signs up to each word's end) and ``counts`` (tokens so far)."""
+    """doc_id, n_bytes, n_signs and the counts of all prefixes (``marks``, ``steps``) of every text."""
     path = path or vocabulary()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = counter(path)
+        count = counter(path)
         for batch in batches:
-            for part in (batch.slice(at, 128) for at in range(0, batch.num_rows, 128)):
-                built = [tables.table(text) for text in part.column("text").to_pylist()]
+            for part in byte_slices(batch, "text", limit=2**21, rows=512):
+                rows = [packed(steps) for steps in map(count, (t or "" for t in part.column("text").to_pylist()))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
-                        pa.array([e for e, _ in built], pa.list_(pa.int64())),
-                        pa.array([c for _, c in built], pa.list_(pa.int64())),
+                        *(part.column(c) for c in ("doc_id", "n_bytes", "n_signs")),
+                        pa.array([m for m, _ in rows], pa.list_(pa.int64())),
+                        pa.array([s for _, s in rows], pa.binary()),
                     ],
-                    ["doc_id", "ends", "counts"],
+                    ["doc_id", "n_bytes", "n_signs", "marks", "steps"],
                 )
 
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ends array<long>, counts array<long>"
-    return documents.select("doc_id", "text").mapInArrow(build, schema)
+    sized = documents.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_signs"),
+        "text",
+    )
+    doc_id = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {doc_id}, n_bytes long, n_signs long, marks array<long>, steps binary"
+    return sized.mapInArrow(build, schema)
+
+
+def budgeted(tables: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """What a table of prefixes says of a budget: n_tokens, over_limit, and the signs that fit (``fit_signs``).
+
+    The whole count is the table's last mark. Steps are read only for texts beyond the budget.
+    """
+    n_tokens = F.element_at("marks", -1)
+    asked = tables.select(
+        "doc_id",
+        "n_bytes",
+        "n_signs",
+        n_tokens.alias("n_tokens"),
+        (n_tokens > limit).alias("over_limit"),
+        F.when(n_tokens > limit, F.col("steps")).alias("steps"),
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("n_signs").to_pylist(), batch.column("steps").to_pylist(), strict=True)
+            fits = [n if s is None else cut_at({"n_signs": n, "steps": s}, limit) for n, s in rows]
+            names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            columns = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(fits, pa.int64())], [*names, "fit_signs"])
+
+    doc_id = tables.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {doc_id}, n_bytes long, n_tokens long, over_limit boolean, fit_signs long"
+    return asked.mapInArrow(cut, schema)
+
+
+def count_tokens(documents: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit and fit_signs of every text, read from its stored prefixes."""
+    return budgeted(stored(prefix_tables(documents, path), "token-prefixes"), limit)
