@@ -34,13 +34,15 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.words import WORD, byte_slices
+from ledgerlake.llm.words import SPACES, WORD, byte_slices
 from ledgerlake.sources.scratch import stored
 
 LIMIT = 2048
@@ -49,14 +51,16 @@ VOCABULARY = "word_bpe_49k.json"
 BLOCK = 256
 #: Words longer than this many signs are worked out again when met again.
 KEPT_LENGTH = 64
-#: Distinct words, splits and pairs of tokens remembered per task.
-KEPT_WORDS, KEPT_SPLITS, KEPT_PAIRS = 300_000, 150_000, 300_000
+#: Distinct words and states remembered per task; states are shared up to this many byte signs of a split.
+KEPT_WORDS, KEPT_STATES, KEPT_PREFIX = 300_000, 500_000, 24
 
 # The contractions that the vocabulary's splits keep whole, and its mark of a word's end.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WORD_END = "</w>"
 
-_PARTS = re.compile(rf"{WORD}|[\x20\x09-\x0D]+")
+BLANK = "\x20\t\n\x0b\x0c\r"
+#: A word with the blank behind it, or a run of white space.
+_PARTS = re.compile(rf"{WORD}\x20?|{SPACES}")
 #: Where a word may be cut although composition changes it: left and right are encoded alike on their own.
 _SAFE = re.compile(r"(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
 
@@ -80,71 +84,100 @@ class PrefixCounter:
         self.tokenizer.no_padding()
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(left, right): rank for rank, (left, right) in enumerate(merges)}
+        formed = {left + right: rank for (left, right), rank in reversed(self.ranks.items())}
+        if any(max(formed.get(p, -1) for p in pair) >= rank for pair, rank in self.ranks.items()):
+            raise ValueError(f"{path}: every merge must come after those of its parts")
         self.inner = {t for t in model["vocab"] if not t.endswith(WORD_END)}
         self.final = {t.removesuffix(WORD_END): t for t in model["vocab"] if t.endswith(WORD_END)}
         self.longest = max(map(len, self.inner | self.final.keys()))
         special = sorted((t["content"] for t in described["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.known: dict[str, bytes] = {}
-        self.splits: dict[str, array] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.states: dict[str, tuple[str, int, int]] = {}
+        self.edges: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]]] = {}
         self.signs: dict[str, list[tuple[str, int, str]]] = {}
 
     # ---- one split
 
-    def agree(self, left: str, right: str) -> bool:
-        """Do these two tokens stay as they are when encoded together? ``left`` may be empty."""
-        key = (left, right)
-        found = self.pairs.get(key)
+    def grown(self, token: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
+        """How a token grows at its right and at its left edge: each part there, with the rank that ends it."""
+        found = self.edges.get(token)
         if found is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(left, right) == ([left, right] if left else [right])
+            parts = list(token.removesuffix(WORD_END))
+            if token != parts[-1]:
+                parts[-1] += token[len(token.removesuffix(WORD_END)) :]
+            right, left = [], []
+            while len(parts) > 1:
+                ranks = [self.ranks.get(pair, inf) for pair in zip(parts, parts[1:], strict=False)]
+                least = min(ranks)
+                if least == inf:
+                    break
+                at = ranks.index(least)
+                if at == len(parts) - 2:
+                    right.append((parts[-1], least))
+                if at == 0:
+                    left.append((parts[0], least))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            whole = parts == [token]
+            found = ([*right, (token, inf)], [*left, (token, inf)]) if whole else ([], [])
+            self.edges[token] = found
         return found
 
-    def merged(self, left: str, right: str) -> list[str]:
-        """The encoding of two short strings written together, the lowest rank first."""
-        end = right.endswith(WORD_END)
-        parts = list(left + (right.removesuffix(WORD_END) if end else right))
-        if end:
-            parts[-1] += WORD_END
-        while len(parts) > 1:
-            ranks = [self.ranks.get(pair, len(self.ranks)) for pair in zip(parts, parts[1:], strict=False)]
-            least = min(ranks)
-            if least == len(self.ranks):
-                break
-            at = ranks.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def inside(self, split: str) -> array:
-        """Tokens of every prefix of one split (in the vocabulary's byte signs), each taken as a whole text."""
-        found = self.splits.get(split)
-        if found is not None:
-            return found
-        inner, final, agree = self.inner, self.final, self.agree
-        counts = array("i")
+    def agree(self, left: str, right: str) -> bool:
+        """Do these two tokens stay as they are when encoded together? ``left`` may be empty.
+
+        They do unless, at some rank, the parts at their meeting edges would rather join each other.
+        """
+        ends, begins = self.grown(left)[0] if left else [("", inf)], self.grown(right)[1]
+        if not begins or not ends:  # a token that its own signs do not give
+            return False
+        a = b = 0
+        ranks = self.ranks
+        while True:
+            x, ends_x = ends[a]
+            y, ends_y = begins[b]
+            joins = ranks.get((x, y), inf)
+            if joins < ends_x and joins <= ends_y:
+                return False
+            if ends_x <= ends_y:
+                if ends_x == inf:
+                    return True
+                a += 1
+            else:
+                b += 1
+
+    def inside(self, split: str) -> list[int]:
+        """Tokens of every prefix of one split (in the vocabulary's byte signs), each taken as a whole text.
+
+        Splits that begin alike share the states of their common prefixes.
+        """
+        inner, final, agree, states = self.inner, self.final, self.agree, self.states
+        counts = []
         last, opened, start = [""], [0], 0  # the states of positions start, start + 1, ...
         for i in range(1, len(split) + 1):
-            token, count, closed = "", 0, 0
-            for j in range(max(0, i - self.longest), i):
-                piece = split[j:i]
-                if not token and piece in inner and agree(last[j - start], piece):
-                    token, count = piece, opened[j - start] + 1
-                if not closed and piece in final and agree(last[j - start], final[piece]):
-                    closed = opened[j - start] + 1
-                if token and closed:
-                    break
-            last.append(token)
-            opened.append(count)
-            counts.append(closed)
+            kept = i <= KEPT_PREFIX
+            state = states.get(split[:i]) if kept else None
+            if state is None:
+                token, count, closed = "", 0, 0
+                for j in range(max(0, i - self.longest), i):
+                    piece = split[j:i]
+                    if not token and piece in inner and agree(last[j - start], piece):
+                        token, count = piece, opened[j - start] + 1
+                    if not closed and piece in final and agree(last[j - start], final[piece]):
+                        closed = opened[j - start] + 1
+                    if token and closed:
+                        break
+                state = token, count, closed
+                if kept:
+                    if len(states) >= KEPT_STATES:
+                        states.clear()
+                    states[split[:i]] = state
+            last.append(state[0])
+            opened.append(state[1])
+            counts.append(state[2])
             if len(last) > 8192:  # only the last few states are read again
                 start += len(last) - self.longest
                 del last[: -self.longest], opened[: -self.longest]
-        if len(split) <= KEPT_LENGTH:
-            if len(self.splits) >= KEPT_SPLITS:
-                self.splits.clear()
-            self.splits[split] = counts
         return counts
 
     # ---- one word
@@ -192,7 +225,7 @@ class PrefixCounter:
             if whole:  # cut short, it is an apostrophe and letters
                 apostrophe = self.inside(parts[0])[-1]
                 counts.append(before + apostrophe)
-                rest = self.inside("".join(parts[1:-1])) if len(parts) > 2 else ()
+                rest = self.inside("".join(parts[1:-1]))
                 counts.extend(before + apostrophe + c for c in rest)
                 counts.append(before + inside[-1])
             else:
@@ -227,7 +260,7 @@ class PrefixCounter:
 
     def ordinary(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
-            return self.inside(word.lower()).tolist()
+            return self.inside(word.lower())
         return self.plain(word) if unicodedata.is_normalized("NFC", word) else self.composed(word)
 
     def prefixes(self, word: str) -> list[int]:
@@ -246,21 +279,24 @@ class PrefixCounter:
 
     # ---- whole texts
 
+    def steps(self, part: str) -> bytes:
+        """The difference that each sign of a word, and of white space around it, makes to the count."""
+        word = part.strip(BLANK)
+        counts = self.prefixes(word) if word else []
+        return array("i", map(sub, counts, [0, *counts])).tobytes() + bytes(4 * (len(part) - len(word)))
+
     def __call__(self, text: str) -> np.ndarray:
         """The difference that each sign of a text makes to the count of its prefix."""
         known, parts = self.known, _PARTS.findall(text)
-        steps = []
-        for part in parts:
-            found = known.get(part)
+        steps = list(map(known.get, parts))
+        for at, found in enumerate(steps):
             if found is None:
-                found = bytes(4 * len(part))
-                if part[0] not in " \t\n\x0b\x0c\r":
-                    found = np.diff(np.array(self.prefixes(part), np.int32), prepend=np.int32(0)).tobytes()
+                part = parts[at]
+                found = steps[at] = known.get(part) or self.steps(part)
                 if len(part) <= KEPT_LENGTH:
                     if len(known) >= KEPT_WORDS:
                         known.clear()
                     known[part] = found
-            steps.append(found)
         return np.frombuffer(b"".join(steps), np.int32)
 
 
