@@ -32,8 +32,9 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 from math import inf
 from operator import sub
 
@@ -51,8 +52,9 @@ VOCABULARY = "word_bpe_49k.json"
 BLOCK = 256
 #: Words longer than this many signs are worked out again when met again.
 KEPT_LENGTH = 64
-#: Distinct words and states remembered per task; states are shared up to this many byte signs of a split.
-KEPT_WORDS, KEPT_STATES, KEPT_PREFIX = 300_000, 500_000, 24
+#: Distinct words remembered per task (the last ones and as many before them), pairs of tokens, and states of the
+#: program, which are shared up to this many byte signs of a split.
+KEPT_WORDS, KEPT_PAIRS, KEPT_STATES, KEPT_PREFIX = 500_000, 300_000, 400_000, 24
 
 # The contractions that the vocabulary's splits keep whole, and its mark of a word's end.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -64,7 +66,19 @@ _PARTS = re.compile(rf"{WORD}\x20?|{SPACES}")
 #: Where a word may be cut although composition changes it: left and right are encoded alike on their own.
 _SAFE = re.compile(r"(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
 
-LETTER, NUMBER, OTHER, SPACE = range(4)
+LETTER, NUMBER, OTHER, SPACE = "LNOS"
+_SPLITS = re.compile("L+|N|O+|S+")
+
+
+class _Learned(dict):
+    """What a function says of each sign, asked once."""
+
+    def __init__(self, ask: Callable[[str], str]):
+        self.ask = ask
+
+    def __missing__(self, sign: str) -> str:
+        found = self[sign] = self.ask(sign)
+        return found
 
 
 class PrefixCounter:
@@ -89,46 +103,58 @@ class PrefixCounter:
             raise ValueError(f"{path}: every merge must come after those of its parts")
         self.inner = {t for t in model["vocab"] if not t.endswith(WORD_END)}
         self.final = {t.removesuffix(WORD_END): t for t in model["vocab"] if t.endswith(WORD_END)}
-        self.longest = max(map(len, self.inner | self.final.keys()))
+        self.either = self.inner | self.final.keys()
+        self.longest = max(map(len, self.either))
         special = sorted((t["content"] for t in described["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kinds, self.bytes = _Learned(self.kind), _Learned(lambda sign: self.described(sign)[0][2])
         self.states: dict[str, tuple[str, int, int]] = {}
-        self.edges: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]]] = {}
-        self.signs: dict[str, list[tuple[str, int, str]]] = {}
+        nothing = [("", inf)]
+        self.edges: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]]] = {"": (nothing, nothing)}
+        self.signs: dict[str, list[tuple[str, str, str]]] = {}
 
     # ---- one split
 
     def grown(self, token: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
         """How a token grows at its right and at its left edge: each part there, with the rank that ends it."""
-        found = self.edges.get(token)
-        if found is None:
-            parts = list(token.removesuffix(WORD_END))
-            if token != parts[-1]:
-                parts[-1] += token[len(token.removesuffix(WORD_END)) :]
-            right, left = [], []
-            while len(parts) > 1:
-                ranks = [self.ranks.get(pair, inf) for pair in zip(parts, parts[1:], strict=False)]
-                least = min(ranks)
-                if least == inf:
-                    break
-                at = ranks.index(least)
-                if at == len(parts) - 2:
-                    right.append((parts[-1], least))
-                if at == 0:
-                    left.append((parts[0], least))
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            whole = parts == [token]
-            found = ([*right, (token, inf)], [*left, (token, inf)]) if whole else ([], [])
-            self.edges[token] = found
+        parts = list(token.removesuffix(WORD_END))
+        if token.endswith(WORD_END):
+            parts[-1] += WORD_END
+        right, left = [], []
+        while len(parts) > 1:
+            ranks = [self.ranks.get(pair, inf) for pair in zip(parts, parts[1:], strict=False)]
+            least = min(ranks)
+            if least == inf:
+                break
+            at = ranks.index(least)
+            if at == len(parts) - 2:
+                right.append((parts[-1], least))
+            if at == 0:
+                left.append((parts[0], least))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        whole = parts == [token]
+        found = self.edges[token] = ([*right, (token, inf)], [*left, (token, inf)]) if whole else ([], [])
         return found
 
     def agree(self, left: str, right: str) -> bool:
+        key = left, right
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = self.agreed(left, right)
+        return found
+
+    def agreed(self, left: str, right: str) -> bool:
         """Do these two tokens stay as they are when encoded together? ``left`` may be empty.
 
         They do unless, at some rank, the parts at their meeting edges would rather join each other.
         """
-        ends, begins = self.grown(left)[0] if left else [("", inf)], self.grown(right)[1]
+        ends, begins = self.edges.get(left) or self.grown(left), self.edges.get(right) or self.grown(right)
+        ends, begins = ends[0], begins[1]
         if not begins or not ends:  # a token that its own signs do not give
             return False
         a = b = 0
@@ -146,43 +172,52 @@ class PrefixCounter:
             else:
                 b += 1
 
+    def state(self, split: str, i: int, states: list[tuple[str, int, int]], start: int) -> tuple[str, int, int]:
+        """Last token and count of the open prefix of ``i`` signs, and the count of that prefix as a whole text.
+
+        ``states`` has those of the positions from ``start`` on.
+        """
+        token, count, closed = "", 0, 0
+        for j in range(max(0, i - self.longest), i):
+            piece = split[j:i]
+            if piece in self.either:
+                last, before, _ = states[j - start]
+                if not token and piece in self.inner and self.agree(last, piece):
+                    token, count = piece, before + 1
+                    if closed:
+                        break
+                if not closed and piece in self.final and self.agree(last, self.final[piece]):
+                    closed = before + 1
+                    if token:
+                        break
+        return token, count, closed
+
     def inside(self, split: str) -> list[int]:
         """Tokens of every prefix of one split (in the vocabulary's byte signs), each taken as a whole text.
 
         Splits that begin alike share the states of their common prefixes.
         """
-        inner, final, agree, states = self.inner, self.final, self.agree, self.states
-        counts = []
-        last, opened, start = [""], [0], 0  # the states of positions start, start + 1, ...
-        for i in range(1, len(split) + 1):
-            kept = i <= KEPT_PREFIX
-            state = states.get(split[:i]) if kept else None
+        known, walked = self.states, [("", 0, 0)]
+        for i in range(1, min(len(split), KEPT_PREFIX) + 1):
+            state = known.get(split[:i])
             if state is None:
-                token, count, closed = "", 0, 0
-                for j in range(max(0, i - self.longest), i):
-                    piece = split[j:i]
-                    if not token and piece in inner and agree(last[j - start], piece):
-                        token, count = piece, opened[j - start] + 1
-                    if not closed and piece in final and agree(last[j - start], final[piece]):
-                        closed = opened[j - start] + 1
-                    if token and closed:
-                        break
-                state = token, count, closed
-                if kept:
-                    if len(states) >= KEPT_STATES:
-                        states.clear()
-                    states[split[:i]] = state
-            last.append(state[0])
-            opened.append(state[1])
+                if len(known) >= KEPT_STATES:
+                    known.clear()
+                state = known[split[:i]] = self.state(split, i, walked, 0)
+            walked.append(state)
+        counts, start = [c for _, _, c in walked[1:]], 0
+        for i in range(len(walked), len(split) + 1):
+            state = self.state(split, i, walked, start)
+            walked.append(state)
             counts.append(state[2])
-            if len(last) > 8192:  # only the last few states are read again
-                start += len(last) - self.longest
-                del last[: -self.longest], opened[: -self.longest]
+            if len(walked) > 8192:  # only the last few states are read again
+                start += len(walked) - self.longest
+                del walked[: -self.longest]
         return counts
 
     # ---- one word
 
-    def described(self, sign: str) -> list[tuple[str, int, str]]:
+    def described(self, sign: str) -> list[tuple[str, str, str]]:
         """A sign as the library sees it: normalised signs, the kind of each, and its byte signs."""
         found = self.signs.get(sign)
         if found is None:
@@ -199,8 +234,34 @@ class PrefixCounter:
                 found.append((s, kind, alone[0][0] if alone else ""))
         return found
 
+    def kind(self, sign: str) -> str:
+        """The kind of a sign that the library keeps as one sign; a question mark for others and apostrophes."""
+        seen = self.described(sign)
+        return seen[0][1] if len(seen) == 1 and sign != "'" else "?"
+
     def plain(self, word: str) -> list[int]:
         """Tokens of every prefix of a composed word without special strings."""
+        kinds = "".join(map(self.kinds.__getitem__, word))
+        if "?" in kinds:
+            return self.uneven(word)
+        counts, before = [], 0
+        for m in _SPLITS.finditer(kinds):
+            run = word[m.start() : m.end()]
+            if m.group()[0] == SPACE:
+                counts += [before] * len(run)
+                continue
+            if run.isascii():
+                inside = self.inside(run.lower())
+            else:
+                parts = list(map(self.bytes.__getitem__, run))
+                every = self.inside("".join(parts))
+                inside = [every[end - 1] for end in accumulate(map(len, parts))]
+            counts += [before + c for c in inside] if before else inside
+            before = counts[-1]
+        return counts
+
+    def uneven(self, word: str) -> list[int]:
+        """The same for a word with contractions, or with signs that become several."""
         signs = [self.described(s) for s in word]
         flat = [s for sign in signs for s in sign]
         counts, before, at = [], 0, 0
@@ -292,10 +353,11 @@ class PrefixCounter:
         for at, found in enumerate(steps):
             if found is None:
                 part = parts[at]
-                found = steps[at] = known.get(part) or self.steps(part)
+                found = steps[at] = known.get(part) or self.older.get(part) or self.steps(part)
                 if len(part) <= KEPT_LENGTH:
                     if len(known) >= KEPT_WORDS:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[part] = found
         return np.frombuffer(b"".join(steps), np.int32)
 

@@ -451,18 +451,45 @@ def test_token_counts_are_those_of_the_library(spark, given, awkward, empty):
     assert tokens.count_tokens(empty).collect() == []
 
 
-def test_prefix_tables_answer_every_prefix(spark):
+def prefix_texts():
+    """Splits, contractions, special strings whole and cut, composed and decomposed signs, no white space at all."""
+    rng = random.Random(3)
+    signs = "abcdetnoshi'’.,-!<|>1²éÉ你の🙂😂̧́ \n İßΣSTRLV"
+    return [
+        "The  quick\tbrown-fox's 12345 naïve caféé\n<|endoftext|>x thonouantionhe",
+        "don't'll we'rex '' 'l 'r 're!'s !<|endoftext|>'s <|endoftext|>x<|startoftext|><|END",
+        "İstanbul ΣΑΣ e\u0301x\u0301'\u0327s 你好。世界🙂🙂😂😂😂\u2003 \xa0a\u0301b c\u0327",
+        "か\u3099き\u3099123abc!!か\u3099 한\u11a8글 \u212b",
+        "x" * 300 + "=" * 100,
+        *("".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(300)),
+    ]
+
+
+def test_stored_prefixes_answer_every_prefix_and_budget(spark):
     from tokenizers import Tokenizer
 
-    text = "The  quick\tbrown-fox's 12345 naïve caféé\n<|endoftext|>x thonouantionhe"
-    row = tokens.prefix_tables(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
-    table = {r["doc_id"]: r for r in row}
-    ends, counts = table[1]["ends"], table[1]["counts"]
     library = Tokenizer.from_file(tokens.vocabulary())
-    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    for signs in range(len(text) + 1):
-        assert tokens.prefix_at(text, signs, ends, counts, tokens.vocabulary()) == count(text[:signs])
-    for budget in range(counts[-1] + 2):
-        cut = tokens.cut_at(budget, ends, counts)
-        assert count(text[:cut]) <= budget
-    assert table[2]["ends"] == [] and tokens.cut_at(5, [], []) == 0
+    texts = prefix_texts()
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "doc_id long, text string")
+    table = {r["doc_id"]: r.asDict() for r in tokens.prefix_tables(rows).collect()}
+    for key, text in enumerate(texts):
+        encoded = library.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)
+        counts = [len(e.ids) for e in encoded]
+        assert [tokens.prefix_at(table[key], k) for k in range(len(text) + 1)] == counts
+        for budget in range(counts[-1] + 2):
+            assert tokens.cut_at(table[key], budget) == max(k for k, n in enumerate(counts) if n <= budget)
+    for key in (-1, -2):
+        assert table[key]["n_signs"] == 0 and tokens.prefix_at(table[key], 9) == tokens.cut_at(table[key], 5) == 0
+
+
+def test_budgets_are_read_from_the_table(spark):
+    texts = ["one two three four five", "你好" * 400, None, "x" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = tokens.prefix_tables(rows)
+    kept = {r["doc_id"]: r.asDict() for r in table.collect()}
+    for limit in (0, 3, 2048):
+        for r in tokens.budgeted(table, limit).collect():
+            assert r["n_tokens"] == tokens.prefix_at(kept[r["doc_id"]], 10**9)
+            assert r["over_limit"] == (r["n_tokens"] > limit)
+            whole = len(texts[r["doc_id"]] or "")
+            assert r["fit_signs"] == (tokens.cut_at(kept[r["doc_id"]], limit) if r["over_limit"] else whole)
