@@ -54,7 +54,7 @@ BLOCK = 256
 KEPT_LENGTH = 64
 #: Distinct words remembered per task (the last ones and as many before them), pairs of tokens, and states of the
 #: program, which are shared up to this many byte signs of a split.
-KEPT_WORDS, KEPT_PAIRS, KEPT_STATES, KEPT_PREFIX = 500_000, 300_000, 400_000, 24
+KEPT_WORDS, KEPT_PAIRS, KEPT_STATES, KEPT_PREFIX = 600_000, 300_000, 400_000, 24
 
 # The contractions that the vocabulary's splits keep whole, and its mark of a word's end.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -106,6 +106,7 @@ class PrefixCounter:
         self.either = self.inner | self.final.keys()
         self.longest = max(map(len, self.either))
         special = sorted((t["content"] for t in described["added_tokens"]), key=len, reverse=True)
+        self.other_special = any("<" not in t for t in special)
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -140,12 +141,10 @@ class PrefixCounter:
         return found
 
     def agree(self, left: str, right: str) -> bool:
-        key = left, right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.agreed(left, right)
+        """What :meth:`agreed` says, remembered in ``pairs``."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left, right] = self.agreed(left, right)
         return found
 
     def agreed(self, left: str, right: str) -> bool:
@@ -178,18 +177,24 @@ class PrefixCounter:
         ``states`` has those of the positions from ``start`` on.
         """
         token, count, closed = "", 0, 0
+        either, inner, final, pairs = self.either, self.inner, self.final, self.pairs
         for j in range(max(0, i - self.longest), i):
             piece = split[j:i]
-            if piece in self.either:
+            if piece in either:
                 last, before, _ = states[j - start]
-                if not token and piece in self.inner and self.agree(last, piece):
-                    token, count = piece, before + 1
-                    if closed:
-                        break
-                if not closed and piece in self.final and self.agree(last, self.final[piece]):
-                    closed = before + 1
-                    if token:
-                        break
+                if not token and piece in inner:
+                    agree = pairs.get((last, piece))
+                    if agree if agree is not None else self.agree(last, piece):
+                        token, count = piece, before + 1
+                        if closed:
+                            break
+                if not closed and piece in final:
+                    ending = final[piece]
+                    agree = pairs.get((last, ending))
+                    if agree if agree is not None else self.agree(last, ending):
+                        closed = before + 1
+                        if token:
+                            break
         return token, count, closed
 
     def inside(self, split: str) -> list[int]:
@@ -326,6 +331,8 @@ class PrefixCounter:
 
     def prefixes(self, word: str) -> list[int]:
         """Tokens of every prefix of a word, from one sign to all."""
+        if "<" not in word and not self.other_special:
+            return self.ordinary(word)
         counts, before, start = [], 0, 0
         for m in self.special.finditer(word):
             # all but its last sign is plain text that goes on from what stands before it
