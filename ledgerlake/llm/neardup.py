@@ -26,11 +26,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.graph import components
-from ledgerlake.llm.words import SIMILARITY, hashed_words, release, shielded, shingle_hashes, slices
+from ledgerlake.llm.words import SIMILARITY, free_name, hashed_words, release, shielded, shingle_hashes, slices
 from ledgerlake.sources.scratch import discard, stored
 
 COORDINATES = 64
@@ -344,15 +345,37 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def file_places(documents: DataFrame) -> Column | None:
+    """A number for every row, from its file and its place in it, that is the same whenever the file is read.
+
+    None where rows do not come from such files, or where two rows have one number (rows that were
+    multiplied after the scan, or files whose hashes meet).
+    """
+    try:
+        at = documents.metadataColumn("_metadata")
+        place = F.xxhash64(at["file_path"], at["row_index"])
+        numbers = documents.select(place.alias("place"))
+    except AnalysisException:
+        return None
+    shared = numbers.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1")
+    return place if shared.isEmpty() else None
+
+
+def keep_one(documents: DataFrame, place: Column | None = None) -> DataFrame:
     """One row of each group of near duplicates (that of the smallest doc_id), all columns as they were.
 
     Rows are told apart by a number of their own, so those that share a doc_id stay or go each by
-    its text. All columns are carried as they are, whatever their names.
+    its text: by ``place`` (see :func:`file_places`) where the documents are files that may be read
+    again, else by numbers under which the rows are stored once more. All columns are carried as
+    they are, whatever their names.
     """
-    documents, carried = shielded(documents, "doc_id", "text")
-    # written once: all who read it see the same numbers
-    rows = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    own = free_name("_row", documents)
+    number = F.monotonically_increasing_id() if place is None else place
+    rows, carried = shielded(documents.withColumn(own, number), "doc_id", "text")
+    row, carried = rows.columns[-1], carried[:-1]
+    if place is None:
+        rows = stored(rows, "near-rows")  # written once: all who read it see the same numbers
+    rows = rows.withColumnRenamed(row, "_row")
     ids = rows.filter("doc_id IS NOT NULL").select("_row", F.col("doc_id").alias("_id"))
     texts = rows.filter("doc_id IS NOT NULL").select(F.col("_row").alias("doc_id"), "text")
     grouped = near_duplicates(texts).filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")

@@ -39,6 +39,27 @@ def test_operators_with_counts_of_the_caller(spark, docs):
     assert quality.keep_good(some, queries.table(spark, SF, "labels")).columns == some.columns
 
 
+def test_rows_of_files_are_not_stored_again(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text), (1, text), (1, "other words"), (2, text + " more"), (None, text), (3, None), (3, ""), (4, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("x"))
+    df.repartition(3).write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    assert neardup.file_places(df) is None
+    twice = files.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert neardup.file_places(twice) is None
+    assert neardup.file_places(files.unionByName(files)) is None
+    assert neardup.file_places(files) is not None
+    seen = lambda out: sorted((r["doc_id"] or 0, r["text"] or "-", r["_row"]) for r in out.collect())
+    left = [(0, text, "x"), (1, "other words", "x"), (1, text, "x"), (3, "", "x"), (3, "-", "x")]
+    left = sorted((i, t or "-", x) for i, t, x in left)
+    assert seen(neardup.keep_one(files, neardup.file_places(files))) == left
+    assert seen(neardup.keep_one(files)) == left
+    # rows without an id or a text are kept, each of them
+    both = sorted(left + [r for r in left if r[0] in (0, 3)])
+    assert seen(corpus_pipeline.near_dedup(spark, twice, SF)) == both
+
+
 def test_leaks_go_by_the_text_of_a_row(spark):
     item = " ".join(f"w{k}" for k in range(20))
     half, rest = " ".join(f"w{k}" for k in range(12)), " ".join(f"w{k}" for k in range(8, 20))
