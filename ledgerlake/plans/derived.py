@@ -168,9 +168,9 @@ def payment_records(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         ("l_extendedprice", "asc"),
     )
     lines = running_sums(
-        lineitem.select("l_orderkey", *(c for c, _ in order), "l_returnflag").withColumn(
-            "amount", amount
-        ),
+        lineitem.filter("l_orderkey IS NOT NULL")  # such lines have no order
+        .select("l_orderkey", *(c for c, _ in order), "l_returnflag")
+        .withColumn("amount", amount),
         "l_orderkey",
         [F.struct("l_linenumber", F.floor(F.col("l_partkey") / PART_RANGE).alias("part_range"))],
         order,
@@ -185,15 +185,13 @@ def payment_records(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     requested = F.when(F.col("k") == 1, _move("requested", F.lit(0), F.lit(0)))
     completed = _move("completed", F.col("k"), F.col("collected"))
     refunded = F.when(returned, _move("refunded", F.col("j"), F.col("refunded")))
-    rows = lines.select(
-        "l_orderkey",
-        "request",
-        "amount",
-        F.explode(F.array_compact(F.array(requested, completed, refunded))).alias("move"),
-    ).select("l_orderkey", "request", "amount", "move.*")
     keys = orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = rows.join(keys, rows.l_orderkey == keys.o_orderkey)
-    return _payment_payload(joined)
+    # lines lie by order already, so they are joined before each becomes up to three moves
+    met = lines.select(
+        "l_orderkey", "request", "amount", F.array_compact(F.array(requested, completed, refunded)).alias("moves")
+    ).join(keys, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = met.select(*keys.columns, "request", "amount", F.explode("moves").alias("move"))
+    return _payment_payload(rows.select(*keys.columns, "request", "amount", "move.*"))
 
 
 def _move(kind: str, n: Column, running: Column) -> Column:
