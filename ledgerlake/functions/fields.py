@@ -1,12 +1,14 @@
 """JSON fields to typed columns, with "present but not castable" detection."""
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt_record"
+_RAW = "_raw"
 
 
 def json_schema(fields: dict[str, str], corrupt: bool = False) -> str:
@@ -20,38 +22,38 @@ def read_json(payload: Column, fields: dict[str, str], corrupt: bool = False) ->
     return F.from_json(payload, json_schema(fields, corrupt), options)
 
 
-def typed_json(
-    payload: Column, fields: dict[str, str], flag: str, corrupt: bool = False
-) -> Column:
-    """Generator of the typed ``fields`` plus one boolean column named ``flag``.
+def with_json(
+    df: DataFrame,
+    before: Sequence[str],
+    payload: Column,
+    fields: dict[str, str],
+    flag: str,
+    after: Sequence[str],
+    corrupt: bool = False,
+) -> DataFrame:
+    """Columns ``before``, the typed ``fields`` plus one boolean column ``flag``, columns ``after``.
 
     ``flag`` marks text that its type cannot hold, or with ``corrupt`` an unreadable
-    payload. Use it in ``select``: being a generator, it parses each payload once, while
-    a plain projection would be substituted into every later filter and parsed there again
-    for every mention. The lambdas bind the parsed and the cast struct once each.
+    payload. Both steps are generators: each payload is parsed once and each field cast once, while
+    plain projections would be substituted into every later filter and parsed there again
+    for every mention.
     """
-
-    def cast(leaf: Column, kind: str) -> Column:
-        return leaf if kind in ("string", "boolean") else leaf.try_cast(kind)
-
-    def with_types(raw: Column) -> Column:
-        values = F.struct(*(cast(raw[n], kind).alias(n) for n, kind in fields.items()))
-        return F.struct(raw.alias("raw"), values.alias("typed"))
-
-    def with_flag(both: Column) -> Column:
-        raw, values = both["raw"], both["typed"]
-        if corrupt:
-            bad = raw.isNull() | raw[CORRUPT].isNotNull()
-        else:
-            bad = reduce(
-                or_,
-                (
-                    raw[n].isNotNull() & values[n].isNull()
-                    for n, kind in fields.items()
-                    if kind not in ("string", "boolean")
-                ),
-            )
-        return F.struct(*(values[n].alias(n) for n in fields), bad.alias(flag))
-
-    parsed = F.array(read_json(payload, fields, corrupt))
-    return F.inline(F.transform(F.transform(parsed, with_types), with_flag))
+    parsed = F.struct(read_json(payload, fields, corrupt).alias(_RAW))
+    raw = F.col(_RAW)
+
+    def cast(name: str, kind: str) -> Column:
+        return raw[name] if kind in ("string", "boolean") else raw[name].try_cast(kind)
+
+    if corrupt:
+        bad = raw.isNull() | raw[CORRUPT].isNotNull()
+    else:
+        bad = reduce(
+            or_,
+            (
+                raw[n].isNotNull() & cast(n, kind).isNull()
+                for n, kind in fields.items()
+                if kind not in ("string", "boolean")
+            ),
+        )
+    typed = F.struct(*(cast(n, kind).alias(n) for n, kind in fields.items()), bad.alias(flag))
+    return df.select(*before, F.inline(F.array(parsed)), *after).select(*before, F.inline(F.array(typed)), *after)

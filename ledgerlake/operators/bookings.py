@@ -42,11 +42,8 @@ ALLOWED_AFTER = {
 
 def candidates(events: DataFrame) -> DataFrame:
     """Booking events with typed fields and ``validation_error``."""
-    shaped = events.filter(F.col("event_type").isin(*BOOKING_EVENT_TYPES)).select(
-        *ENVELOPE,
-        fields.typed_json(F.col("payload"), BOOKING_FIELDS, "invalid_booking_type"),
-        *LINEAGE,
-    )
+    kept = events.filter(F.col("event_type").isin(*BOOKING_EVENT_TYPES))
+    shaped = fields.with_json(kept, ENVELOPE, F.col("payload"), BOOKING_FIELDS, "invalid_booking_type", LINEAGE)
     rules = [Rule("invalid_booking_type", F.col("invalid_booking_type")), *contract()]
     return shaped.withColumn("validation_error", first_broken(rules))
 

@@ -1,11 +1,14 @@
 """The event envelope: parse and validate Bronze payloads, drop redeliveries."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import fields
 from ledgerlake.functions.keys import dq_key
 from ledgerlake.functions.ordering import DQ_LATEST, EARLIEST_DELIVERY, leading
+from ledgerlake.functions.repeats import parted
 from ledgerlake.functions.rules import Rule, blank, first_broken, missing, not_equal, not_positive
 from ledgerlake.schemas import ENVELOPE_FIELDS, EVENTS_CLEAN, LINEAGE, SCHEMA_VERSION
 
@@ -14,10 +17,7 @@ CONFLICT, DELIVERIES, REJECTED = "payload_conflict", "deliveries", "rejected"
 
 def parse(bronze: DataFrame) -> DataFrame:
     """Bronze rows -> envelope columns, lineage, ``malformed_json``, ``validation_error``."""
-    shaped = bronze.select(
-        fields.typed_json(F.col("payload"), ENVELOPE_FIELDS, "malformed_json", corrupt=True),
-        *LINEAGE,
-    )
+    shaped = fields.with_json(bronze, [], F.col("payload"), ENVELOPE_FIELDS, "malformed_json", LINEAGE, corrupt=True)
     return shaped.withColumn("validation_error", first_broken(_contract()))
 
 
@@ -32,12 +32,18 @@ def _contract() -> list[Rule]:
     ]
 
 
-def dedupe(parsed: DataFrame, audit: bool = False) -> DataFrame:
+def dedupe(parsed: DataFrame, audit: bool = False, sparse: bool = False) -> DataFrame:
     """Valid rows, one per ``event_id``: the earliest delivery.
 
     ``audit`` adds, from the same shuffle, how often the id was delivered and whether its
     payloads differ (compared by SHA-256, so that the payload itself travels once).
+    ``sparse`` counts the ids first, by a job of its own, and shuffles only the rows of ids that
+    repeat; all others stay where they are. Use it for large inputs that are stored.
     """
+    if sparse:
+        once, again = parted(accepted(parsed), "event_id")
+        extra = {DELIVERIES: F.lit(1).cast("bigint"), CONFLICT: F.lit(False)} if audit else {}
+        return _either(once, EVENTS_CLEAN, extra, None if again is None else dedupe(again, audit))
     rest = [c for c in EVENTS_CLEAN if c != "event_id"]
     aggregates = [leading(EARLIEST_DELIVERY, rest).alias("kept")]
     extra = []
@@ -54,20 +60,33 @@ def dedupe(parsed: DataFrame, audit: bool = False) -> DataFrame:
     )
 
 
-def settle(parsed: DataFrame) -> DataFrame:
+def _either(
+    once: DataFrame | None, columns: Sequence[str], extra: dict[str, Column], settled: DataFrame | None
+) -> DataFrame:
+    """Rows of single keys with what their aggregate would say, and the settled rest; one may be None."""
+    if once is None:
+        return settled
+    single = once.select(*columns, *(value.alias(name) for name, value in extra.items()))
+    return single if settled is None else single.unionByName(settled)
+
+
+def settle(parsed: DataFrame, sparse: bool = False) -> DataFrame:
     """Valid and rejected rows side by side from one pass and one shuffle.
 
     Valid rows are reduced to the earliest delivery per ``event_id``, rejected ones to the
     latest per ``dq_key``. ``rejected`` tells them apart; the audit columns are those of
-    :func:`dedupe`.
+    :func:`dedupe`, and so is ``sparse``.
     """
     bad = F.col("validation_error").isNotNull()
     columns = [*EVENTS_CLEAN, "validation_error"]
+    key = F.when(bad, dq_key()).otherwise(F.col("event_id"))
+    if sparse:
+        once, again = parted(parsed, bad, key)
+        extra = {DELIVERIES: F.lit(1).cast("bigint"), CONFLICT: F.when(~bad, False), REJECTED: bad}
+        return _either(once, columns, extra, None if again is None else settle(again))
     digest = F.when(~bad, F.sha2("payload", 256))
     return (
-        parsed.groupBy(
-            bad.alias(REJECTED), F.when(bad, dq_key()).otherwise(F.col("event_id")).alias("_key")
-        )
+        parsed.groupBy(bad.alias(REJECTED), key.alias("_key"))
         .agg(
             leading(EARLIEST_DELIVERY, columns, ~bad).alias("first"),
             leading(DQ_LATEST, columns, bad).alias("last"),

@@ -59,15 +59,9 @@ def candidates(events: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def _typed(events: DataFrame, kinds: tuple[str, ...], wanted: dict[str, str]) -> DataFrame:
-    return (
-        events.filter(F.col("event_type").isin(*kinds))
-        .select(
-            *ENVELOPE,
-            fields.typed_json(F.col("payload"), wanted, "invalid_payment_type"),
-            *LINEAGE,
-        )
-        .withColumn("transaction_type", movement())
-    )
+    kept = events.filter(F.col("event_type").isin(*kinds))
+    shaped = fields.with_json(kept, ENVELOPE, F.col("payload"), wanted, "invalid_payment_type", LINEAGE)
+    return shaped.withColumn("transaction_type", movement())
 
 
 def contract(strict: bool = False) -> list[Rule]:

@@ -68,7 +68,9 @@ def bookings_now(spark, sf):
 
 
 def payment_events(spark, sf):
-    return envelope.dedupe(envelope.parse(derived.payment_bronze(spark, sf)))
+    """Parsed once and stored, so that ids are counted and rows read without making them again."""
+    parsed = stored(envelope.parse(derived.payment_bronze(spark, sf)), "payment-parsed", "zstd")
+    return envelope.dedupe(parsed, sparse=True)
 
 
 def payment_candidates(spark, sf, strict=False):
