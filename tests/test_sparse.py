@@ -63,3 +63,19 @@ def test_payment_lines_are_shuffled_once(spark):
     assert plan(records).count("Exchange hashpartitioning") <= 2
     kinds = records.select(F.get_json_object(F.col("value").cast("string"), "$.event_id").alias("id"))
     assert sorted(r.id for r in kinds.collect()) == ["p-1-0", "p-1-1", "p-1-2", "p-1-r1", "p-2-0", "p-2-1"]
+
+
+@pytest.mark.parametrize("places", [repeats.PLACES, 2**15])
+def test_only_rows_near_repeated_keys_move_when_many_repeat(spark, monkeypatch, places):
+    """Beyond the bound rows used to count as repeated all together."""
+    monkeypatch.setattr(repeats, "PLACES", places)
+    rows = spark.range(4000).selectExpr("if(id < 1000, id div 2, id) AS k", "id AS n").unionAll(
+        spark.createDataFrame([(None, -1), (None, -2)], "k long, n long")
+    )
+    once, again = repeats.parted(rows, "k", many=10)
+    moved = {r.n for r in again.collect()}
+    kept = [r.n for r in once.collect()]
+    assert moved >= {-1, -2, *range(1000)}
+    assert sorted([*moved, *kept]) == sorted(r.n for r in rows.collect())
+    assert len(kept) > 2500
+    assert once.columns == again.columns == rows.columns
