@@ -36,7 +36,8 @@ def with_json(
     ``flag`` marks text that its type cannot hold, or with ``corrupt`` an unreadable
     payload. Both steps are generators: each payload is parsed once and casts stay there, while
     plain projections would be substituted into every later filter and parsed there again
-    for every mention.
+    for every mention. The flag compares their results, so that no value is cast twice and the code
+    generated for a wide contract stays small enough to be compiled.
     """
     parsed = F.struct(read_json(payload, fields, corrupt).alias(_RAW))
     raw = F.col(_RAW)
@@ -44,16 +45,18 @@ def with_json(
     def cast(name: str, kind: str) -> Column:
         return raw[name] if kind in ("string", "boolean") else raw[name].try_cast(kind)
 
+    typed = F.struct(*(cast(n, kind).alias(n) for n, kind in fields.items()))
     if corrupt:
         bad = raw.isNull() | raw[CORRUPT].isNotNull()
     else:
         bad = reduce(
             or_,
             (
-                raw[n].isNotNull() & cast(n, kind).isNull()
+                raw[n].isNotNull() & F.col(n).isNull()
                 for n, kind in fields.items()
                 if kind not in ("string", "boolean")
             ),
         )
-    typed = F.struct(*(cast(n, kind).alias(n) for n, kind in fields.items()), bad.alias(flag))
-    return df.select(*before, F.inline(F.array(parsed)), *after).select(*before, F.inline(F.array(typed)), *after)
+    shaped = df.select(*before, F.inline(F.array(parsed)), *after)
+    shaped = shaped.select(*before, _RAW, F.inline(F.array(typed)), *after)
+    return shaped.select(*before, *fields, bad.alias(flag), *after)

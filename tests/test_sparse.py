@@ -1,5 +1,7 @@
 """Repeated keys told apart from single ones: same rows, and single ones are not shuffled."""
 
+import re
+
 import pytest
 from fixtures import bronze, golden_events
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from test_running import ORDER, buckets, mixed
 
 from ledgerlake.functions import repeats
 from ledgerlake.functions.running import running_sums
-from ledgerlake.operators import envelope
+from ledgerlake.operators import envelope, payments
 from ledgerlake.plans import derived
 from ledgerlake.sources.scratch import stored
 
@@ -79,3 +81,15 @@ def test_only_rows_near_repeated_keys_move_when_many_repeat(spark, monkeypatch,
     assert sorted([*moved, *kept]) == sorted(r.n for r in rows.collect())
     assert len(kept) > 2500
     assert once.columns == again.columns == rows.columns
+
+
+def test_code_of_all_typed_fields_is_small_enough_to_be_compiled(parsed, spark, capsys):
+    """The virtual machine leaves methods of more than 8000 bytes uncompiled."""
+    events = envelope.accepted(parsed)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        payments.candidates(events).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
