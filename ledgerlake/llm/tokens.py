@@ -53,8 +53,13 @@ BLOCK = 256
 #: Words longer than this many signs are worked out again when met again.
 KEPT_LENGTH = 64
 #: Distinct words remembered per task (the last ones and as many before them), pairs of tokens, and states of the
-#: program, which are shared up to this many byte signs of a split.
-KEPT_WORDS, KEPT_PAIRS, KEPT_STATES, KEPT_PREFIX = 600_000, 300_000, 400_000, 24
+#: program, which are shared up to this many byte signs of a split (at most 255: their counts are kept as bytes).
+KEPT_WORDS, KEPT_PAIRS, KEPT_STATES, KEPT_PREFIX = 600_000, 300_000, 800_000, 24
+
+#: Last signs by which the longest token that can end there is known.
+ENDING = 3
+#: The state of the empty prefix: last token, count, and the counts of all prefixes.
+EMPTY = ("", 0, b"")
 
 # The contractions that the vocabulary's splits keep whole, and its mark of a word's end.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -105,6 +110,10 @@ class PrefixCounter:
         self.final = {t.removesuffix(WORD_END): t for t in model["vocab"] if t.endswith(WORD_END)}
         self.either = self.inner | self.final.keys()
         self.longest = max(map(len, self.either))
+        self.far: dict[str, int] = {}  # the longest token by its last signs
+        for token in sorted(self.either, key=len):
+            if len(token) >= ENDING:
+                self.far[token[-ENDING:]] = len(token)
         special = sorted((t["content"] for t in described["added_tokens"]), key=len, reverse=True)
         self.other_special = any("<" not in t for t in special)
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
@@ -112,7 +121,7 @@ class PrefixCounter:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kinds, self.bytes = _Learned(self.kind), _Learned(lambda sign: self.described(sign)[0][2])
-        self.states: dict[str, tuple[str, int, int]] = {}
+        self.states: dict[str, tuple[str, int, bytes]] = {"": EMPTY}
         nothing = [("", inf)]
         self.edges: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]]] = {"": (nothing, nothing)}
         self.signs: dict[str, list[tuple[str, str, str]]] = {}
@@ -171,48 +180,63 @@ class PrefixCounter:
             else:
                 b += 1
 
-    def state(self, split: str, i: int, states: list[tuple[str, int, int]], start: int) -> tuple[str, int, int]:
+    def state(self, split: str, i: int, before: Callable[[int], tuple]) -> tuple[str, int, int]:
         """Last token and count of the open prefix of ``i`` signs, and the count of that prefix as a whole text.
 
-        ``states`` has those of the positions from ``start`` on.
+        ``before`` gives the states of shorter prefixes, last token and count first.
         """
         token, count, closed = "", 0, 0
         either, inner, final, pairs = self.either, self.inner, self.final, self.pairs
-        for j in range(max(0, i - self.longest), i):
+        far = self.far.get(split[i - ENDING : i], ENDING - 1) if i > ENDING else i
+        for j in range(max(0, i - far), i):
             piece = split[j:i]
             if piece in either:
-                last, before, _ = states[j - start]
+                last, sofar, _ = before(j)
                 if not token and piece in inner:
                     agree = pairs.get((last, piece))
                     if agree if agree is not None else self.agree(last, piece):
-                        token, count = piece, before + 1
+                        token, count = piece, sofar + 1
                         if closed:
                             break
                 if not closed and piece in final:
                     ending = final[piece]
                     agree = pairs.get((last, ending))
                     if agree if agree is not None else self.agree(last, ending):
-                        closed = before + 1
+                        closed = sofar + 1
                         if token:
                             break
         return token, count, closed
 
-    def inside(self, split: str) -> list[int]:
-        """Tokens of every prefix of one split (in the vocabulary's byte signs), each taken as a whole text.
+    def begun(self, begin: str) -> tuple[str, int, bytes]:
+        """Last token and count of a split of at most ``KEPT_PREFIX`` signs, and the tokens of its prefixes.
 
-        Splits that begin alike share the states of their common prefixes.
+        Splits that begin alike share the states of their common prefixes: of every split in ``states``
+        all prefixes are there too, so only what follows the longest of them is worked out.
         """
-        known, walked = self.states, [("", 0, 0)]
-        for i in range(1, min(len(split), KEPT_PREFIX) + 1):
-            state = known.get(split[:i])
-            if state is None:
-                if len(known) >= KEPT_STATES:
-                    known.clear()
-                state = known[split[:i]] = self.state(split, i, walked, 0)
-            walked.append(state)
-        counts, start = [c for _, _, c in walked[1:]], 0
+        known = self.states
+        found = known.get(begin)
+        if found is None:
+            if len(known) >= KEPT_STATES:
+                known.clear()
+                known[""] = EMPTY
+            at = len(begin) - 1
+            while begin[:at] not in known:
+                at -= 1
+            found, before = known[begin[:at]], lambda j: known[begin[:j]]
+            for i in range(at + 1, len(begin) + 1):
+                token, count, closed = self.state(begin, i, before)
+                found = known[begin[:i]] = (token, count, found[2] + closed.to_bytes())
+        return found
+
+    def inside(self, split: str) -> list[int]:
+        """Tokens of every prefix of one split (in the vocabulary's byte signs), each taken as a whole text."""
+        if len(split) <= KEPT_PREFIX:
+            return list(self.begun(split)[2])
+        begin = split[:KEPT_PREFIX]
+        counts = list(self.begun(begin)[2])
+        walked, start = [self.states[begin[:i]] for i in range(KEPT_PREFIX + 1)], 0
         for i in range(len(walked), len(split) + 1):
-            state = self.state(split, i, walked, start)
+            state = self.state(split, i, lambda j: walked[j - start])
             walked.append(state)
             counts.append(state[2])
             if len(walked) > 8192:  # only the last few states are read again

@@ -493,3 +493,33 @@ def test_budgets_are_read_from_the_table(spark):
             assert r["over_limit"] == (r["n_tokens"] > limit)
             whole = len(texts[r["doc_id"]] or "")
             assert r["fit_signs"] == (tokens.cut_at(kept[r["doc_id"]], limit) if r["over_limit"] else whole)
+
+
+class _Asked(frozenset):
+    asked = 0
+
+    def __contains__(self, piece):
+        _Asked.asked += 1
+        return super().__contains__(piece)
+
+
+def test_a_split_tries_only_pieces_that_can_end_there():
+    counter = tokens.PrefixCounter(tokens.vocabulary())
+    counter.either = _Asked(counter.either)
+    counter.inside("qzxjvkqzxjvkqzxjvkqzxjvk")
+    assert 24 <= _Asked.asked <= 3 * 24  # all 300 pieces of a split of 24 signs before
+    _Asked.asked = 0
+    counter.inside("qzxjvkqz")
+    assert not _Asked.asked
+
+
+def test_splits_are_counted_alike_while_states_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary())
+    monkeypatch.setattr(tokens, "KEPT_STATES", 5)
+    counter = tokens.PrefixCounter(tokens.vocabulary())
+    for word in ("station", "stations", "stat", "international" * 4, "internationals", "a", "qzxjvk" * 9, "station"):
+        counts = [len(library.encode(word[:k], add_special_tokens=False).ids) for k in range(1, len(word) + 1)]
+        assert counter.inside(word) == counts
+        assert all(split[:k] in counter.states for split in counter.states for k in range(len(split)))
