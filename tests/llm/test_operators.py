@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import chat, decontam, linedup, mixing, neardup, quality, queries, suffix, tokens, topk, urls
 from ledgerlake.llm.graph import components
+from ledgerlake.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -140,6 +141,26 @@ def test_line_dedup_of_lines_of_all_lengths(spark):
     assert out == brute.without_lines(pairs(df))
 
 
+def test_unlike_lines_of_any_length_are_no_candidates(spark, monkeypatch):
+    """Lines that share a rare word and little else; with too short bitmaps, candidates grow with the square of a list."""
+    rows_of = {}
+
+    def counted(df, name, *more):
+        out = scratch.stored(df, name, *more)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linedup, "stored", counted)
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(2000)]
+    lines = [" ".join(rng.sample(vocabulary, size)) for size in (66, 172) for _ in range(300)]
+    rows = [(k, "\n".join(lines[k::50]), "en", "s", 1) for k in range(50)]
+    out = linedup.remove_lines(spark.createDataFrame(rows, DOCS)).agg({"n_removed": "sum"}).first()[0]
+    assert out == 0
+    assert rows_of["line-candidates"] <= 5
+    assert "line-open" not in rows_of
+
+
 def test_the_query_removes_short_lines_too(spark, tmp_path):
     rng = random.Random(9)
     lines = [" ".join(rng.choice("aBcdefg") for _ in range(rng.randint(0, 7))) for _ in range(400)] + ["w x y", "w x y Z", "p q p q p q"] * 2
