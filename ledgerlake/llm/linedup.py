@@ -50,7 +50,7 @@ JOINED_WORDS = 3
 TABLE_BITS, PARTS = 22, 16
 TABLE, TABLE_SHIFT = 2**TABLE_BITS, np.uint64(64 - TABLE_BITS)
 #: Documents handled at once, and bytes of their texts; postings that a task packs at once.
-SLICE, SLICE_BYTES, PACKED = 4096, 2**23, 2**19
+SLICE, SLICE_BYTES, PACKED = 4096, 2**22, 2**19
 #: Postings of one range; postings of a list that is cut, and of its blocks; pairs compared at once.
 RANGE, LONG, BLOCK, AT_ONCE = 2**17, 8192, 2048, 2**18
 #: Candidates that a line keeps before it is marked as having more.

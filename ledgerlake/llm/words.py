@@ -109,7 +109,7 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _OF_BYTE = (np.random.default_rng(64).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1))[_LOWER]
 #: Bytes hashed at once; a longer word is taken whole.
-CHUNK = 2**20
+CHUNK = 2**16
 
 
 @lru_cache(maxsize=2)
@@ -158,9 +158,11 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             s, e = starts[at:last] - low, ends[at:last] - low
             hashes[at:last] = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
             at = last
-    text = np.searchsorted(edges, starts, "right") - 1
+    # texts and breaks are fewer than words, so they are looked up among these
+    text = np.repeat(np.arange(len(column)), np.diff(np.searchsorted(starts, edges)))
     breaks = np.flatnonzero(raw == 10)
-    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, edges[:-1])[text]
+    before = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1)[: len(starts)])
+    line = before - np.searchsorted(breaks, edges[:-1])[text]
     return hashes, text, line
 
 
